@@ -1 +1,9 @@
 """News sentiment analytics as lazy PySpark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the task, so the package
+# does not have to be installed on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

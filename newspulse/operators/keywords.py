@@ -24,15 +24,15 @@ def top_words(counts: DataFrame, n: int = 30) -> DataFrame:
 
 def corpus_stats(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Documents, tokens, distinct words and distinct bigrams from one scan."""
-    kinds = {"document": F.array(F.lit("")), "word": F.col(tokens), "bigram": text.ngrams(tokens)}
-    tagged = F.concat(
-        *[
-            F.transform(terms, lambda t, kind=kind: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
-            for kind, terms in kinds.items()
-        ]
+
+    def tagged(kind: str, terms: Column) -> Column:
+        return F.transform(terms, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
+
+    everything = F.concat(
+        tagged("document", F.array(F.lit(""))), tagged("word", F.col(tokens)), tagged("bigram", text.ngrams(tokens))
     )
     per_term = (
-        docs.select(F.explode(tagged).alias("x"))
+        docs.select(F.explode(everything).alias("x"))
         .groupBy("x.kind", "x.term")
         .agg(F.count(F.lit(1)).alias("n"))
     )
