@@ -75,7 +75,7 @@ def page_stop_rule(
     grid = (
         counted.groupBy("month")
         .agg(F.map_from_entries(F.collect_list(F.struct("page", F.struct("items", "added")))).alias("_m"))
-        .select("month", "_m", F.explode(F.sequence(F.lit(0), F.lit(pages - 1))).cast("long").alias("page"))
+        .select("month", "_m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pages - 1).cast("long"))).alias("page"))
         .select(
             "month", "page",
             F.coalesce(F.col("_m")[F.col("page")]["items"], F.lit(0)).alias("items"),
