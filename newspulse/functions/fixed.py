@@ -49,15 +49,16 @@ BOILERPLATE = [
 BOILERPLATE_REALTIME = [BYLINE, RIGHTS_HOLDER, REPORTER_LINE, ARROW_TAIL, EMAIL_LINE_SHORT]
 
 # --- Fixed values: character classes and word patterns -------------------
-# The whitespace set of Python's str.strip and \s, spelled so that Java and
-# RE2 read it the same way. WS and NOT_WS are complete classes.
-_SPACES = (
-    r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# (?U) gives \s its Unicode meaning, and is much faster than a class that
+# lists the ranges; \x1c-\x1f complete the set Python calls whitespace.
+WS = r"[\s\x1c-\x1f]"
+NOT_WS = r"[^\s\x1c-\x1f]"
+NOT_WORD = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]"
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
+    "           "
+    "    　"
 )
-WS = f"[{_SPACES}]"
-NOT_WS = f"[^{_SPACES}]"
-NOT_WORD = rf"[^\p{{L}}\p{{N}}_{_SPACES}]"
 LINE_BREAK = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 SENTENCE_END = ".!?다요"
 HANGUL_WORD = r"[가-힣]{2,}"

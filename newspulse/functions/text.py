@@ -20,7 +20,7 @@ def text_or_empty(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Trim every kind of whitespace from both ends."""
-    return F.regexp_replace(as_col(c), rf"^{fixed.WS}+|{fixed.WS}+\z", "")
+    return F.trim(as_col(c), F.lit(fixed.SPACE_CHARS))
 
 
 def full_text(title: Column | str, content: Column | str) -> Column:
@@ -52,21 +52,22 @@ def model_text(
 
 
 def collapse_spaces(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(text_or_empty(c), f"{fixed.WS}+", " "))
+    return F.trim(F.regexp_replace(text_or_empty(c), f"(?U){fixed.WS}+", " "))
 
 
 def clean_text(c: Column | str) -> Column:
     """Drop URLs, e-mail addresses, tags, symbols and all-digit words.
 
-    The e-mail pattern starts only where a run of non-spaces starts, and an
-    unclosed ``<`` consumes the rest once, so both stay linear in the length
-    of the text.
+    The e-mail pattern starts only at the start of a run of non-spaces and
+    never backs up, and an unclosed ``<`` consumes the rest once, so both
+    stay linear in the length of the text.
     """
-    text = F.regexp_replace(text_or_empty(c), rf"https?://{fixed.NOT_WS}+", "")
-    text = F.regexp_replace(text, rf"(?<!{fixed.NOT_WS}){fixed.NOT_WS}+@{fixed.NOT_WS}+", "")
+    ws, not_ws = fixed.WS, fixed.NOT_WS
+    text = F.regexp_replace(text_or_empty(c), rf"(?U)https?://{not_ws}+", "")
+    text = F.regexp_replace(text, rf"(?U)(\A|{ws}){not_ws}[^@\s\x1c-\x1f]*+@{not_ws}+", "$1")
     text = F.regexp_replace(text, r"<[^>]+>|(<[^>]*\z)", "$1")
     text = F.regexp_replace(text, fixed.NOT_WORD, " ")
-    text = F.regexp_replace(text, r"(?<![\p{L}\p{N}_])\p{Nd}+(?![\p{L}\p{N}_])", "")
+    text = F.regexp_replace(text, r"(?=\p{Nd})(?<![\p{L}\p{N}_])\p{Nd}+(?![\p{L}\p{N}_])", "")
     return collapse_spaces(text)
 
 
@@ -86,19 +87,31 @@ def strip_boilerplate(c: Column | str, patterns: Sequence[str] = fixed.BOILERPLA
     return F.array_join(lines(text), "\n")
 
 
+_BREAK = rf"(?U)(?<=[{fixed.SENTENCE_END}]){fixed.WS}+"
+
+
 def sentences(c: Column | str) -> Column:
-    return F.split(collapse_spaces(c), rf"(?<=[{fixed.SENTENCE_END}]) ")
+    return F.split(collapse_spaces(c), _BREAK)
 
 
 def lead_summary(c: Column | str, n: int = 3) -> Column:
-    return F.array_join(F.slice(sentences(c), 1, n), " ")
+    """The first ``n`` sentences; the split stops there, however long the text."""
+    head = F.slice(F.split(text_or_empty(c), _BREAK, n + 1), 1, n)
+    return collapse_spaces(F.array_join(head, " "))
 
 
-def sentence_breaks(collapsed: Column | str) -> Column:
-    """Breaks a space-collapsed text adds when another text follows it."""
-    return F.regexp_count(
-        F.concat(as_col(collapsed), F.lit(" ")), F.lit(rf"[{fixed.SENTENCE_END}] ")
-    )
+def is_blank(c: Column | str) -> Column:
+    return ~text_or_empty(c).rlike(rf"(?U){fixed.NOT_WS}")
+
+
+def ends_sentence(c: Column | str) -> Column:
+    """Whether the text has a break, when another text follows it."""
+    return text_or_empty(c).rlike(rf"(?U)[{fixed.SENTENCE_END}](?:{fixed.WS}|\z)")
+
+
+def sentence_breaks(c: Column | str, up_to: int) -> Column:
+    """Breaks of a text that another text follows, counted up to a limit."""
+    return F.size(F.split(F.concat(text_or_empty(c), F.lit(" ")), _BREAK, up_to + 1)) - 1
 
 
 def words(c: Column | str, pattern: str = fixed.HANGUL_WORD) -> Column:

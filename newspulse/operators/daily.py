@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newspulse.functions import fixed, text
 from newspulse.functions.dates import year_month
 from newspulse.operators.ranking import top_k_per_group
+from newspulse.operators.rows import exploded
 from newspulse.session import settle
 
 
@@ -82,8 +83,8 @@ def event_keywords(articles: DataFrame, events: DataFrame, order: str, pattern:
     first; ties go to the word that appears first in article order.
     """
     on_days = articles.select("date_only", order, "content").join(events.select("date_only"), "date_only")
-    counted = on_days.select(
-        "date_only", order, F.explode(text.term_counts(text.words("content", pattern))).alias("t")
+    counted = exploded(
+        on_days, "date_only", order, array=text.term_counts(text.words("content", pattern)), name="t"
     )
     per_day = counted.groupBy("date_only", F.col("t.word").alias("word")).agg(
         F.sum("t.n").alias("n"),
@@ -104,16 +105,11 @@ def event_summary(articles: DataFrame, events: DataFrame, order: str, n: int = 3
     articles up to that one are gathered, each clipped to ``n`` sentences.
     ``events`` should be a settled table; ``order`` must be unique.
     """
-    texts = articles.select("date_only", order, text.collapse_spaces("content").alias("_text")).join(
-        events.select("date_only"), "date_only"
+    texts = articles.where(text.ends_sentence("content")).select(
+        "date_only", order, text.sentence_breaks("content", n).alias("_breaks")
     )
     breaking = top_k_per_group(
-        texts.where(F.col("_text") != "")
-        .select("date_only", order, text.sentence_breaks("_text").alias("_breaks"))
-        .where(F.col("_breaks") > 0),
-        ["date_only"],
-        [F.asc(order)],
-        n,
+        texts.join(events.select("date_only"), "date_only"), ["date_only"], [F.asc(order)], n
     )
     seen = Window.partitionBy("date_only").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     last = (
@@ -124,11 +120,11 @@ def event_summary(articles: DataFrame, events: DataFrame, order: str, n: int = 3
     )
     cuts = settle(events.select("date_only").join(last, "date_only", "left"), "summary-cuts")
     kept = (
-        articles.select("date_only", order, "content")
+        articles.where(~text.is_blank("content"))
+        .select("date_only", order, "content")
         .join(cuts, "date_only")
         .where(F.col("_last").isNull() | (F.col(order) <= F.col("_last")))
         .select("date_only", order, text.lead_summary("content", n).alias("_text"))
-        .where(F.col("_text") != "")
     )
     gathered = kept.groupBy("date_only").agg(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_text").alias("t")))).alias("_parts")

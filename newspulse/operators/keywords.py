@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newspulse.functions import fixed, text
+from newspulse.operators.rows import exploded
 from newspulse.operators.ranking import expand_ranks, rank_ranges, running_totals, top_k_per_group
 
 
 def word_counts(docs: DataFrame, tokens: Column | str = "tokens") -> DataFrame:
-    return docs.select(F.explode(text.as_col(tokens)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return exploded(docs, array=tokens, name="word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_words(counts: DataFrame, n: int = 30) -> DataFrame:
@@ -32,7 +33,7 @@ def corpus_stats(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
         tagged("document", F.array(F.lit(""))), tagged("word", F.col(tokens)), tagged("bigram", text.ngrams(tokens))
     )
     per_term = (
-        docs.select(F.explode(everything).alias("x"))
+        exploded(docs, array=everything, name="x")
         .groupBy("x.kind", "x.term")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -53,7 +54,7 @@ def tfidf_vocabulary(
     Each document emits a word once with its count, so only partial sums per
     word are shuffled.
     """
-    terms = docs.select(F.explode(text.term_counts(tokens)).alias("t"))
+    terms = exploded(docs, array=text.term_counts(tokens), name="t")
     per_word = terms.groupBy(F.col("t.word").alias("word")).agg(
         F.count(F.lit(1)).alias("df"), F.sum("t.n").alias("cf")
     )
@@ -92,7 +93,7 @@ def tfidf_top(docs: DataFrame, tokens: str = "tokens", n: int = 30, **limits) ->
         ),
     )
     return (
-        docs.select(F.explode(unit).alias("w"))
+        exploded(docs, array=unit, name="w")
         .groupBy(F.col("w.word").alias("word"))
         .agg(F.sum("w.x").alias("mass"))
         .select("word", (F.col("mass") / total).alias("score"))
@@ -104,8 +105,7 @@ def tfidf_top(docs: DataFrame, tokens: str = "tokens", n: int = 30, **limits) ->
 def class_top_words(docs: DataFrame, label: str, tokens: str = "tokens", n: int = 20) -> DataFrame:
     """The ``n`` most frequent words of every class."""
     counts = (
-        docs.where(F.col(label).isNotNull())
-        .select(F.col(label).alias("label"), F.explode(tokens).alias("word"))
+        exploded(docs.where(F.col(label).isNotNull()), F.col(label).alias("label"), array=tokens, name="word")
         .groupBy("label", "word")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -142,7 +142,7 @@ def heaps_curve(docs: DataFrame, order: str, tokens: str = "tokens") -> DataFram
     """
     sizes = docs.select(F.col(order), F.size(tokens).cast("long").alias("tokens"), F.lit(0).cast("long").alias("new"))
     first = (
-        docs.select(F.explode(F.array_distinct(tokens)).alias("word"), F.col(order))
+        exploded(docs, order, array=F.array_distinct(tokens), name="word")
         .groupBy("word")
         .agg(F.min(order).alias(order))
     )

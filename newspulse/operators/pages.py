@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newspulse.functions import fixed, html, text, urls
+from newspulse.operators.rows import computed, exploded
 
 # --- Fixed values: elements that never have a closing tag ------------------
 VOID_TAGS = "area base br col embed hr img input link meta source track wbr".split()
@@ -26,14 +27,18 @@ def extract_articles(
     """Title, content, date and press of each page, with a reject reason."""
     null = F.lit(None).cast("string")
     visible = pages.withColumn("_page", html.visible_html("html"))
-    parts = visible.select(
-        *[c for c in pages.columns if c != "html"],
-        html.page_title("_page", list_title, site_names=site_names).alias("title"),
-        html.page_body("_page").alias("_body"),
-        html.page_date("_page", null if list_date is None else list_date).alias("date"),
-        html.page_publisher("_page", urls.host("url") if list_press is None else list_press).alias("press"),
+    kept = [c for c in pages.columns if c != "html"]
+    parts = computed(
+        visible,
+        *kept,
+        title=html.page_title("_page", list_title, site_names=site_names),
+        _body=html.page_body("_page"),
+        date=html.page_date("_page", null if list_date is None else list_date),
+        press=html.page_publisher("_page", urls.host("url") if list_press is None else list_press),
+    )
+    content = computed(
+        parts, *kept, "title", "date", "press", "_body", content=text.strip_boilerplate("_body", patterns)
     )
-    content = parts.withColumn("content", text.strip_boilerplate("_body", patterns))
     return content.withColumn("reason", reject_reason("_body", "content")).drop("_body")
 
 
@@ -81,13 +86,14 @@ def page_links(pages: DataFrame, contains: str | None = None, url: str = "url")
     """Accepted links per page, normalised, the first of equal ones kept."""
     resolved = F.transform(html.page_links(html.visible_html("html")), lambda u: urls.absolute(u, F.col(url)))
     kept = F.transform(F.filter(resolved, lambda u: urls.accepted(u, contains)), urls.normalise)
-    return pages.select("page_id", F.posexplode(F.array_distinct(kept)).alias("pos", "link"))
+    found = pages.select("page_id", F.posexplode_outer(F.array_distinct(kept)).alias("pos", "link"))
+    return found.where(F.col("link").isNotNull())
 
 
 def tag_inventory(pages: DataFrame, tags: Sequence[str] = ("div", "article", "li", "a")) -> DataFrame:
     """Occurrences of every (tag, class) and the pages that hold it."""
-    per_page = pages.select(
-        F.explode(text.let(html.opening_tags(html.visible_html("html"), tags), _count_structs)).alias("t")
+    per_page = exploded(
+        pages, array=text.let(html.opening_tags(html.visible_html("html"), tags), _count_structs), name="t"
     )
     return per_page.groupBy("t.tag", "t.class").agg(
         F.sum("t.n").alias("occurrences"), F.count(F.lit(1)).alias("pages")
@@ -108,7 +114,7 @@ def _count_structs(found: Column) -> Column:
 
 def matching_links(pages: DataFrame, contains: Sequence[str]) -> DataFrame:
     """Raw link targets that hold any of the given texts."""
-    links = pages.select("page_id", F.explode(html.page_links(html.visible_html("html"))).alias("href"))
+    links = exploded(pages, "page_id", array=html.page_links(html.visible_html("html")), name="href")
     hit = F.lit(False)
     for piece in contains:
         hit = hit | F.col("href").contains(piece)
