@@ -45,12 +45,6 @@ def start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint:
     )
 
 
-def guard_store(spark: SparkSession, root: str, checkpoint: str) -> None:
-    """Refuse a used store with a fresh checkpoint: batch numbers would restart."""
-    if store.exists(spark, root) and not store.exists(spark, f"{checkpoint}/metadata"):
-        raise ValueError(f"{root} was filled under another checkpoint; give both a new folder or neither")
-
-
 def ingest(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Append arriving rows to a table; the file sink commits each file once."""
     trigger = {"availableNow": True} if once else {"processingTime": POLL_INTERVAL}
@@ -65,7 +59,7 @@ def ingest_new(
 ) -> StreamingQuery:
     """Append only rows whose key is not stored, one per key."""
     spark, schema = stream.sparkSession, stream.schema
-    guard_store(spark, root, checkpoint)
+    store.guard_store(spark, root, checkpoint)
 
     def work(batch: DataFrame, batch_id: int) -> None:
         stored = store.read_store(batch.sparkSession, root, schema, before=batch_id)
@@ -92,7 +86,7 @@ def daily_windows(stream: DataFrame, ts: str, value: str, delay: str = "30 days"
 
 def write_daily(stream: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Log the days each batch changed; ``latest_daily`` resolves the log."""
-    guard_store(stream.sparkSession, root, checkpoint)
+    store.guard_store(stream.sparkSession, root, checkpoint)
     return start(stream, lambda batch, i: store.write_batch(batch, root, i), checkpoint, once, mode="update")
 
 
@@ -167,7 +161,7 @@ def refresh(stream: DataFrame, root: str, checkpoint: str, settings: RefreshSett
     """
     spark = stream.sparkSession
     articles, day_state, headline_state = f"{root}/articles", f"{root}/day_state", f"{root}/headline_state"
-    guard_store(spark, articles, checkpoint)
+    store.guard_store(spark, day_state, checkpoint)
     schema = score_batch(spark.createDataFrame([], stream.schema), settings).schema
     # A partition column is read back last.
     schema = StructType([f for f in schema if f.name != "date_only"]).add("date_only", "date")
