@@ -17,7 +17,7 @@ ENTITIES = {
     "&#39;": "'", "&apos;": "'", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&amp;": "&",
 }
 # --- Fixed values: where a page keeps its parts, in order of preference ---
-BODY_CONTAINERS = [("article", ""), ("div", r"id=\"content\""), ("main", "")]
+BODY_CONTAINERS = [("article", ""), ("div", 'id="content"'), ("main", "")]
 TITLE_TAGS = ["h1", "title"]
 DATE_TAGS = ["time"]
 
@@ -43,7 +43,9 @@ def inner_html(html: Column | str, tag: str, attributes: str = "") -> Column:
     The text after the opening tag is cut before every further tag of the
     same name; the depth of those cuts finds the matching closing tag.
     """
-    opening = rf"(?is)<{tag}\b[^>]*{attributes}[^>]*>(.*)\z" if attributes else rf"(?is)<{tag}\b[^>]*>(.*)\z"
+    # The group keeps the > of the opening tag: a cut at the very start of a
+    # text would make no empty first part.
+    opening = rf"(?is)<{tag}\b[^>]*{attributes}[^>]*(>.*)\z" if attributes else rf"(?is)<{tag}\b[^>]*(>.*)\z"
     cut = F.split(F.regexp_extract(text_or_empty(html), opening, 1), rf"(?i)(?=</?{tag}\b)")
 
     def matching(parts: Column) -> Column:
@@ -61,7 +63,7 @@ def inner_html(html: Column | str, tag: str, attributes: str = "") -> Column:
         )
         rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
         keep = F.aggregate(rest, start, step)["keep"]
-        return F.array_join(F.slice(parts, 1, keep), "")
+        return F.substr(F.array_join(F.slice(parts, 1, keep), ""), F.lit(2))
 
     return let(cut, matching)
 
