@@ -17,7 +17,7 @@ ENTITIES = {
     "&#39;": "'", "&apos;": "'", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&amp;": "&",
 }
 # --- Fixed values: where a page keeps its parts, in order of preference ---
-BODY_CONTAINERS = [("article", ""), ("div", 'id="content"'), ("main", "")]
+BODY_CONTAINERS = [("article", ""), ("div", r'\sid="content"'), ("main", "")]
 TITLE_TAGS = ["h1", "title"]
 DATE_TAGS = ["time"]
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from newspulse.functions import fixed, text
 from newspulse.operators.rows import exploded
+from newspulse.session import settle
 from newspulse.operators.ranking import expand_ranks, rank_ranges, running_totals, top_k_per_group
 
 
@@ -169,6 +170,10 @@ def doc_keywords(docs: DataFrame, content: str, pattern: str = fixed.HANGUL_WORD
 def tagged_tokens(
     tokens_long: DataFrame, tags: DataFrame, allowed: Sequence[str] = fixed.KEPT_TAGS
 ) -> DataFrame:
-    """Keep token rows whose dictionary tag, cut to 3 characters, is allowed."""
-    kept = tags.where(F.substring("tag", 1, 3).isin(list(allowed))).select("word").distinct()
+    """Keep token rows whose dictionary tag, cut to 3 characters, is allowed.
+
+    The allowed words are settled first: a dictionary of usual size is then
+    broadcast and the tokens are not shuffled.
+    """
+    kept = settle(tags.where(F.substring("tag", 1, 3).isin(list(allowed))).select("word").distinct(), "allowed-words")
     return tokens_long.join(kept, "word", "left_semi")

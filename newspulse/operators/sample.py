@@ -19,30 +19,28 @@ def tagging_sample(
 ) -> DataFrame:
     """A numbered, shuffled sheet with a fixed quota of rows per label.
 
-    Rows are drawn in the order of a hash of seed and key, so the draw is
-    uniform and repeatable. A class smaller than its quota gives what it
-    has; ``quota_met`` tells.
+    Rows are drawn in the order of a hash of seed and key (unique), so the
+    draw is uniform and repeatable. A class smaller than its quota gives
+    what it has; ``quota_met`` tells. The draw ranks keys and labels only;
+    the texts are then looked up for the drawn keys, which the quotas bound.
     """
     quotas = quotas or fixed.SAMPLE_QUOTAS
     limit = F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair])
-    drawn = (
-        articles.where(F.col(label).isin(list(quotas)))
-        .select(
-            F.col(key), "title", F.substring("content", 1, fixed.BODY_PREFIX).alias("body_start"),
-            F.col(label).alias("predicted"), F.col(confidence).alias("confidence"),
-            F.md5(F.concat(F.lit(f"{seed}|draw|"), F.col(key).cast("string"))).alias("_draw"),
-        )
+    hashed = lambda step: F.md5(F.concat(F.lit(f"{seed}|{step}|"), F.col(key).cast("string")))
+    narrow = articles.where(F.col(label).isin(list(quotas))).select(
+        key, F.col(label).alias("predicted"), hashed("draw").alias("_draw")
     )
-    biggest = max(quotas.values())
-    ranked = top_k_per_group(drawn, ["predicted"], [F.asc("_draw"), F.asc(key)], biggest, "_rank").where(
+    drawn = top_k_per_group(narrow, ["predicted"], [F.asc("_draw"), F.asc(key)], max(quotas.values()), "_rank").where(
         F.col("_rank") <= limit[F.col("predicted")]
     )
-    per_class = Window.partitionBy("predicted")
-    shuffled = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}|shuffle|"), F.col(key).cast("string"))), key)
-    return ranked.select(
-        F.row_number().over(shuffled).cast("long").alias("number"),
-        key, "title", "body_start", "predicted", "confidence",
-        F.lit("").alias("hand_label"),
-        F.lit("").alias("match"),
-        (F.count(F.lit(1)).over(per_class) == limit[F.col("predicted")]).alias("quota_met"),
+    sheet = drawn.select(
+        key,
+        F.row_number().over(Window.orderBy(hashed("shuffle"), key)).cast("long").alias("number"),
+        "predicted",
+        (F.count(F.lit(1)).over(Window.partitionBy("predicted")) == limit[F.col("predicted")]).alias("quota_met"),
+    )
+    # At most sum(quotas) rows, so the broadcast is bounded.
+    return articles.join(F.broadcast(sheet), key).select(
+        "number", key, "title", F.substring("content", 1, fixed.BODY_PREFIX).alias("body_start"), "predicted",
+        F.col(confidence).alias("confidence"), F.lit("").alias("hand_label"), F.lit("").alias("match"), "quota_met",
     )

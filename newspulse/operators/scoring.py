@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from newspulse.functions import fixed, sentiment, text
 
@@ -48,26 +47,22 @@ def score_with_model(
 ) -> DataFrame:
     """Score with a model that ``scorer_factory`` loads once per task.
 
-    A scorer takes a list of texts and returns (label, score) for each. Blank
+    Only the text column travels to Python. A scorer takes a list of texts and returns (label, score) for each. Blank
     text is neutral, 0.0 without a call; a batch whose call fails is neutral,
     0.0 as a whole. ``threshold=None, digits=None`` gives the plain argmax
     form.
     """
-    schema = T.StructType(
-        [f for f in articles.schema if f.name not in ("sentiment", "confidence")]
-        + [T.StructField("sentiment", T.StringType()), T.StructField("confidence", T.DoubleType())]
-    )
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("sentiment string, confidence double")
+    def scores_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = scorer_factory()
-        for frame in frames:
-            texts = frame[text_col].fillna("")
+        for series in batches:
+            texts = series.fillna("").tolist()
             filled = [i for i, t in enumerate(texts) if t.strip()]
-            labels, scores = ["neutral"] * len(frame), [0.0] * len(frame)
+            labels, scores = ["neutral"] * len(texts), [0.0] * len(texts)
             for at in range(0, len(filled), batch_size):
                 rows = filled[at : at + batch_size]
                 try:
-                    results = [(lab.lower(), float(s)) for lab, s in scorer([texts.iloc[i] for i in rows])]
+                    results = [(lab.lower(), float(s)) for lab, s in scorer([texts[i] for i in rows])]
                     if len(results) != len(rows):
                         raise ValueError("a scorer must return one result per text")
                 except Exception:
@@ -75,9 +70,13 @@ def score_with_model(
                 for i, (lab, s) in zip(rows, results):
                     labels[i] = "neutral" if threshold is not None and s < threshold else lab
                     scores[i] = s if digits is None else round(s, digits)
-            yield frame.assign(sentiment=labels, confidence=scores)[schema.fieldNames()]
+            yield pd.DataFrame({"sentiment": labels, "confidence": scores})
 
-    return articles.mapInPandas(run, schema)
+    # Marked nondeterministic so that no later filter runs the model again.
+    scored = articles.drop("sentiment", "confidence").withColumn(
+        "_scored", scores_of.asNondeterministic()(F.col(text_col))
+    )
+    return scored.select("*", "_scored.sentiment", "_scored.confidence").drop("_scored")
 
 
 def refine_articles(

@@ -76,11 +76,17 @@ def append_new(spark, sf):
     return state.append_rows(stored, state.new_articles(incoming, stored, [F.col("doc_id")]))
 
 
-@query(
-    "upsert_by_key",
-    f"""WITH {STORED_SQL}, both_ AS (SELECT *, 0 AS v FROM stored UNION ALL SELECT *, 1 FROM incoming)
- SELECT {ROWS} FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY v DESC, doc_id) AS r FROM both_) WHERE r = 1""",
-)
+UPSERT_SQL = f"""WITH {STORED_SQL}, both_ AS (SELECT *, 0 AS v FROM stored UNION ALL SELECT *, 1 FROM incoming)
+ SELECT {ROWS} FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY v DESC, doc_id) AS r FROM both_) WHERE r = 1"""
+
+
+@query("upsert_unique_store", UPSERT_SQL)
+def upsert_unique_store(spark, sf):
+    stored, incoming = _stored_incoming(spark, sf)
+    return state.upsert(stored, incoming, [F.col("doc_id")], stored_is_unique=True)
+
+
+@query("upsert_by_key", UPSERT_SQL)
 def upsert_by_key(spark, sf):
     stored, incoming = _stored_incoming(spark, sf)
     return state.upsert(stored, incoming, [F.col("doc_id")])

@@ -15,7 +15,7 @@ from newspulse.functions.dates import parse_timestamp
 from newspulse.operators import daily as ops
 from newspulse.operators.ranking import top_k_per_group
 from newspulse.operators.scoring import refine_articles, score_with_lexicon
-from newspulse.operators.state import new_articles
+from newspulse.operators.state import known_keys, new_articles
 from newspulse.streaming import store
 
 POLL_INTERVAL = "300 seconds"
@@ -63,7 +63,8 @@ def ingest_new(
 
     def work(batch: DataFrame, batch_id: int) -> None:
         stored = store.read_store(batch.sparkSession, root, schema, before=batch_id)
-        store.write_batch(new_articles(batch, stored, order, key), root, batch_id)
+        known = known_keys(batch, stored, key)
+        store.write_batch(new_articles(batch, known, order, key), root, batch_id)
 
     return start(stream, work, checkpoint, once)
 
@@ -170,7 +171,7 @@ def refresh(stream: DataFrame, root: str, checkpoint: str, settings: RefreshSett
         session = batch.sparkSession
         stored = store.read_store(session, articles, schema, before=batch_id)
         order = [F.col(c) for c in settings.order]
-        fresh = score_batch(new_articles(batch, stored, order), settings)
+        fresh = score_batch(new_articles(batch, known_keys(batch, stored), order), settings)
         store.write_batch(fresh, articles, batch_id, partition_by="date_only")
         added = store.read_batch(session, articles, batch_id, schema)
 
