@@ -78,10 +78,12 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean order price per day; cents are summed exactly, in any order."""
+    cents = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
     return (
         table(spark, sf_dir, "orders")
         .groupBy(F.to_date("o_orderdate").alias("Date"))
-        .agg(F.avg("o_totalprice").alias("Close"))
+        .agg((cents / F.count(F.lit(1))).alias("Close"))
     )
 
 
@@ -149,7 +151,7 @@ SIGNAL_SQL = """signal AS (
   FROM lineitem)"""
 
 PRICE_SQL = """price AS (
-  SELECT CAST(o_orderdate AS DATE) AS date_only, avg(o_totalprice) AS close FROM orders GROUP BY 1)"""
+  SELECT CAST(o_orderdate AS DATE) AS date_only, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS close FROM orders GROUP BY 1)"""
 
 LISTING_SQL = """listing AS (
   SELECT event_id // 80 AS month, (event_id * 31) % 40 AS page, event_id AS pos,

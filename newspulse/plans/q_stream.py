@@ -18,7 +18,8 @@ def _events(spark, sf):
     e = fx.table(spark, sf, "events")
     return e.select(
         F.concat(F.lit("https://news.example/e/"), F.col("event_id").cast("string")).alias("url"),
-        F.col("event_type"), F.col("ts").cast("timestamp").alias("ts"), "value", "event_id",
+        F.col("event_type"), F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).cast("long").alias("value"),
+        "event_id",
     )
 
 
@@ -50,13 +51,14 @@ def stream_ingest(spark, sf):
 
 @query(
     "stream_daily",
-    """SELECT strftime(ts, '%Y-%m-%d') AS date_only, round(avg(value), 6) AS sentiment_mean, count(value) AS article_count
+    """SELECT strftime(ts, '%Y-%m-%d') AS date_only, round(avg(CAST(round(value * 100) AS BIGINT)), 6) AS sentiment_mean, count(value) AS article_count
  FROM events GROUP BY 1""",
 )
 def stream_daily(spark, sf):
     path = scratch_path(spark, "daily")
     schema = fx.table(spark, sf, "events").schema
     rows = jobs.article_stream(spark, sf, schema, pathGlobFilter="events.parquet")
+    rows = rows.withColumn("value", F.round(F.col("value") * 100).cast("long"))
     jobs.write_daily(jobs.daily_windows(rows, "ts", "value"), f"{path}/log", f"{path}/checkpoint", True).awaitTermination()
     return jobs.latest_daily(spark, f"{path}/log")
 
@@ -77,7 +79,7 @@ def stream_dedup(spark, sf):
     return saved.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("url").alias("urls"))
 
 
-@query("stream_resume", "SELECT event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1")
+@query("stream_resume", "SELECT event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
 def stream_resume(spark, sf):
     """Stopped after each delivery and resumed; a repeat changes nothing."""
     path = scratch_path(spark, "resume")
