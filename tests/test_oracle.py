@@ -8,16 +8,15 @@ import pytest
 from newspulse.plans import catalog
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
-
-@pytest.fixture(scope="module")
-def con():
-    return oracle_check.connect(SF_DIR)
+# Too few articles for an event in the smallest tables.
+NEEDS_MORE_ROWS = {"incremental_refresh": "/root/testdata/sf0.01"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
-def test_query_equals_sql(spark, con, name):
-    problem = oracle_check.compare(catalog.QUERIES[name](spark, SF_DIR), con, catalog.ORACLES[name])
+def test_query_equals_sql(spark, name):
+    sf_dir = NEEDS_MORE_ROWS.get(name, SF_DIR)
+    con = oracle_check.connect(sf_dir)
+    problem = oracle_check.compare(catalog.QUERIES[name](spark, sf_dir), con, catalog.ORACLES[name])
     assert problem is None, problem
 
 
