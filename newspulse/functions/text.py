@@ -151,7 +151,7 @@ def term_counts(tokens_col: Column | str) -> Column:
     Sorting the tokens inside the row makes equal words adjacent, so a row's
     counts need no shuffle.
     """
-    placed = F.array_sort(
+    placed = F.sort_array(
         F.transform(as_col(tokens_col), lambda w, i: F.struct(w.alias("word"), i.alias("pos")))
     )
 
@@ -182,7 +182,7 @@ def term_counts(tokens_col: Column | str) -> Column:
 
 def top_terms(counts: Column | str, n: int = 5) -> Column:
     """The ``n`` most frequent words of a row, ties by first appearance."""
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.transform(
             as_col(counts),
             lambda t: F.struct((-t["n"]).alias("k"), t["first_pos"].alias("p"), t["word"].alias("word")),
@@ -197,7 +197,7 @@ def has_script(c: Column | str, script: str = fixed.HANGUL, longer_than: int = 1
 
 def longest(candidates: Column | str) -> Column:
     """The longest text of an array, the first one on ties; null when empty."""
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.transform(
             as_col(candidates),
             lambda t, i: F.struct((-F.char_length(t)).alias("k"), i.alias("i"), t.alias("text")),

@@ -102,7 +102,8 @@ def event_summary(articles: DataFrame, events: DataFrame, order: str, n: int = 3
     A sentence goes on into the next article when a text ends without a
     terminator. The cut is found first: among a day's articles that contain
     a break, the first ``n`` are enough to see the ``n``-th break. Only
-    articles up to that one are gathered, each clipped to ``n`` sentences.
+    articles up to that one are gathered, each clipped to ``n`` sentences:
+    exactly the texts that the summary is cut from.
     ``events`` should be a settled table; ``order`` must be unique.
     """
     texts = articles.where(text.ends_sentence("content")).select(
@@ -127,7 +128,7 @@ def event_summary(articles: DataFrame, events: DataFrame, order: str, n: int = 3
         .select("date_only", order, text.lead_summary("content", n).alias("_text"))
     )
     gathered = kept.groupBy("date_only").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_text").alias("t")))).alias("_parts")
+        F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_text").alias("t")))).alias("_parts")
     )
     whole = F.array_join(F.transform("_parts", lambda p: p["t"]), " ")
     return gathered.select("date_only", text.lead_summary(whole, n).alias("summary"))

@@ -73,7 +73,8 @@ def page_stop_rule(
     """
     counted = _pages_with_news(listing, contains, url)
     grid = (
-        counted.groupBy("month")
+        counted.where(F.col("page") < pages)
+        .groupBy("month")
         .agg(F.map_from_entries(F.collect_list(F.struct("page", F.struct("items", "added")))).alias("_m"))
         .select("month", "_m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pages - 1).cast("long"))).alias("page"))
         .select(

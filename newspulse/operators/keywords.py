@@ -173,7 +173,8 @@ def tagged_tokens(
     """Keep token rows whose dictionary tag, cut to 3 characters, is allowed.
 
     The allowed words are settled first: a dictionary of usual size is then
-    broadcast and the tokens are not shuffled.
+    broadcast and the tokens are not shuffled. Beyond that size AQE splits
+    the partitions of very frequent words.
     """
     kept = settle(tags.where(F.substring("tag", 1, 3).isin(list(allowed))).select("word").distinct(), "allowed-words")
     return tokens_long.join(kept, "word", "left_semi")

@@ -39,7 +39,7 @@ def event_payload(
     keywords = (
         event_keywords(articles, events, order, pattern)
         .groupBy("date_only")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("_k"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "word"))).alias("_k"))
         .select("date_only", F.array_join(F.transform("_k", lambda k: k["word"]), ", ").alias("keyword"))
     )
     summary = event_summary(articles, events, order)

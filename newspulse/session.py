@@ -25,6 +25,23 @@ def build_session(app_name: str = "newspulse", master: str | None = None, **extr
     return builder.getOrCreate()
 
 
+def cluster_settings(cores: int) -> dict[str, str]:
+    """Settings for large tables, to pass to ``build_session``.
+
+    Shuffles start with a few partitions per core, which AQE merges up to the
+    advisory size, so one setting serves small and large steps; scan splits
+    are sized so that a text partition fits well into an executor.
+    """
+    return {
+        "spark.sql.shuffle.partitions": str(3 * cores),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(3 * cores),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.parquet.aggregatePushdown": "true",
+    }
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
