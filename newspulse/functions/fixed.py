@@ -39,8 +39,9 @@ CORRESPONDENT_LINE = r"(?dmU)^\s*\S+\s+특파원\s*$"
 ARROW_TAIL = r"(?dmU)[▶☞].*$"
 BRACKETED_NOTE = r"(?dmU)【.*?】"
 END_MARK = r"(?dmU)\(끝\)\s*$"
-EMAIL_LINE = r"(?dmU)^.*?@.*?\.(com|co\.kr|net|org).*$"
-EMAIL_LINE_SHORT = r"(?dmU)^.*?@.*?\.(com|co\.kr).*$"
+# A line with an address: whatever follows a later @ also follows the first.
+EMAIL_LINE = r"(?dmU)^[^@\n]*+@.*?\.(com|co\.kr|net|org).*$"
+EMAIL_LINE_SHORT = r"(?dmU)^[^@\n]*+@.*?\.(com|co\.kr).*$"
 
 BOILERPLATE = [
     BYLINE, COPYRIGHT, RIGHTS_HOLDER, REPORTER_LINE, CORRESPONDENT_LINE,

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +21,7 @@ from newspulse.operators.scoring import refine_articles, score_with_lexicon
 from newspulse.operators.state import known_keys, new_articles
 from newspulse.streaming import store
 
+log = logging.getLogger(__name__)
 POLL_INTERVAL = "300 seconds"
 DAY_STATE = "date_only date, total long, article_count long"
 HEADLINES = "date_only date, title string, final_sentiment string, confidence double, url string"
@@ -45,6 +49,26 @@ def start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint:
     )
 
 
+def supervise(start_query: Callable[[], StreamingQuery], pause: float = 300.0, max_failures: int | None = None) -> int:
+    """Keep a job running: after an error wait and start it again.
+
+    The checkpoint makes the failed batch run again. Returns the number of
+    failures once the job ends by itself; gives up, with the error, after
+    ``max_failures`` of them.
+    """
+    failures = 0
+    while True:
+        try:
+            start_query().awaitTermination()
+            return failures
+        except StreamingQueryException:
+            failures += 1
+            if max_failures is not None and failures >= max_failures:
+                raise
+            log.exception("stream failed, starting again in %s seconds", pause)
+            time.sleep(pause)
+
+
 def ingest(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Append arriving rows to a table; the file sink commits each file once."""
     trigger = {"availableNow": True} if once else {"processingTime": POLL_INTERVAL}
@@ -153,6 +177,19 @@ def recent_days(days: DataFrame, scored: DataFrame, settings: RefreshSettings) -
     return whole.unionByName(_sums(first))
 
 
+def stored_schema(spark: SparkSession, incoming: StructType | str, settings: RefreshSettings) -> StructType:
+    """Schema of stored articles; the partition column comes last."""
+    schema = score_batch(spark.createDataFrame([], incoming), settings).schema
+    return StructType([f for f in schema if f.name != "date_only"]).add("date_only", "date")
+
+
+def rewrite_refresh_store(spark: SparkSession, root: str, new_root: str, schema: StructType, last_batch: int) -> None:
+    """Move a stopped refresh to a new root with one folder per table."""
+    store.rewrite_store(spark, f"{root}/articles", f"{new_root}/articles", schema, last_batch, "date_only")
+    for name, fields in (("day_state", DAY_STATE), ("headline_state", HEADLINES)):
+        store.write_batch(store.read_batch(spark, f"{root}/{name}", last_batch, fields), f"{new_root}/{name}", last_batch)
+
+
 def refresh(stream: DataFrame, root: str, checkpoint: str, settings: RefreshSettings, once: bool = False) -> StreamingQuery:
     """Store new articles and bring daily, events and event_news up to date.
 
@@ -163,9 +200,7 @@ def refresh(stream: DataFrame, root: str, checkpoint: str, settings: RefreshSett
     spark = stream.sparkSession
     articles, day_state, headline_state = f"{root}/articles", f"{root}/day_state", f"{root}/headline_state"
     store.guard_store(spark, day_state, checkpoint)
-    schema = score_batch(spark.createDataFrame([], stream.schema), settings).schema
-    # A partition column is read back last.
-    schema = StructType([f for f in schema if f.name != "date_only"]).add("date_only", "date")
+    schema = stored_schema(spark, stream.schema, settings)
 
     def work(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession

@@ -58,6 +58,18 @@ def read_store(spark: SparkSession, root: str, schema: StructType | str, before:
     return rows.select(*fields.fieldNames())
 
 
+def rewrite_store(
+    spark: SparkSession, root: str, new_root: str, schema: StructType | str, last_batch: int, partition_by: str | None = None
+) -> None:
+    """Copy a store's batches up to ``last_batch`` into one folder of a new root.
+
+    For a stopped stream with many small folders. The stream goes on with the
+    new root and its old checkpoint.
+    """
+    rows = read_store(spark, root, schema, before=last_batch + 1)
+    write_batch(rows, new_root, last_batch, partition_by)
+
+
 def guard_store(spark: SparkSession, root: str, checkpoint: str) -> None:
     """Refuse a used store with a fresh checkpoint: batch numbers would restart."""
     used = read_if_present(spark, root, StructType()) is not None

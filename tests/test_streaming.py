@@ -99,3 +99,54 @@ def test_refresh_daily_equals_the_batch_operator(spark):
     scored = jobs.score_batch(spark.createDataFrame(rows, ARTICLE), settings(lexicon_correction=True))
     want = daily.with_change(daily.daily_sentiment(scored, min_count=2))
     assert out(spark, path, "daily") == sorted(tuple(r) for r in want.collect())
+
+
+def test_supervised_job_goes_on_after_an_error(spark):
+    path = scratch_path(spark, "supervised")
+    spark.range(5).selectExpr("id AS k").write.parquet(f"{path}/in")
+    calls = []
+
+    def work(batch, batch_id):
+        calls.append(batch_id)
+        if len(calls) == 1:
+            raise RuntimeError("first try fails")
+        store.write_batch(batch, f"{path}/store", batch_id)
+
+    def start():
+        return jobs.start(jobs.article_stream(spark, f"{path}/in", "k long"), work, f"{path}/checkpoint", once=True)
+
+    assert jobs.supervise(start, pause=0.0) == 1
+    assert calls == [0, 0]
+    assert store.read_store(spark, f"{path}/store", "k long").count() == 5
+    with pytest.raises(Exception, match="always"):
+        spark.range(1).selectExpr("id AS k").write.mode("append").parquet(f"{path}/in")
+
+        def fails(batch, batch_id):
+            raise RuntimeError("always")
+
+        jobs.supervise(
+            lambda: jobs.start(jobs.article_stream(spark, f"{path}/in", "k long"), fails, f"{path}/checkpoint", once=True),
+            pause=0.0, max_failures=2,
+        )
+
+
+def test_rewritten_store_holds_the_same_rows(spark):
+    path = scratch_path(spark, "rewrite")
+    for i in range(3):
+        store.write_batch(spark.range(i, i + 2).selectExpr("id AS k", "DATE'2024-01-01' AS date_only"), f"{path}/a", i, "date_only")
+    store.rewrite_store(spark, f"{path}/a", f"{path}/b", "k long, date_only date", 1, "date_only")
+    assert sorted(r[0] for r in store.read_store(spark, f"{path}/b", "k long, date_only date").collect()) == [0, 1, 1, 2]
+
+
+def test_refresh_goes_on_after_a_rewrite(spark):
+    rows = [article(i, f"2024-01-0{1 + i % 4} 10:00:00", ["good", "bad", "x"][(i % 4) % 3]) for i in range(24)]
+    old, new, whole = scratch_path(spark, "old"), scratch_path(spark, "new"), scratch_path(spark, "all")
+    run(spark, old, rows[:10], settings())
+    run(spark, old, rows[8:16], settings())
+    jobs.rewrite_refresh_store(spark, old, new, jobs.stored_schema(spark, ARTICLE, settings()), 1)
+    spark.createDataFrame(rows[12:], ARTICLE).coalesce(1).write.mode("append").parquet(f"{old}/in")
+    stream = jobs.article_stream(spark, f"{old}/in", ARTICLE)
+    jobs.refresh(stream, new, f"{old}/checkpoint", settings(), once=True).awaitTermination()
+    run(spark, whole, rows, settings())
+    for name in ("daily", "events", "event_news"):
+        assert out(spark, new, name) == out(spark, whole, name) != []
