@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,12 +11,8 @@ from pyspark.sql import functions as F
 from newspulse.functions import fixed
 from newspulse.functions.text import as_col, first_filled, let, lines, strip, text_or_empty
 
-# --- Fixed values: named character references, ampersand last -------------
-ENTITIES = {
-    "&nbsp;": " ", "&middot;": "·", "&copy;": "©", "&hellip;": "…",
-    "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”",
-    "&#39;": "'", "&apos;": "'", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&amp;": "&",
-}
+# Named character references of HTML 4, from the standard library.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
 # --- Fixed values: where a page keeps its parts, in order of preference ---
 BODY_CONTAINERS = [("article", ""), ("div", r'\sid="content"'), ("main", "")]
 TITLE_TAGS = ["h1", "title"]
@@ -31,10 +28,40 @@ def visible_html(html: Column | str) -> Column:
 
 
 def unescape(c: Column | str) -> Column:
+    """Replace named and numeric character references, each one once."""
     text = as_col(c)
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    names = F.split(F.lit("\x00".join(ENTITIES)), "\x00")
+    table = F.map_from_arrays(names, F.split(F.lit("\x00".join(ENTITIES.values())), "\x00"))
+
+    def decoded(part: Column) -> Column:
+        return let(
+            F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1),
+            lambda name: F.when(name == "", F.concat(F.lit("&"), part)).otherwise(
+                F.coalesce(
+                    F.concat(
+                        F.when(name.startswith("#"), _numbered(name)).otherwise(F.try_element_at(table, name)),
+                        F.substr(part, F.char_length(name) + 2),
+                    ),
+                    F.concat(F.lit("&"), part),
+                )
+            ),
+        )
+
+    pieces = let(
+        F.split(text, "&"),
+        lambda p: F.array_join(F.transform(p, lambda x, i: F.when(i == 0, x).otherwise(decoded(x))), ""),
+    )
+    return F.when(text.contains("&"), pieces).otherwise(text)
+
+
+def _numbered(name: Column) -> Column:
+    """Character of ``#39`` or ``#x27``; null outside the Unicode range."""
+    digits = F.substr(name, F.lit(2))
+    code = F.when(
+        F.lower(digits).startswith("x"), F.conv(F.substr(digits, F.lit(2)), 16, 10)
+    ).otherwise(digits).cast("long")
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
 def inner_html(html: Column | str, tag: str, attributes: str = "") -> Column:
