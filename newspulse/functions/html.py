@@ -101,8 +101,10 @@ def joined_text(html: Column | str) -> Column:
     return F.array_join(F.filter(pieces, lambda p: p != ""), "")
 
 
-def element_text(html: Column | str, tag: str) -> Column:
-    return joined_text(F.regexp_extract(text_or_empty(html), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1))
+def first_element_texts(html: Column | str, tags: Sequence[str]) -> Column:
+    """Text of the first element of each tag, as an array."""
+    found = [F.regexp_extract(text_or_empty(html), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1) for tag in tags]
+    return F.transform(F.array(*found), joined_text)
 
 
 def element_texts(html: Column | str, tag: str) -> Column:
@@ -131,9 +133,8 @@ def page_title(
     site_names: Sequence[str] = (),
 ) -> Column:
     """First filled title element, else the list title, without site suffix."""
-    candidates = [element_text(html, t) for t in tags]
-    if fallback is not None:
-        candidates.append(as_col(fallback))
+    in_page = F.get(F.filter(first_element_texts(html, tags), lambda t: t != ""), F.lit(0))
+    candidates = [in_page] if fallback is None else [in_page, as_col(fallback)]
     return strip_site_suffix(F.coalesce(first_filled(*candidates), F.lit("")), site_names)
 
 
@@ -143,13 +144,9 @@ def page_body(
     min_length: int = fixed.MIN_BODY_ELEMENT,
 ) -> Column:
     """Lines of the first container with enough text; null when none has."""
-    choices = []
-    for tag, attributes in containers:
-        inner = inner_html(html, tag, attributes)
-        choices.append(
-            let(inner, lambda h: F.when(F.char_length(joined_text(h)) > min_length, text_lines(h)))
-        )
-    return F.coalesce(*choices)
+    inner = F.array(*[inner_html(html, tag, attributes) for tag, attributes in containers])
+    filled = F.filter(inner, lambda h: F.char_length(joined_text(h)) > min_length)
+    return F.get(F.transform(F.slice(filled, 1, 1), text_lines), F.lit(0))
 
 
 def page_date(html: Column | str, fallback: Column | str | None = None, tags: Sequence[str] = DATE_TAGS) -> Column:
@@ -161,7 +158,7 @@ def page_date(html: Column | str, fallback: Column | str | None = None, tags: Se
         F.regexp_extract(page, rf"(?is)\bdata-date-time\s*{quoted}", 1),
         F.regexp_extract(page, rf"(?is)<meta\b[^>]*{published}[^>]*\bcontent\s*{quoted}", 1),
         F.regexp_extract(page, rf"(?is)<meta\b[^>]*\bcontent\s*{quoted}[^>]*{published}", 1),
-        *[element_text(page, t) for t in tags],
+        F.get(F.filter(first_element_texts(page, tags), lambda t: t != ""), F.lit(0)),
     ]
     if fallback is not None:
         candidates.append(as_col(fallback))

@@ -17,6 +17,8 @@ def build_session(app_name: str = "newspulse", master: str | None = None, **extr
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Noting the call site of every expression slows plan building down.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
