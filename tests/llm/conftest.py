@@ -1,0 +1,7 @@
+import pytest
+
+
+@pytest.fixture(scope="session", autouse=True)
+def shared_folder(spark, tmp_path_factory):
+    """Intermediate tables go below pytest's own folder."""
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
