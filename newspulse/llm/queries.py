@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newspulse.llm import mixing, urlfilter
+from newspulse.llm import exact_dedup, langid, licenses, mixing, quality, urlfilter
 from newspulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,38 @@ def query(fn):
     return fn
 
 
+@query
+def op2_stateful_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the one that stays of their equals."""
+    return exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
+
+
+ORACLES["op2_stateful_dedup"] = """
+SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
+       count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents"""
+
+
+@query
+def op5_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op6_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return langid.learn_and_identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and detections in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query
 def op9_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 5, 2, 1, in training order."""
