@@ -76,7 +76,7 @@ def _counts(df: DataFrame, *keys: str) -> DataFrame:
 
 def _generalise(tree: DataFrame, depth: int) -> DataFrame:
     """Give the rare branches of crowded parents a wildcard at ``depth``."""
-    here = tree.where(F.size("t") > depth).select("host", F.slice("t", 1, depth).alias("p"), F.col("t")[depth].alias("s"), "n")
+    here = tree.where(F.size("t") > depth).select("host", F.slice("t", 1, depth).alias("p"), F.get("t", F.lit(depth)).alias("s"), "n")
     children = here.groupBy("host", "p", "s").agg(F.sum("n").alias("n"))
     parents = children.groupBy("host", "p").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("branches"))
     rare = children.join(parents, ["host", "p"]).where(
@@ -87,7 +87,7 @@ def _generalise(tree: DataFrame, depth: int) -> DataFrame:
 
 def _rename(tree: DataFrame, depth: int, names: DataFrame) -> DataFrame:
     names = names.select(F.col("host").alias("h"), F.col("p"), F.col("s"), F.col("to"))
-    on = (F.col("host") == F.col("h")) & (F.slice("t", 1, depth) == F.col("p")) & (F.col("t")[depth] == F.col("s"))
+    on = (F.col("host") == F.col("h")) & (F.slice("t", 1, depth) == F.col("p")) & (F.get("t", F.lit(depth)) == F.col("s"))
     t = F.when(F.col("to").isNull(), F.col("t")).otherwise(
         F.concat(F.slice("t", 1, depth), F.array("to"), F.slice("t", depth + 2, 1 << 30)))
     return tree.join(names, on & (F.size("t") > depth), "left").select("host", "shape", t.alias("t"), "n", "labelled", "blocked")
@@ -101,7 +101,7 @@ def _merge(tree: DataFrame, depth: int) -> DataFrame:
     ``Z`` standard errors of the pooled one.
     """
     below = _counts(tree.where(F.size("t") > depth + 1).select(
-        "host", F.slice("t", 1, depth).alias("p"), F.col("t")[depth].alias("s"),
+        "host", F.slice("t", 1, depth).alias("p"), F.get("t", F.lit(depth)).alias("s"),
         F.slice("t", depth + 2, 1 << 30).alias("sub"), "n", "labelled", "blocked"), "host", "p", "s", "sub")
     branch = _counts(below, "host", "p", "s").select(
         "host", "p", "s", F.col("n").alias("bn"), F.col("labelled").alias("bl"), F.col("blocked").alias("bb"))
