@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newspulse.llm import exact_dedup, langid, licenses, mixing, quality, urlfilter
+from newspulse.llm import decontam, exact_dedup, langid, licenses, mixing, quality, urlfilter
 from newspulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
 FROM documents"""
 
 
+@query
+def op3_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with every benchmark item found in it."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op5_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document."""
