@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newspulse.llm import decontam, exact_dedup, langid, licenses, mixing, quality, urlfilter
+from newspulse.llm import decontam, exact_dedup, langid, licenses, mixing, neardup, quality, urlfilter
 from newspulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,12 @@ def op6_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.learn_and_identify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-copies among all documents: 3-word shingles, 85 percent."""
+    return neardup.cluster(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 @query
 def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and detections in every document."""
