@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newspulse.llm import decontam, exact_dedup, langid, licenses, mixing, neardup, quality, urlfilter
+from newspulse.llm import decontam, exact_dedup, langid, licenses, mixing, neardup, quality, substrings, urlfilter
 from newspulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,12 @@ def op3_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op4_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 400-byte strings that occur elsewhere."""
+    return substrings.remove(table(spark, sf_dir, "documents")).drop("text", "spans")
+
+
 @query
 def op5_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document."""
