@@ -22,6 +22,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # A finished task closes its store; the shared checkpoint has the state.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
