@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newspulse.llm import decontam, exact_dedup, langid, licenses, mixing, neardup, quality, substrings, urlfilter
+from newspulse.llm import decontam, exact_dedup, langid, licenses, lm, mixing, neardup, quality, substrings, urlfilter
 from newspulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-probability of every document."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_stateful_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the one that stays of their equals."""
