@@ -8,6 +8,10 @@ from newspulse.llm import stages
 from newspulse.session import settle
 
 STAGES = [
+    ("quality_classifier", stages.keep_quality),
+    ("exact_dedup", stages.drop_copies),
+    ("minhash_near_dedup", stages.drop_near_copies),
+    ("benchmark_decontamination", stages.drop_leaks),
     ("source_mixing", stages.mix_sources),
 ]
 
