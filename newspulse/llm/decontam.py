@@ -18,8 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newspulse.llm.common import slices
-from newspulse.llm.licenses import WORD_BYTES
+from newspulse.llm.common import slices, utf8
 from newspulse.session import settle
 
 FEATURES = 1 << 17  # hashed words
@@ -33,9 +32,13 @@ MIN_WORDS = 6
 ITEMS_AT_ONCE = 50_000  # passages searched in one pass over the documents
 
 
+#: Letters and digits, A-Z lower-cased, bytes of other scripts as they are; all else is a gap.
+_WORD = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)).lower()
+
+
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-case words of letters and digits."""
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
+    """Words of letters and digits, A-Z lower-cased."""
+    return utf8(text).translate(_WORD).split()
 
 
 class _Features(dict):
@@ -55,8 +58,8 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         seen, known = np.zeros(FEATURES + 1, dtype=np.int64), _Features()
         for frame in slices(frames, "text", 4_000_000):
             for text in frame["text"]:
-                w = words_of(text)
-                seen[np.unique(np.fromiter(map(known.__getitem__, w), np.int64, len(w)))] += 1
+                f = set(map(known.__getitem__, set(words_of(text))))
+                seen[np.fromiter(f, np.int64, len(f))] += 1
                 seen[FEATURES] += 1
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"feature": at, "n": seen[at]})
@@ -214,11 +217,11 @@ def _search(docs: DataFrame, items: DataFrame, idf, features, space, cosine: flo
             image = v @ space[np.searchsorted(features, f)]
             vectors.append(image / max(np.linalg.norm(image), 1e-9))
             owner.append(len(checks) - 1)
-    # Row of the latent space by feature; the last one is that of all others.
-    place = np.full(FEATURES, len(features), dtype=np.int32)
+    # Row of the latent space by feature; -1 for a feature of no passage.
+    place = np.full(FEATURES, -1, dtype=np.int32)
     place[features] = np.arange(len(features))
     held = docs.sparkSession.sparkContext.broadcast((
-        np.vstack([space, np.zeros((1, space.shape[1]), np.float32)]), place, idf,
+        space * idf[features][:, None], place, idf,
         np.array(vectors, np.float32).T.copy(), np.array(owner), checks))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,13 +244,14 @@ def _of_document(words, known, space, place, idf, wanted, owner, checks, cosine)
     ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
     weight = idf[ids]
     starts = np.arange(0, len(ids), BLOCK)
-    sums = np.empty((len(starts) + 1, space.shape[1]), np.float32)
-    sums[0] = 0
-    step = BLOCK * 1024
-    for a in range(0, len(ids), step):  # a long text in pieces
-        part = space[place[ids[a : a + step]]] * weight[a : a + step, None]
-        at = starts[a // BLOCK : a // BLOCK + 1024]
-        sums[a // BLOCK + 1 : a // BLOCK + 1 + len(at)] = np.add.reduceat(part, at - a, axis=0)
+    sums = np.zeros((len(starts) + 1, space.shape[1]), np.float32)
+    at = place[ids]
+    inside = np.flatnonzero(at >= 0)
+    for a in range(0, len(inside), BLOCK * 1024):  # a long text in pieces
+        some = inside[a : a + BLOCK * 1024]
+        block = some // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        sums[block[first] + 1] += np.add.reduceat(space[at[some]], first, axis=0)
     norms = np.concatenate([[0.0], np.add.reduceat(weight.astype(np.float64) ** 2, starts)])
     best: dict[int, tuple] = {}
     # Block sums are added per window, not differenced, to keep small values exact.
@@ -257,11 +261,14 @@ def _of_document(words, known, space, place, idf, wanted, owner, checks, cosine)
         for k in range(min(scale, len(starts))):
             w += sums[1 + k : 1 + k + n]
             norm += norms[1 + k : 1 + k + n]
+        # No passage can be nearer than the length of a window's image allows.
+        maybe = np.flatnonzero(np.einsum("nd,nd->n", w, w) >= cosine**2 * norm)
         rows = max(1, 4_000_000 // max(1, wanted.shape[1]))
-        for a in range(0, n, rows):
-            near = (w[a : a + rows] @ wanted) / np.sqrt(np.maximum(norm[a : a + rows], 1e-9))[:, None]
+        for a in range(0, len(maybe), rows):
+            some = maybe[a : a + rows]
+            near = (w[some] @ wanted) / np.sqrt(np.maximum(norm[some], 1e-9))[:, None]
             for i, j in np.argwhere(near >= cosine).tolist():
-                _check(words, (a + i) * BLOCK, scale * BLOCK, owner[j], float(near[i, j]), checks, best)
+                _check(words, int(some[i]) * BLOCK, scale * BLOCK, owner[j], float(near[i, j]), checks, best)
     return [hit for _, hit in sorted(best.items())]
 
 

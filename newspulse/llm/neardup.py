@@ -214,7 +214,7 @@ def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
         cuts = np.flatnonzero(new).tolist()
         if not cuts or cuts[0]:
             held.append(frame.iloc[: cuts[0] if cuts else len(frame)])
-        for a, b in zip(cuts, [*cuts[1:], len(frame)], strict=True):
+        for a, b in zip(cuts, [*cuts[1:], len(frame)], strict=False):
             if held:
                 yield pd.concat(held)
             held = [frame.iloc[a:b]]

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from newspulse.llm.common import held_out, slices, utf8
 
@@ -69,7 +70,7 @@ def with_stats(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "held_out").mapInPandas(run, "doc_id long, held_out boolean, stats array<double>")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def stats_of(text: pd.Series) -> pd.Series:
     return pd.Series([list(text_stats(t)) for t in text])
 
