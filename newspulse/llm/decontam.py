@@ -24,7 +24,7 @@ from newspulse.session import settle
 FEATURES = 1 << 17  # hashed words
 BLOCK = 16  # windows start every so many words ...
 SCALES = (2, 4)  # ... and span so many blocks
-RANK, OVERSAMPLE, POWER = 64, 10, 2
+RANK, OVERSAMPLE, POWER = 128, 10, 2
 COSINE = 0.3  # of a window with a passage's image in the latent space
 SAME, PARAPHRASE = 0.8, 0.55  # share of an item's words found in order
 ANSWER_WORDS = 5  # the end of an item is its answer where it has no other
@@ -154,13 +154,15 @@ class Item:
         for i, w in enumerate(words):
             self.masks[w] = self.masks.get(w, 0) | 1 << i
 
-    def common(self, region: list[bytes]) -> int:
-        """Length of the longest common subsequence with ``region``."""
+    def common(self, region: list[bytes], least: float = 0) -> int:
+        """Length of the longest common subsequence with ``region``; 0 if surely below ``least``."""
+        held = [m for m in map(self.masks.get, region) if m]
+        if len(held) < least:
+            return 0
         full = row = (1 << self.size) - 1
-        for m in map(self.masks.get, region):
-            if m:
-                u = row & m
-                row = ((row + u) | (row - u)) & full
+        for m in held:
+            u = row & m
+            row = ((row + u) | (row - u)) & full
         return self.size - row.bit_count()
 
     def answered(self, region: list[bytes]) -> bool:
@@ -278,7 +280,7 @@ def _check(words, start, span, which, near, checks, best) -> None:
         return
     first = max(0, start - item.size)
     region = words[first : start + span + item.size]
-    lcs = item.common(region)
+    lcs = item.common(region, PARAPHRASE * item.size)
     share = lcs / item.size
     answered = share >= PARAPHRASE and item.answered(region)
     if (share >= SAME or answered) and (which not in best or share > best[which][3]):
