@@ -58,20 +58,21 @@ def monthly_trend(articles: DataFrame, day: str = "date_only", value: str = "sen
 def event_news(articles: DataFrame, events: DataFrame, k: int = 3) -> DataFrame:
     """The ``k`` most confident articles of every event day, ties by url.
 
-    Picking the top rows per day first leaves at most ``k`` rows per day and
-    task for the shuffle; the join with the events then meets small tables
-    that are partitioned by day already.
+    ``events`` should be a settled table: the articles meet it first, so that
+    a store by day is pruned and only rows of event days are ranked; of those
+    at most ``k`` per day and task are shuffled.
     """
+    on_days = articles.where(F.col("date_only").isNotNull()).select(
+        "date_only", "title", "final_sentiment", "confidence", "url"
+    ).join(events.select("date_only").distinct(), "date_only", "left_semi")
     top = top_k_per_group(
-        articles.where(F.col("date_only").isNotNull()).select(
-            "date_only", "title", "final_sentiment", "confidence", "url"
-        ),
+        on_days,
         ["date_only"],
         [F.col("confidence").desc_nulls_last(), F.col("url").asc_nulls_last()],
         k,
         "rank",
     )
-    return top.join(events.select("date_only"), "date_only").select(
+    return top.select(
         F.col("date_only").alias("date"), "rank", "title", F.col("final_sentiment").alias("sentiment")
     )
 
@@ -103,7 +104,10 @@ def event_summary(articles: DataFrame, events: DataFrame, order: str, n: int = 3
     terminator. The cut is found first: among a day's articles that contain
     a break, the first ``n`` are enough to see the ``n``-th break. Only
     articles up to that one are gathered, each clipped to ``n`` sentences:
-    exactly the texts that the summary is cut from.
+    exactly the texts that the summary is cut from. They are put together in
+    two levels, ranges of a day's articles first, so that only the texts of
+    the ranges meet in the day's row. That row itself is as long as the
+    definition makes it: a day without a sentence end keeps all its texts.
     ``events`` should be a settled table; ``order`` must be unique.
     """
     texts = articles.where(text.ends_sentence("content")).select(
@@ -127,8 +131,15 @@ def event_summary(articles: DataFrame, events: DataFrame, order: str, n: int = 3
         .where(F.col("_last").isNull() | (F.col(order) <= F.col("_last")))
         .select("date_only", order, text.lead_summary("content", n).alias("_text"))
     )
-    gathered = kept.groupBy("date_only").agg(
-        F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_text").alias("t")))).alias("_parts")
+    ranged = kept.repartitionByRange("date_only", order).withColumn("_range", F.spark_partition_id())
+    ranges = _joined(settle(ranged, "summary-ranges"), ["date_only", "_range"], order, "_text")
+    whole = _joined(ranges.withColumn("_text", text.lead_summary("_text", n)), ["date_only"], "_range", "_text")
+    return whole.select("date_only", text.lead_summary("_text", n).alias("summary"))
+
+
+def _joined(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """The values of each key as one text, in order."""
+    parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("t"))))
+    return rows.groupBy(*keys).agg(parts.alias("_parts")).select(
+        *keys, F.array_join(F.transform("_parts", lambda p: p["t"]), " ").alias(value)
     )
-    whole = F.array_join(F.transform("_parts", lambda p: p["t"]), " ")
-    return gathered.select("date_only", text.lead_summary(whole, n).alias("summary"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newspulse.functions import fixed
+from newspulse.session import settle
 
 
 def label_distribution(articles: DataFrame, label: str, confidence: str | None = None) -> DataFrame:
@@ -77,13 +77,21 @@ def classification_report(predictions: DataFrame, truth: str, predicted: str) ->
 
 
 def confusion_matrix(
-    predictions: DataFrame, truth: str, predicted: str, classes: Sequence[str] = fixed.LABELS
+    predictions: DataFrame, truth: str, predicted: str, classes: Sequence[str] | None = None
 ) -> DataFrame:
-    """Counts, one row per true class and one column per predicted class."""
+    """Counts, one row per true class and one column per predicted class.
+
+    The classes are the labels found on either side, in order, together with
+    ``classes``; no pair is left out. The driver sees the labels only, from
+    the counts per pair. Pairs with a null on either side don't count.
+    """
     spark = predictions.sparkSession
+    counted = settle(_label_pairs(predictions, truth, predicted), "label-pairs")
+    found = {r.x for r in counted.select(F.explode(F.array("t", "p")).alias("x")).distinct().collect()}
+    classes = sorted(found | set(classes or ()))
     every = spark.createDataFrame([(c,) for c in classes], "t string").select(
         "t", F.col("t").alias("p"), F.lit(0).cast("long").alias("n")
     )
-    pairs = _label_pairs(predictions, truth, predicted).unionByName(every)
+    pairs = counted.unionByName(every)
     cells = [F.coalesce(F.sum(F.when(F.col("p") == c, F.col("n"))), F.lit(0)).alias(f"pred_{c}") for c in classes]
     return pairs.groupBy(F.col("t").alias("true_label")).agg(*cells)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newspulse.functions import fixed, urls
 from newspulse.functions.dates import dotted
 from newspulse.operators.ranking import first_per_key, running_totals
+from newspulse.session import settle
 
 
 def month_ranges(spans: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
@@ -38,25 +39,6 @@ def first_seen(listing: DataFrame, order: list[str], contains: str | None = None
     return first_per_key(links, ["norm_url"], [F.asc(c) for c in order])
 
 
-def _pages_with_news(listing: DataFrame, contains: str | None, url: str) -> DataFrame:
-    """Items and first-seen items per (month, page).
-
-    Only the position of a link's first appearance is shuffled per url.
-    """
-    position = F.struct("month", "page", "pos")
-    first = (
-        listing.where(urls.accepted(url, contains))
-        .select(urls.normalise(url).alias("norm_url"), position.alias("at"))
-        .groupBy("norm_url")
-        .agg(F.min("at").alias("at"))
-        .select("at.month", "at.page", F.lit(0).cast("long").alias("items"), F.lit(1).cast("long").alias("added"))
-    )
-    items = listing.select("month", "page", F.lit(1).cast("long").alias("items"), F.lit(0).cast("long").alias("added"))
-    return items.unionByName(first).groupBy("month", "page").agg(
-        F.sum("items").alias("items"), F.sum("added").alias("added")
-    )
-
-
 def page_stop_rule(
     listing: DataFrame,
     pages: int = fixed.PAGES_PER_MONTH,
@@ -64,39 +46,62 @@ def page_stop_rule(
     last_free_page: int = fixed.LAST_PAGE_WITHOUT_STOP,
     contains: str | None = None,
     url: str = "url",
+    plan: DataFrame | None = None,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
-    """Where the listing of each month stops, and why.
+    """Where the listing of each month stops, and why; months are visited in order.
 
     A month stops on the ``empty_limit``-th empty page in a row, or on a page
-    past ``last_free_page`` that has items but adds none. A month has at
-    most ``pages`` pages, so its window is small.
+    past ``last_free_page`` that has items but adds no url. A url is new where
+    it is first seen on a visited page; one on a page that was not visited is
+    new to the next month that lists it, and one of ``stored`` (column
+    ``url``) is never new. ``plan`` (month, page) names the pages to visit,
+    months without any listed item included; without it they are the first
+    ``pages`` of the months that occur in ``listing``.
+
+    The empty pages don't depend on urls. Whether a page adds any depends on
+    where earlier months stopped, so the second stop is found in rounds: each
+    settles at least the first month whose stop was not final. A round
+    handles one row per url and month, without the listing.
     """
-    counted = _pages_with_news(listing, contains, url)
-    grid = (
-        counted.where(F.col("page") < pages)
-        .groupBy("month")
-        .agg(F.map_from_entries(F.collect_list(F.struct("page", F.struct("items", "added")))).alias("_m"))
-        .select("month", "_m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pages - 1).cast("long"))).alias("page"))
-        .select(
-            "month", "page",
-            F.coalesce(F.col("_m")[F.col("page")]["items"], F.lit(0)).alias("items"),
-            F.coalesce(F.col("_m")[F.col("page")]["added"], F.lit(0)).alias("added"),
-        )
-    )
+    if plan is None:
+        numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pages - 1).cast("long")))
+        plan = listing.select("month").distinct().select("month", numbers.alias("page"))
+    plan = plan.select(F.col("month"), F.col("page").cast("long").alias("page")).distinct()
+    items = listing.groupBy("month", "page").agg(F.count(F.lit(1)).alias("items"))
+    grid = plan.join(items, ["month", "page"], "left").na.fill(0, ["items"])
     so_far = Window.partitionBy("month").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
-    streak = F.col("page") - F.coalesce(F.max(F.when(F.col("items") > 0, F.col("page"))).over(so_far), F.lit(-1))
-    marked = grid.withColumn("_streak", streak).withColumn(
-        "_why",
-        F.when(F.col("_streak") >= empty_limit, "empty_pages").when(
-            (F.col("items") > 0) & (F.col("added") == 0) & (F.col("page") > last_free_page), "nothing_new"
-        ),
-    )
-    stop = F.min(F.when(F.col("_why").isNotNull(), F.col("page"))).over(Window.partitionBy("month"))
-    visited = marked.withColumn("_stop", stop).where(F.col("_stop").isNull() | (F.col("page") <= F.col("_stop")))
+    before = F.coalesce(F.max(F.when(F.col("items") > 0, F.col("page"))).over(so_far), F.lit(-1))
+    month = Window.partitionBy("month")
+    empty = F.min(F.when(F.col("page") - before >= empty_limit, F.col("page"))).over(month)
+    grid = grid.withColumn("empty_stop", empty).where(F.col("empty_stop").isNull() | (F.col("page") <= F.col("empty_stop")))
+    grid = settle(grid, "frontier-grid")
+    links = listing.where(urls.accepted(url, contains)).select("month", "page", urls.normalise(url).alias("u"))
+    firsts = links.join(grid.select("month", "page"), ["month", "page"], "left_semi").groupBy("u", "month").agg(F.min("page").alias("page"))
+    if stored is not None:
+        firsts = firsts.join(stored.select(urls.normalise("url").alias("u")), "u", "left_anti")
+    firsts = settle(firsts, "frontier-urls")
+    stops = settle(grid.groupBy("month").agg(F.max("page").alias("stop")), "frontier-stops")
+    earlier = Window.partitionBy("u").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        taken = F.coalesce(F.sum((F.col("page") <= F.col("stop")).cast("int")).over(earlier), F.lit(0))
+        added = firsts.join(stops, "month").withColumn("_taken", taken).where("_taken = 0").groupBy("month", "page").agg(
+            F.count(F.lit(1)).alias("added"))
+        full = grid.join(added, ["month", "page"], "left").na.fill(0, ["added"])
+        stale = F.min(F.when((F.col("items") > 0) & (F.col("added") == 0) & (F.col("page") > last_free_page), F.col("page")))
+        found = settle(full.withColumn("stale_stop", stale.over(month)), "frontier-round")
+        last = found.groupBy("month").agg(F.coalesce(F.min("stale_stop"), F.max("page")).alias("stop"))
+        new_stops = settle(last, "frontier-stops")
+        moved = new_stops.join(stops.withColumnRenamed("stop", "old"), "month").where("stop <> old")
+        stops = new_stops
+        if moved.isEmpty():
+            break
+    visited = found.where(F.col("stale_stop").isNull() | (F.col("page") <= F.col("stale_stop")))
+    why = F.when(F.max("stale_stop").isNotNull(), "nothing_new").when(F.max("empty_stop").isNotNull(), "empty_pages")
     return visited.groupBy("month").agg(
         F.count(F.lit(1)).alias("pages_visited"),
         F.sum("added").alias("new_urls"),
-        F.coalesce(F.max("_why"), F.lit("page_limit")).alias("stop_reason"),
+        F.coalesce(why, F.lit("page_limit")).alias("stop_reason"),
     )
 
 
@@ -104,12 +109,12 @@ def frontier_progress(
     listing: DataFrame,
     target: int = fixed.TARGET_ARTICLES,
     factor: float = fixed.TARGET_FACTOR,
-    contains: str | None = None,
-    url: str = "url",
+    **rule,
 ) -> DataFrame:
-    """New urls per month and their running total, up to the month that
-    reaches ``factor`` times the target."""
-    per_month = _pages_with_news(listing, contains, url).groupBy("month").agg(F.sum("added").alias("new_urls"))
+    """New urls of the visited pages per month and their running total, up to
+    the month that reaches ``factor`` times the target. ``rule`` goes to
+    ``page_stop_rule``."""
+    per_month = page_stop_rule(listing, **rule).select("month", "new_urls")
     progress = running_totals(per_month, "month", {"new_urls": "total_urls"})
     return progress.where(F.col("total_urls") - F.col("new_urls") < target * factor)
 

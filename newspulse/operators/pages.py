@@ -23,8 +23,14 @@ def extract_articles(
     list_title: Column | None = None,
     list_date: Column | None = None,
     list_press: Column | None = None,
+    min_body: int = fixed.MIN_BODY,
 ) -> DataFrame:
-    """Title, content, date and press of each page, with a reject reason."""
+    """Title, content, date and press of each page, with a reject reason.
+
+    ``list_title``, ``list_date`` and ``list_press`` are the values of the
+    list page, used where the page itself has none; a content of fewer than
+    ``min_body`` characters is rejected.
+    """
     null = F.lit(None).cast("string")
     visible = pages.withColumn("_page", html.visible_html("html"))
     kept = [c for c in pages.columns if c != "html"]
@@ -39,7 +45,7 @@ def extract_articles(
     content = computed(
         parts, *kept, "title", "date", "press", "_body", content=text.strip_boilerplate("_body", patterns)
     )
-    return content.withColumn("reason", reject_reason("_body", "content")).drop("_body")
+    return content.withColumn("reason", reject_reason("_body", "content", min_body)).drop("_body")
 
 
 def reject_reason(body: Column | str, content: Column | str, min_body: int = fixed.MIN_BODY) -> Column:
@@ -124,9 +130,9 @@ def matching_links(pages: DataFrame, contains: Sequence[str]) -> DataFrame:
 class _Containers(HTMLParser):
     """Collects (tag, class, text, has_link) of chosen elements of one page."""
 
-    def __init__(self, tags: set[str], need_class: bool):
+    def __init__(self, tags: set[str], need_class: bool, prefix: int):
         super().__init__(convert_charrefs=True)
-        self.tags, self.need_class = tags, need_class
+        self.tags, self.need_class, self.prefix = tags, need_class, prefix
         self.open, self.found, self.hidden = [], [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -155,7 +161,7 @@ class _Containers(HTMLParser):
         piece = data.strip()
         if piece and not self.hidden:
             for item in self.open:
-                if item["size"] < 30:
+                if item["size"] < self.prefix:
                     item["text"].append(piece)
                     item["size"] += len(piece)
 
@@ -174,7 +180,7 @@ def link_containers(
         for frame in frames:
             rows = []
             for page_id, page in zip(frame["page_id"], frame["html"].fillna("")):
-                parser = _Containers(wanted, need_class)
+                parser = _Containers(wanted, need_class, prefix)
                 parser.feed(page)
                 parser.close()
                 kept = [c for c in parser.found if c["link"] and c["text"]]

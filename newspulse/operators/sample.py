@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newspulse.functions import fixed
 from newspulse.operators.ranking import top_k_per_group
+from newspulse.session import settle
 
 
 def tagging_sample(
@@ -39,8 +40,8 @@ def tagging_sample(
         "predicted",
         (F.count(F.lit(1)).over(Window.partitionBy("predicted")) == limit[F.col("predicted")]).alias("quota_met"),
     )
-    # At most sum(quotas) rows, so the broadcast is bounded.
-    return articles.join(F.broadcast(sheet), key).select(
+    # A table of known size, so that it is broadcast only if it is small.
+    return articles.join(settle(sheet, "tagging-sheet"), key).select(
         "number", key, "title", F.substring("content", 1, fixed.BODY_PREFIX).alias("body_start"), "predicted",
         F.col(confidence).alias("confidence"), F.lit("").alias("hand_label"), F.lit("").alias("match"), "quota_met",
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from newspulse.functions import fixed, sentiment, text
 
+log = logging.getLogger(__name__)
+
 Scorer = Callable[[list[str]], Sequence[tuple[str, float]]]
 
 
@@ -49,12 +52,13 @@ def score_with_model(
 
     Only the text column travels to Python. A scorer takes a list of texts and returns (label, score) for each. Blank
     text is neutral, 0.0 without a call; a batch whose call fails is neutral,
-    0.0 as a whole. ``threshold=None, digits=None`` gives the plain argmax
-    form.
+    0.0 as a whole, and the first failure of a task is logged with the number
+    of failed batches at its end. ``threshold=None, digits=None`` gives the
+    plain argmax form.
     """
     @F.pandas_udf("sentiment string, confidence double")
     def scores_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = scorer_factory()
+        scorer, failed = scorer_factory(), 0
         for series in batches:
             texts = series.fillna("").tolist()
             filled = [i for i, t in enumerate(texts) if t.strip()]
@@ -66,11 +70,16 @@ def score_with_model(
                     if len(results) != len(rows):
                         raise ValueError("a scorer must return one result per text")
                 except Exception:
+                    failed += 1
+                    if failed == 1:
+                        log.exception("a scorer failed; its texts count as neutral")
                     continue
                 for i, (lab, s) in zip(rows, results):
                     labels[i] = "neutral" if threshold is not None and s < threshold else lab
                     scores[i] = s if digits is None else round(s, digits)
             yield pd.DataFrame({"sentiment": labels, "confidence": scores})
+        if failed:
+            log.error("%d batches of this task failed in the scorer", failed)
 
     # Marked nondeterministic so that no later filter runs the model again.
     scored = articles.drop("sentiment", "confidence").withColumn(

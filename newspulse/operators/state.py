@@ -66,8 +66,15 @@ def upsert(
     return newest.orderBy(F.desc(sort_by), F.asc(key)) if sort_by else newest
 
 
-def keyed_update(table: DataFrame, changes: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Set columns by key; unmatched rows keep theirs, absent columns are added."""
+def keyed_update(
+    table: DataFrame, changes: DataFrame, key: str, columns: Sequence[str], order: Sequence[Column] | None = None
+) -> DataFrame:
+    """Set columns by key; unmatched rows keep theirs, absent columns are added.
+
+    Of several changes of a key the first in ``order`` holds (by default that
+    with the largest values), so the table keeps its rows.
+    """
+    changes = first_per_key(changes, [key], order or [F.col(c).desc_nulls_last() for c in columns])
     types = dict(changes.dtypes)
     base = table
     for c in columns:

@@ -27,9 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, dealt over as many tasks as ``newspulse.scan.partitions`` says, if it is set."""
+    partitions = spark.conf.get("newspulse.scan.partitions", None)
+    return spread(table(spark, sf_dir, name), int(partitions) if partitions else None)
+
+
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles with model label and confidence."""
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = dealt(spark, sf_dir, "documents")
     doc_id = F.col("doc_id")
     query = F.when(doc_id % 3 == 0, "/?utm=x").otherwise("")
     day = F.date_add(F.lit("2024-01-01").cast("date"), F.floor(F.sqrt(doc_id)).cast("int"))
@@ -92,7 +98,6 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     return (
         table(spark, sf_dir, "events")
-        .where(F.col("event_type").isin("click", "view"))
         .select(
             F.floor(e / 80).alias("month"), ((e * 31) % 40).alias("page"), e.alias("pos"),
             F.concat(F.lit("https://news.example/a/"), ((e * 37) % 700).cast("string"), F.lit("?p="), e.cast("string"))
@@ -107,7 +112,7 @@ def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages given a date and a publisher logo by page_id, one way per case."""
-    pages = spread(table(spark, sf_dir, "pages"))
+    pages = dealt(spark, sf_dir, "pages")
     day = F.concat(F.lit("2024-01-"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"))
     case = F.col("page_id") % 5
     extra = (
@@ -156,7 +161,7 @@ PRICE_SQL = """price AS (
 LISTING_SQL = """listing AS (
   SELECT event_id // 80 AS month, (event_id * 31) % 40 AS page, event_id AS pos,
          'https://news.example/a/' || (event_id * 37) % 700 || '?p=' || event_id AS url
-  FROM events WHERE event_type IN ('click', 'view'))"""
+  FROM events)"""
 
 DATED_PAGES_SQL = """dated AS (
   SELECT page_id, url, page_id % 5 AS c, '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') AS day, html

@@ -49,33 +49,50 @@ def frontier_dedup(spark, sf):
     return ops.first_seen(fx.listing(spark, sf), ["month", "page", "pos"], contains="news.example/a/")
 
 
-COUNTED_SQL = f"""{FIRST_SQL}, counted AS (
-  SELECT month, page, count(*) AS items, count(*) FILTER (r = 1) AS added FROM ranked GROUP BY 1, 2)"""
-
-
-@query(
-    "page_stop_rule",
-    f"""WITH {COUNTED_SQL}, grid AS (
-  SELECT m.month, p.page, coalesce(items, 0) AS items, coalesce(added, 0) AS added
-  FROM (SELECT DISTINCT month FROM counted) m CROSS JOIN range(40) p(page) LEFT JOIN counted c ON c.month = m.month AND c.page = p.page),
+# The months one after the other, with the urls seen so far; every fifth month has no hit.
+STOP_SQL = f"""RECURSIVE {fx.LISTING_SQL}, hits AS (SELECT month, page, rtrim(split_part(url, '?', 1), '/') AS u FROM listing WHERE month % 5 <> 4),
+ grid AS (SELECT m.month, p.page, count(u) AS items FROM (SELECT DISTINCT month FROM listing) m CROSS JOIN range(40) p(page)
+   LEFT JOIN hits h ON h.month = m.month AND h.page = p.page GROUP BY 1, 2),
  streaks AS (SELECT *, page - coalesce(max(CASE WHEN items > 0 THEN page END) OVER (PARTITION BY month ORDER BY page), -1) AS streak FROM grid),
- marked AS (SELECT *, CASE WHEN streak >= 3 THEN 'empty_pages' WHEN items > 0 AND added = 0 AND page > 5 THEN 'nothing_new' END AS why FROM streaks),
- stopped AS (SELECT *, min(CASE WHEN why IS NOT NULL THEN page END) OVER (PARTITION BY month) AS stop FROM marked)
- SELECT month, count(*) AS pages_visited, CAST(sum(added) AS BIGINT) AS new_urls, coalesce(max(why), 'page_limit') AS stop_reason
- FROM stopped WHERE stop IS NULL OR page <= stop GROUP BY 1""",
-)
+ stops AS (SELECT month, min(CASE WHEN streak >= 3 THEN page END) AS empty_stop, coalesce(min(CASE WHEN streak >= 3 THEN page END), 39) AS last,
+   list(items ORDER BY page) AS items FROM streaks GROUP BY 1),
+ firsts AS (SELECT h.month, u, min(page) AS page FROM hits h JOIN stops USING (month) WHERE page <= last GROUP BY 1, 2),
+ months AS (SELECT s.month, any_value(empty_stop) AS empty_stop, any_value(s.last) AS last, any_value(items) AS items,
+   coalesce(list(struct_pack(u := u, page := page)) FILTER (u IS NOT NULL), []) AS urls, row_number() OVER (ORDER BY s.month) AS n
+   FROM stops s LEFT JOIN firsts f ON f.month = s.month GROUP BY s.month),
+ walk AS (
+   SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS month, CAST([] AS VARCHAR[]) AS seen, CAST(0 AS BIGINT) AS pages_visited,
+     CAST(0 AS BIGINT) AS new_urls, '' AS stop_reason
+   UNION ALL
+   SELECT n, month, list_concat(seen, list_transform(list_filter(fresh, lambda x: x.page <= stop), lambda x: x.u)), stop + 1,
+     len(list_filter(fresh, lambda x: x.page <= stop)),
+     CASE WHEN stale IS NOT NULL THEN 'nothing_new' WHEN empty_stop IS NOT NULL THEN 'empty_pages' ELSE 'page_limit' END
+   FROM (SELECT *, coalesce(stale, last) AS stop FROM (
+     SELECT *, list_filter(range(6, last + 1), lambda p: items[p + 1] > 0 AND NOT list_contains(list_transform(fresh, lambda x: x.page), p))[1] AS stale
+     FROM (SELECT m.*, w.seen, list_filter(m.urls, lambda x: NOT list_contains(w.seen, x.u)) AS fresh FROM walk w JOIN months m ON m.n = w.n + 1))))"""
+
+
+def _visits(spark, sf):
+    """The listing without the hits of every fifth month, and the plan with all months."""
+    listing = fx.listing(spark, sf)
+    page = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long")))
+    return listing.where(F.col("month") % 5 != 4), listing.select("month").distinct().select("month", page.alias("page"))
+
+
+@query("page_stop_rule", f"WITH {STOP_SQL} SELECT month, pages_visited, new_urls, stop_reason FROM walk WHERE n > 0")
 def page_stop_rule(spark, sf):
-    return ops.page_stop_rule(fx.listing(spark, sf))
+    hits, plan = _visits(spark, sf)
+    return ops.page_stop_rule(hits, plan=plan)
 
 
 @query(
     "frontier_progress",
-    f"""WITH {COUNTED_SQL}, months AS (SELECT month, CAST(sum(added) AS BIGINT) AS new_urls FROM counted GROUP BY 1),
- running AS (SELECT *, CAST(sum(new_urls) OVER (ORDER BY month) AS BIGINT) AS total_urls FROM months)
+    f"""WITH {STOP_SQL}, running AS (SELECT month, new_urls, CAST(sum(new_urls) OVER (ORDER BY month) AS BIGINT) AS total_urls FROM walk WHERE n > 0)
  SELECT month, new_urls, total_urls FROM running WHERE total_urls - new_urls < 400 * 1.5""",
 )
 def frontier_progress(spark, sf):
-    return ops.frontier_progress(fx.listing(spark, sf), target=400)
+    hits, plan = _visits(spark, sf)
+    return ops.frontier_progress(hits, target=400, plan=plan)
 
 
 @query(

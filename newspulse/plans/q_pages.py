@@ -9,13 +9,12 @@ from newspulse.operators import pages as ops
 from newspulse.plans import fixtures as fx
 from newspulse.plans.q_text import STRIP, lines_sql, strip_boilerplate_sql
 from newspulse.plans.registry import query
-from newspulse.session import spread
 
 SITE_NAMES = ["Example News"]
 
 
 def _pages(spark, sf):
-    return spread(fx.table(spark, sf, "pages"))
+    return fx.dealt(spark, sf, "pages")
 
 
 def _unescape_sql(c: str) -> str:
@@ -77,16 +76,21 @@ def page_publisher(spark, sf):
     )
 
 
-REASON_SQL = f"""{BODY_SQL}, cleaned AS (SELECT *, {strip_boilerplate_sql("coalesce(body, '')")} AS content FROM parts),
+SHOWN_SQL = """shown_pages AS (
+  SELECT page_id, url, CASE WHEN page_id % 9 = 0 THEN '<h1>Only a title ' || page_id || '</h1>' ELSE html END AS html FROM pages)"""
+REASON_SQL = f"""{SHOWN_SQL}, {BODY_SQL.replace("AS html FROM pages)", "AS html FROM shown_pages)")}, cleaned AS (SELECT *, {strip_boilerplate_sql("coalesce(body, '')")} AS content FROM parts),
  judged AS (SELECT *, CASE WHEN body IS NULL THEN '{fixed.REASON_NO_BODY}'
    WHEN length(content) < 400 THEN '{fixed.REASON_SHORT_BODY}(' || length(content) || '자)' END AS reason FROM cleaned)"""
 
 
+def _some_without_body(spark, sf):
+    title = F.concat(F.lit("<h1>Only a title "), F.col("page_id").cast("string"), F.lit("</h1>"))
+    return _pages(spark, sf).withColumn("html", F.when(F.col("page_id") % 9 == 0, title).otherwise(F.col("html")))
+
+
 def _judged(spark, sf):
-    extracted = ops.extract_articles(_pages(spark, sf), fx.BOILERPLATE)
-    # The test pages are long; a higher limit makes some of them short.
-    body = F.when(F.col("reason") == fixed.REASON_NO_BODY, None).otherwise(F.col("content"))
-    return extracted.withColumn("reason", ops.reject_reason(body, "content", min_body=400))
+    # The test pages are long; a higher limit makes some of them short, and some have no body.
+    return ops.extract_articles(_some_without_body(spark, sf), fx.BOILERPLATE, min_body=400)
 
 
 @query(

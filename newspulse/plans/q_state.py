@@ -103,7 +103,10 @@ def keyed_update(spark, sf):
     changes = stored.where(F.col("id") % 2 == 0).select(
         "id", F.lit("updated").alias("sentiment"), ((F.col("id") % 100) / 100.0).alias("score")
     )
-    return state.keyed_update(stored, changes, "id", ["sentiment", "score"])
+    # Every fourth id has a second, later change that must not count.
+    again = changes.where(F.col("id") % 4 == 0).withColumn("sentiment", F.lit("again"))
+    both = changes.withColumn("step", F.lit(1)).unionByName(again.withColumn("step", F.lit(2)))
+    return state.keyed_update(stored, both, "id", ["sentiment", "score"], [F.col("step")])
 
 
 @query(

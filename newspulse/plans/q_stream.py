@@ -36,15 +36,13 @@ def _deliver(rows, key, folder, run):
 @query(
     "stream_ingest",
     """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events
- WHERE event_type IN ('click', 'view') GROUP BY 1, 2""",
+ GROUP BY 1, 2""",
 )
 def stream_ingest(spark, sf):
     path = scratch_path(spark, "ingest")
     schema = fx.table(spark, sf, "events").schema
     rows = jobs.article_stream(spark, sf, schema, pathGlobFilter="events.parquet")
-    jobs.ingest(
-        rows.where(F.col("event_type").isin("click", "view")), f"{path}/rows", f"{path}/checkpoint", once=True
-    ).awaitTermination()
+    jobs.ingest(rows, f"{path}/rows", f"{path}/checkpoint", once=True).awaitTermination()
     saved = spark.read.schema(schema).parquet(f"{path}/rows")
     return saved.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -47,16 +49,21 @@ def cluster_settings(cores: int) -> dict[str, str]:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a laptop) is one made, and
-    remembered on the session so later calls share it.
+    Only a session on one machine (``local[...]``) may name none; a folder is
+    then made for the life of the driver. On a cluster a missing setting is an
+    error, as executors can't read each other's disks.
     """
     base = spark.conf.get(CHECKPOINT_KEY, None)
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share (master is {master})")
     base = getattr(shared_dir, "_fallback", None)
     if base is None:
         base = tempfile.mkdtemp(prefix="newspulse-")
         shared_dir._fallback = base
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     return base
 
 
@@ -79,12 +86,10 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a raw scan only when it has fewer splits than cores.
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Deal the rows of a scan over ``partitions`` tasks; None leaves the scan's own splits.
 
-    A small file with a single row group would otherwise run on one core; on
-    a large table there are more splits than cores and nothing is shuffled.
+    For small files on one machine, which a scan reads in one task. On a
+    cluster leave it out: large tables have enough splits.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df if splits >= cores else df.repartition(cores)
+    return df if partitions is None else df.repartition(partitions)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 def write_staging(scores: DataFrame, url: str, table: str, properties: dict[str, str] | None = None, partitions: int = 32) -> None:
     (
         scores.select("id", "sentiment", "score")
-        .coalesce(partitions)
+        .repartition(partitions)  # an exchange, so that the scoring before it keeps its tasks
         .write.format("jdbc")
         .options(url=url, dbtable=table, createTableColumnTypes="sentiment VARCHAR(20)", **(properties or {}))
         .mode("overwrite")

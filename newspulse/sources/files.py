@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from newspulse.sources import schemas
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") -> DataFrame:
-    """CSV with header and quoted multi-line text; a BOM is dropped."""
-    return spark.read.csv(
-        path, schema=schema, header=True, multiLine=True, quote='"', escape='"', encoding=encoding
-    )
+    """CSV with quoted multi-line text; columns are found by the names in its header.
+
+    Columns in another order are put in that of ``schema``, additional ones
+    are left out, missing ones are null. A BOM is dropped; a value that does
+    not fit its type is null.
+    """
+    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding=encoding)
+    names = {c.strip("\ufeff ").lower(): c for c in raw.columns}
+    return raw.select(*[
+        (F.col(f"`{names[f.name.lower()]}`") if f.name.lower() in names else F.lit(None)).try_cast(f.dataType).alias(f.name)
+        for f in StructType.fromDDL(schema).fields
+    ])
 
 
 def read_articles(spark: SparkSession, path: str, fmt: str = "parquet", schema: str = schemas.ARTICLE_RAW) -> DataFrame:

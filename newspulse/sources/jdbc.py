@@ -23,11 +23,23 @@ def read_table(
     partitions: int = 64,
     properties: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Chosen columns of a table, read in parallel over ranges of the key."""
-    options = dict(properties or {})
-    if bounds is not None:
-        options |= {
-            "partitionColumn": key, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1]),
-            "numPartitions": str(partitions),
-        }
-    return project(spark.read.format("jdbc").options(url=url, dbtable=table, **options).load(), columns)
+    """Chosen columns of a table, read in parallel over ranges of the key.
+
+    Without ``bounds`` the database is asked for the smallest and the largest
+    key first; an empty table is read by one task.
+    """
+    reader = spark.read.format("jdbc").options(url=url, **(properties or {}))
+    if bounds is None:
+        ends = reader.option("query", f"SELECT MIN({key}) AS lo, MAX({key}) AS hi FROM {table}").load().first()
+        bounds = None if ends[0] is None else (int(ends[0]), int(ends[1]))
+    return project(reader.options(dbtable=table, **partition_options(key, bounds, partitions)).load(), columns)
+
+
+def partition_options(key: str, bounds: tuple[int, int] | None, partitions: int) -> dict[str, str]:
+    """Reader options for ranges of the key; the upper bound is exclusive."""
+    if bounds is None:
+        return {}
+    return {
+        "partitionColumn": key, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1] + 1),
+        "numPartitions": str(max(1, min(partitions, bounds[1] - bounds[0] + 1))),
+    }
