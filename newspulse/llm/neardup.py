@@ -3,9 +3,9 @@
 Two small collections of minhash groups are computed per document; the key of
 a table joins one group of the first with one of the second, so m + m groups
 serve m * m tables. Documents that share a key are candidates. Candidates are
-verified on their full shingle sets, first against the smallest of their
-bucket, then wherever a bucket still holds documents of different components;
-links form components by contraction of the graph.
+verified on their full shingle sets, first against both ends of their bucket,
+then wherever candidates are still in different components; links form
+components by contraction of the graph.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ GROUP = 2  # minhashes of a group; a key has twice as many
 MISS = 5e-4  # chance that a pair at the threshold meets in no group of a collection
 SIGNATURE = 64  # minhashes kept to estimate a similarity
 SLACK = 14  # how far an estimate may fall below the threshold, in minhashes: over 4.5 deviations
-CHUNK = 1024  # documents of a bucket compared in one task at a time
+CHUNK = 1024  # nodes of an area compared with as many others in one task
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(9, 14)]] = True
@@ -161,45 +161,83 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return labels
 
 
-def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components in one bucket whose signatures agree enough.
+def residual_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different components among candidates; enough of them to join all.
 
-    ``members`` has band, node, label, sig. Buckets are cut into chunks of
-    about CHUNK rows; every pair of chunks is compared in one task, in blocks,
-    and only pairs near the threshold come out. Nothing is left out: a pair
-    at the threshold falls short of the estimate with a chance below 1e-5.
+    ``members`` has area, node, label, sig, shingles: an area holds all nodes
+    that could be linked with one another, a label is the component a node is
+    in so far. An area of up to CHUNK nodes is one task's. In a larger one
+    the nodes outside its largest component are compared with all, chunk by
+    chunk, each pair of chunks in one task. A task compares full sets where
+    the signatures allow a link and gives a link only where it joins two
+    components it knows of, so it returns fewer rows than it has read. A pair
+    at the threshold falls below the estimate with a chance under 1e-5.
     """
+    per_label = members.groupBy("area", "label").agg(F.count(F.lit(1)).alias("n"))
+    areas = per_label.groupBy("area").agg(
+        F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("largest")).where(F.col("size") > F.col("largest.n"))
+    rest = F.col("size") - F.col("largest.n")
+    areas = areas.select(
+        "area", F.col("largest.label").alias("most"), (F.col("size") <= CHUNK).alias("small"),
+        F.ceil(F.col("largest.n") / CHUNK).alias("n_most"), F.ceil(rest / CHUNK).alias("n_rest"))
+    rows = members.join(areas, "area").withColumn("outside", F.col("label") != F.col("most"))
+    chunk = F.pmod(F.xxhash64("node"), F.when(F.col("outside"), F.col("n_rest")).otherwise(F.col("n_most")))
+    rows = rows.withColumn("c", F.when(F.col("small"), 0).otherwise(chunk))
+    zero, last = F.lit(0).cast("long"), F.col("n_most") + F.col("n_rest") - 1
+    place = lambda i, k, left: F.struct(i.alias("i"), k.alias("k"), F.lit(left).alias("left"))
+    against = F.transform(F.sequence(zero, last), lambda k: place(F.col("c"), k, True))
+    as_rest = F.transform(F.sequence(zero, F.col("c")), lambda i: place(i, F.col("n_most") + F.col("c"), False))
+    as_most = F.transform(F.sequence(zero, F.col("n_rest") - 1), lambda i: place(i, F.col("c"), False))
+    where = F.when(F.col("small"), F.array(place(zero, zero, True))).when(
+        F.col("outside"), F.concat(against, as_rest)).otherwise(as_most)
+    tasks = rows.select("area", "small", "node", "label", "sig", "shingles", F.explode(where).alias("p")).select(
+        "area", "p.i", "p.k", "p.left", "small", "node", "label", "sig", "shingles")
     least = max(1, SIGNATURE * percent // 100 - SLACK)
-    sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
-    dealt = members.join(sizes, "band").withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("o")
-    tasks = dealt.select("band", "node", "label", "sig", "c", other).select(
-        "band", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "c", "node", "label", "sig")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(frames, ["band", "lo", "hi"]):
-            if group["label"].nunique() < 2:
+        for group in _groups(frames, ["area", "i", "k"]):
+            yield pd.DataFrame(_join_within(group, least, percent), columns=["a", "b"])
+
+    return tasks.repartition("area", "i", "k").sortWithinPartitions("area", "i", "k", "node").mapInPandas(run, "a binary, b binary")
+
+
+def _join_within(group: pd.DataFrame, least: int, percent: int) -> list[tuple]:
+    """Links that join the components of one task's nodes."""
+    sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(-1, SIGNATURE)
+    sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+    node, left = group["node"].tolist(), group["left"].to_numpy()
+    size = np.array([len(x) for x in sets])
+    part = pd.factorize(group["label"])[0].copy()
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    mask = np.zeros(int(ids.max(initial=0)) + 1, np.int32)
+    both_sides = bool(group["small"].iloc[0])
+    right = np.arange(len(node)) if both_sides else np.flatnonzero(~left)
+    out = []
+    for i in np.flatnonzero(left).tolist():
+        other = right[(part[right] != part[i]) & ((right > i) if both_sides else True)]
+        # Neither a set much smaller nor one much larger can be near enough.
+        low, high = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
+        other = other[100 * low >= percent * high]
+        other = other[(sig[other] == sig[i]).sum(1) >= least]
+        if not len(other):
+            continue
+        own = ids[cuts[i] : cuts[i + 1]]
+        mask[own] = 1
+        for a in range(0, len(other), 256):
+            # What has been joined meanwhile needs no comparison any more.
+            some = other[a : a + 256]
+            some = some[part[some] != part[i]]
+            if not len(some):
                 continue
-            lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
-            sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(-1, SIGNATURE)
-            label = pd.factorize(group["label"])[0]
-            node, c = group["node"].to_numpy(), group["c"].to_numpy()
-            left = np.flatnonzero(c == lo)
-            right = np.flatnonzero(c == hi)
-            for a in range(0, len(left), 64):
-                rows = left[a : a + 64]
-                near = (sig[rows][:, None, :] == sig[right][None, :, :]).sum(2) >= least
-                near &= label[rows][:, None] != label[right][None, :]
-                i, j = np.nonzero(near)
-                x, y = rows[i], right[j]
-                if lo == hi:
-                    x, y = x[x < y], y[x < y]
-                if len(x):
-                    p, q = node[x], node[y]
-                    yield pd.DataFrame({"a": [min(u) for u in zip(p, q, strict=True)], "b": [max(u) for u in zip(p, q, strict=True)]})
-
-    return tasks.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "node").mapInPandas(
-        run, "a binary, b binary").distinct()
+            flat = np.concatenate([ids[cuts[j] : cuts[j + 1]] for j in some.tolist()])
+            both = np.add.reduceat(mask[flat], np.concatenate([[0], np.cumsum(size[some])[:-1]]))
+            for j in some[100 * both >= percent * (size[i] + size[some] - both)].tolist():
+                if part[j] != part[i]:
+                    out.append((min(node[i], node[j]), max(node[i], node[j])))
+                    part[part == part[j]] = part[i]
+        mask[own] = 0
+    return out
 
 
 def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -245,12 +283,20 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # A repeated id may stand for other texts as well, so the set is named again.
     texts = settle(_texts_of(docs, reps, k), "candidate-texts")
     labels = settle(involved.select("node", F.col("node").alias("label")), "labels")
+    whole = components(stars, labels)  # candidates, linked or not
     labels = components(verify(stars, texts, k, percent), labels)
+    # A second round from the other end of the buckets that hold several components.
     marked = shared.join(labels, "node")
-    mixed = marked.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    members = settle(marked.select("band", "node", "label").join(mixed, "band", "left_semi"), "mixed-buckets")
-    rest = settle(cross_pairs(members.join(nodes.select("node", "sig"), "node"), percent), "cross-pairs")
-    labels = components(verify(rest, texts, k, percent), labels)
+    ends = marked.groupBy("band").agg(
+        F.max(F.struct("node", "label")).alias("end"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    again = marked.join(ends, "band").where(F.col("label") != F.col("end.label")).select(
+        F.col("end.node").alias("a"), F.col("node").alias("b")).distinct()
+    labels = components(verify(settle(again, "stars"), texts, k, percent), labels)
+    areas = labels.join(whole.withColumnRenamed("label", "area"), "node")
+    mixed = areas.groupBy("area").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("area")
+    mixed = settle(areas.join(mixed, "area", "left_semi").join(nodes.select("node", "sig"), "node"), "mixed-areas")
+    sets = settle(_sets_of(texts.join(mixed.select("node"), "node", "left_semi"), k), "mixed-sets")
+    labels = components(settle(residual_links(mixed.join(sets, "node"), percent), "residual-links"), labels)
     own = base.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     own = settle(own.select("doc_id", "n_shingles", "label"), "labelled")
     least = own.where(F.col("label").isNotNull()).groupBy(F.col("label").alias("of")).agg(F.min("doc_id").alias("component_id"))
@@ -273,6 +319,16 @@ def _texts_of(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("_no", one).where("_no = 1").drop("_no")
 
 
+def _sets_of(texts: DataFrame, k: int) -> DataFrame:
+    """(node, shingles): the full set of every text."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in slices(frames, "text", 1_000_000):
+            yield pd.DataFrame({"node": frame["node"], "shingles": [s.tobytes() for s in shingle_sets(frame["text"].tolist(), k)]})
+
+    return texts.select("node", "text").mapInPandas(run, "node binary, shingles binary")
+
+
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows, with all their columns, of the documents that stay.
 

@@ -318,12 +318,34 @@ def test_groups_run_across_batches():
         assert [g["b"].tolist() for g in neardup._groups(iter(cut), ["a"])] == [[0, 1], [2, 3, 4], [5]]
 
 
-def test_cross_pairs_over_chunks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "CHUNK", 4)
-    same = np.arange(neardup.SIGNATURE, dtype=np.uint32).tobytes()
-    rows = [(7, bytes([i]), bytes([i // 2]), same) for i in range(10)] + [(8, b"z", b"z", same)]
-    got = neardup.cross_pairs(spark.createDataFrame(rows, "band long, node binary, label binary, sig binary"), 85).collect()
-    assert len(got) == 45 - 5 and len(set(got)) == 40
+@pytest.mark.parametrize("chunk", [1024, 4])
+def test_residual_links_join_what_is_near(spark, monkeypatch, chunk):
+    monkeypatch.setattr(neardup, "CHUNK", chunk)
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 100).astype(np.uint64)
+    rows, sets = [], {}
+    for i in range(40):  # a chain: each differs from the one before in a few shingles
+        own = base.copy()
+        own[: 2 * i] = rng.integers(0, 2**63, 2 * i).astype(np.uint64) if i % 10 == 0 else own[: 2 * i]
+        base = own if i % 10 == 0 else np.concatenate([rng.integers(0, 2**63, 4).astype(np.uint64), own[:-4]])
+        sets[i] = np.unique(own)
+        label = 0 if i < 12 else i
+        rows.append((i % 1, bytes([i]), bytes([label]), neardup.signature(sets[i]).tobytes(), sets[i].tobytes()))
+    schema = "area int, node binary, label binary, sig binary, shingles binary"
+    got = neardup.residual_links(spark.createDataFrame(rows, schema), 85).collect()
+    near = {(a, b) for a in sets for b in sets if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))}
+    links = [(r.a[0], r.b[0]) for r in got]
+    assert set(links) <= near and len(links) <= 3 * len(rows)
+
+    def parts(pairs):
+        of = {i: 0 if i < 12 else i for i in sets}
+        for _ in sets:
+            for a, b in pairs:
+                low, high = sorted((of[a], of[b]))
+                of = {i: low if v == high else v for i, v in of.items()}
+        return of
+
+    assert parts(links) == parts(near)
 
 
 def test_license_places_and_suppression(spark):
