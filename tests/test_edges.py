@@ -474,3 +474,104 @@ def test_articles_are_accepted_or_rejected(spark):
     found = pages.extract_articles(spark.createDataFrame(rows, schemas.HTML_PAGES))
     assert [(r["page_id"], r["title"], r["press"]) for r in pages.accepted_articles(found).collect()] == [(1, "Fine title", "h.example")]
     assert values(pages.rejected(found)) == [("https://h.example/2", "본문 없음"), ("https://h.example/3", "본문 짧음(39자)")]
+
+
+def test_stop_rule_looks_at_visited_pages_only(spark):
+    schema = "month long, page long, pos long, url string"
+    link = lambda n: f"https://news.example/a/{n}"
+    plan = spark.createDataFrame([(m, p) for m in (1, 2, 3) for p in range(40)], "month long, page long")
+    # A month whose only hit is past the stop of empty pages; its url is new to the next month.
+    rows = [(1, 0, 0, link("a")), (1, 20, 0, link("b")), (2, 0, 0, link("b"))]
+    got = {r["month"]: tuple(r)[1:] for r in frontier.page_stop_rule(spark.createDataFrame(rows, schema), plan=plan).collect()}
+    assert got == {1: (4, 1, "empty_pages"), 2: (4, 1, "empty_pages"), 3: (3, 0, "empty_pages")}
+    progress = frontier.frontier_progress(spark.createDataFrame(rows, schema), plan=plan).collect()
+    assert [tuple(r) for r in sorted(progress)] == [(1, 1, 1), (2, 1, 2), (3, 0, 2)]
+    # A page past the plan is not visited.
+    far = spark.createDataFrame([(1, 45, 0, link("a"))], schema)
+    assert [tuple(r)[1:3] for r in frontier.page_stop_rule(far, plan=plan.where("month = 1")).collect()] == [(3, 0)]
+
+
+def test_stop_rule_stops_shift_later_months(spark):
+    schema = "month long, page long, pos long, url string"
+    link = lambda n: f"https://news.example/a/{n}"
+    full = lambda m, urls: [(m, p, 0, link(u)) for p, u in enumerate(urls)]
+    # Month 1 repeats itself from page 6 on and never sees x; month 2 finds x new on page 6 and goes on.
+    rows = full(1, ["a"] * 8 + ["x"]) + full(2, ["a", "b", "c", "d", "e", "f", "x", "a", "y"])
+    got = {r["month"]: tuple(r)[1:] for r in frontier.page_stop_rule(spark.createDataFrame(rows, schema), pages=9).collect()}
+    assert got == {1: (7, 1, "nothing_new"), 2: (8, 6, "nothing_new")}
+    stored = spark.createDataFrame([(link("b") + "?x=1",)], "url string")
+    again = {r["month"]: r["new_urls"] for r in frontier.page_stop_rule(spark.createDataFrame(rows, schema), pages=9, stored=stored).collect()}
+    assert again == {1: 1, 2: 5}
+
+
+def test_confusion_matrix_counts_every_label(spark):
+    df = spark.createDataFrame([("positive", "mixed"), ("positive", "positive"), ("mixed", "neutral"), (None, "x")], "t string, p string")
+    got = evaluate.confusion_matrix(df, "t", "p", ["negative"])
+    assert got.columns == ["true_label", "pred_mixed", "pred_negative", "pred_neutral", "pred_positive"]
+    assert {tuple(r) for r in got.collect()} == {
+        ("mixed", 0, 0, 1, 0), ("negative", 0, 0, 0, 0), ("neutral", 0, 0, 0, 0), ("positive", 1, 0, 0, 1)}
+
+
+def test_container_text_is_as_long_as_asked(spark):
+    words = "".join(f"<p>word{i:04d}</p>" for i in range(60))
+    df = spark.createDataFrame([(1, f'<div class="c">{words}<a href="x">y</a></div>')], "page_id long, html string")
+    assert len(pages.link_containers(df, prefix=100).first()["text"]) == 100
+
+
+def test_update_takes_one_change_per_key(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    changes = spark.createDataFrame([(1, "x", 2), (1, "y", 1), (None, "z", 1)], "id long, v string, step int")
+    got = state.keyed_update(table, changes, "id", ["v"], [F.col("step")]).collect()
+    assert sorted(map(tuple, got)) == [(1, "y"), (2, "b")]
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    from newspulse.sources.files import read_csv_table
+
+    (tmp_path / "a.csv").write_text('﻿url,more,title,when\nu1,1,"two\nlines, ""quoted""",2024-01-02\nu2,2,t,no date\n', encoding="utf-8")
+    got = read_csv_table(spark, f"file://{tmp_path}/a.csv", "title string, url string, press string, when date")
+    assert got.columns == ["title", "url", "press", "when"]
+    assert [(r.title, r.url, r.press, str(r.when)) for r in got.collect()] == [
+        ('two\nlines, "quoted"', "u1", None, "2024-01-02"), ("t", "u2", None, "None")]
+
+
+def test_partition_ranges_of_a_database_key():
+    from newspulse.sources.jdbc import partition_options
+
+    assert partition_options("ID", None, 8) == {}
+    assert partition_options("ID", (5, 6), 8) == {"partitionColumn": "ID", "lowerBound": "5", "upperBound": "7", "numPartitions": "2"}
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace
+
+    from newspulse.session import shared_dir
+
+    none = SimpleNamespace(get=lambda key, default: default)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=none, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
+def test_summary_of_a_day_without_sentence_ends(spark):
+    rows = spark.range(20_000).select(
+        F.lit("2024-01-01").cast("date").alias("date_only"), F.col("id").alias("o"), F.concat(F.lit("w"), F.col("id")).alias("content"))
+    days = spark.createDataFrame([("2024-01-01",)], "d string").select(F.col("d").cast("date").alias("date_only"))
+    got = daily.event_summary(rows, days, "o").first()["summary"]
+    assert got == " ".join(f"w{i}" for i in range(20_000))
+
+
+def test_event_news_meets_events_before_ranking(spark):
+    schema = "date_only date, title string, final_sentiment string, confidence double, url string"
+    plan = daily.event_news(spark.createDataFrame([], schema), spark.createDataFrame([], "date_only date"))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("WindowGroupLimit" if "WindowGroupLimit" in text else "Window") < text.index("LeftSemi")
+
+
+def test_article_minimum_and_list_values(spark):
+    page = '<article class="x">' + "<p>Some words of a body that goes on for a while.</p>" * 3 + "</article>"
+    df = spark.createDataFrame([(1, "https://a.example/1", page), (2, "https://a.example/2", "<p>x</p>")], "page_id long, url string, html string")
+    lists = {"list_title": F.lit("From the list"), "list_date": F.lit("2024.01.02."), "list_press": F.lit("Daily")}
+    long = {r.page_id: r for r in pages.extract_articles(df, (), min_body=1000, **lists).collect()}
+    short = {r.page_id: r for r in pages.extract_articles(df, (), min_body=10, **lists).collect()}
+    assert short[1].reason is None and long[1].reason.startswith(fixed.REASON_SHORT_BODY) and long[2].reason == fixed.REASON_NO_BODY
+    assert (short[1].title, short[1].press) == ("From the list", "Daily") and short[1].date.startswith("2024.01.02")
