@@ -18,7 +18,7 @@ from newspulse.functions.dates import parse_timestamp
 from newspulse.operators import daily as ops
 from newspulse.operators.ranking import top_k_per_group
 from newspulse.operators.scoring import refine_articles, score_with_lexicon
-from newspulse.operators.state import known_keys, new_articles
+from newspulse.operators.state import new_articles
 from newspulse.streaming import store
 
 log = logging.getLogger(__name__)
@@ -81,14 +81,18 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, once: bool = False) ->
 def ingest_new(
     stream: DataFrame, root: str, checkpoint: str, order: Sequence[Column], key: str = "url", once: bool = False
 ) -> StreamingQuery:
-    """Append only rows whose key is not stored, one per key."""
+    """Append only rows whose key is not stored, one per key.
+
+    The keys have a table of their own beside the store, ``root`` with
+    ``-keys`` added, of which a batch reads the buckets of its own keys.
+    """
     spark, schema = stream.sparkSession, stream.schema
     store.guard_store(spark, root, checkpoint)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        stored = store.read_store(batch.sparkSession, root, schema, before=batch_id)
-        known = known_keys(batch, stored, key)
+        known = store.known_keys(batch, f"{root}-keys", batch_id, key)
         store.write_batch(new_articles(batch, known, order, key), root, batch_id)
+        store.write_keys(store.read_batch(batch.sparkSession, root, batch_id, schema), f"{root}-keys", batch_id, key)
 
     return start(stream, work, checkpoint, once)
 
@@ -186,6 +190,7 @@ def stored_schema(spark: SparkSession, incoming: StructType | str, settings: Ref
 def rewrite_refresh_store(spark: SparkSession, root: str, new_root: str, schema: StructType, last_batch: int) -> None:
     """Move a stopped refresh to a new root with one folder per table."""
     store.rewrite_store(spark, f"{root}/articles", f"{new_root}/articles", schema, last_batch, "date_only")
+    store.rewrite_keys(spark, f"{root}/keys", f"{new_root}/keys", last_batch)
     for name, fields in (("day_state", DAY_STATE), ("headline_state", HEADLINES)):
         store.write_batch(store.read_batch(spark, f"{root}/{name}", last_batch, fields), f"{new_root}/{name}", last_batch)
 
@@ -194,7 +199,8 @@ def refresh(stream: DataFrame, root: str, checkpoint: str, settings: RefreshSett
     """Store new articles and bring daily, events and event_news up to date.
 
     A batch adds its day sums and best headlines to the state of the batch
-    before, so history is not read again. The three result tables are
+    before, and looks its urls up in the buckets of a key table that is
+    compacted as it grows, so history is not read again. The three result tables are
     overwritten below ``root/out``.
     """
     spark = stream.sparkSession
@@ -204,11 +210,12 @@ def refresh(stream: DataFrame, root: str, checkpoint: str, settings: RefreshSett
 
     def work(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        stored = store.read_store(session, articles, schema, before=batch_id)
         order = [F.col(c) for c in settings.order]
-        fresh = score_batch(new_articles(batch, known_keys(batch, stored), order), settings)
+        known = store.known_keys(batch, f"{root}/keys", batch_id, "url")
+        fresh = score_batch(new_articles(batch, known, order), settings)
         store.write_batch(fresh, articles, batch_id, partition_by="date_only")
         added = store.read_batch(session, articles, batch_id, schema)
+        store.write_keys(added, f"{root}/keys", batch_id, "url")
 
         days = store.read_batch(session, day_state, batch_id - 1, DAY_STATE).unionByName(_sums(added))
         days = days.groupBy("date_only").agg(*[F.sum(c).alias(c) for c in ("total", "article_count")])

@@ -7,10 +7,15 @@ of earlier batches, so a replay leaves the same rows as a single run.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from newspulse.session import settle
+
+KEY_BUCKETS, COMPACT_EVERY = 64, 16
+KEYS = "k string, bucket int"
+
 
 def read_if_present(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
     """A parquet table, or None when its folder does not exist."""
@@ -58,6 +63,63 @@ def read_store(spark: SparkSession, root: str, schema: StructType | str, before:
     return rows.select(*fields.fieldNames())
 
 
+def key_bucket(key: str) -> Column:
+    """The bucket of a key in the key table."""
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def key_paths(root: str, before: int) -> list[str]:
+    """Folders that hold the keys of all batches before one, without listing any.
+
+    Every COMPACT_EVERY-th batch leaves one folder for all batches so far, so
+    there are never more than COMPACT_EVERY paths.
+    """
+    last = before // COMPACT_EVERY * COMPACT_EVERY - 1
+    compact = [f"{root}/compact/batch={last}"] if last >= 0 else []
+    return compact + [f"{root}/batch={i}" for i in range(last + 1, before)]
+
+
+def read_keys(spark: SparkSession, root: str, before: int, buckets: list[int] | None = None) -> DataFrame:
+    """Keys (k, bucket) of the batches before one; only the folders of ``buckets`` are read."""
+    return _union(spark, key_paths(root, before), buckets)
+
+
+def _union(spark: SparkSession, paths: list[str], buckets: list[int] | None = None) -> DataFrame:
+    """Key tables that are partitioned by bucket each, put together."""
+    out = spark.createDataFrame([], KEYS)
+    for path in paths:
+        rows = spark.read.schema(KEYS).parquet(path)
+        out = out.unionByName(rows if buckets is None else rows.where(F.col("bucket").isin(buckets)))
+    return out
+
+
+def write_keys(rows: DataFrame, root: str, batch_id: int, key: str) -> None:
+    """Note the keys a batch has stored; a replayed batch overwrites its own folders."""
+    write_batch(rows.select(F.col(key).cast("string").alias("k"), key_bucket(key).alias("bucket")), root, batch_id, "bucket")
+    if (batch_id + 1) % COMPACT_EVERY == 0:
+        spark = rows.sparkSession
+        before = batch_id // COMPACT_EVERY * COMPACT_EVERY
+        paths = key_paths(root, before) + [f"{root}/batch={i}" for i in range(before, batch_id + 1)]
+        write_batch(_union(spark, paths), f"{root}/compact", batch_id, "bucket")
+
+
+def known_keys(batch: DataFrame, root: str, batch_id: int, key: str) -> DataFrame:
+    """The batch's keys that earlier batches stored, from their buckets only."""
+    keys = settle(batch.select(F.col(key).cast("string").alias("_key"), key_bucket(key).alias("_bucket")).distinct(), "batch-keys")
+    buckets = [r[0] for r in keys.select("_bucket").distinct().collect()]  # at most KEY_BUCKETS
+    stored = read_keys(batch.sparkSession, root, batch_id, buckets)
+    same = (F.col("bucket") == F.col("_bucket")) & F.col("k").eqNullSafe(F.col("_key"))
+    return stored.join(keys, same, "left_semi").select(F.col("k").alias(key))
+
+
+def rewrite_keys(spark: SparkSession, root: str, new_root: str, last_batch: int) -> None:
+    """Copy the keys up to ``last_batch`` into the folder of that batch below a new root."""
+    rows = read_keys(spark, root, last_batch + 1)
+    for path in key_paths(new_root, last_batch + 1)[:-1]:
+        rows.limit(0).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(key_paths(new_root, last_batch + 1)[-1])
+
+
 def rewrite_store(
     spark: SparkSession, root: str, new_root: str, schema: StructType | str, last_batch: int, partition_by: str | None = None
 ) -> None:

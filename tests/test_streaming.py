@@ -150,3 +150,26 @@ def test_refresh_goes_on_after_a_rewrite(spark):
     run(spark, whole, rows, settings())
     for name in ("daily", "events", "event_news"):
         assert out(spark, new, name) == out(spark, whole, name) != []
+
+
+def test_keys_are_read_from_their_buckets_and_compacted(spark, monkeypatch):
+    monkeypatch.setattr(store, "COMPACT_EVERY", 3)
+    path = scratch_path(spark, "keys")
+    batches = [spark.createDataFrame([(f"u{i}",), (f"v{i}",), (None if i == 4 else f"w{i}",)], "url string") for i in range(8)]
+    for i, b in enumerate(batches):
+        store.write_keys(b, path, i, "url")
+    assert store.key_paths(path, 8) == [f"{path}/compact/batch=5", f"{path}/batch=6", f"{path}/batch=7"]
+    assert store.key_paths(path, 3) == [f"{path}/compact/batch=2"] and store.key_paths(path, 0) == []
+    all_keys = {r.k for r in store.read_keys(spark, path, 8).collect()}
+    assert all_keys == {r.url for b in batches for r in b.collect()}
+    store.write_keys(batches[5], path, 5, "url")  # a replay of the batch that compacts
+    assert store.read_keys(spark, path, 8).count() == 24
+    asked = spark.createDataFrame([("u1",), ("w7",), (None,), ("new",)], "url string")
+    assert {r.url for r in store.known_keys(asked, path, 8, "url").collect()} == {"u1", "w7", None}
+    assert {r.url for r in store.known_keys(asked, path, 7, "url").collect()} == {"u1", None}
+    one = asked.where("url = 'u1'")
+    plan = store.known_keys(one, path, 8, "url")._jdf.queryExecution().executedPlan().toString()
+    bucket = one.select(store.key_bucket("url")).first()[0]
+    assert "PartitionFilters: [isnotnull(bucket" in plan and f"= {bucket})" in plan or f"IN ({bucket})" in plan
+    store.rewrite_keys(spark, path, f"{path}-new", 7)
+    assert {r.k for r in store.read_keys(spark, f"{path}-new", 8).collect()} == all_keys
