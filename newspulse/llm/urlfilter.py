@@ -100,9 +100,9 @@ def _merge(tree: DataFrame, depth: int) -> DataFrame:
     little from those of all branches pooled, and its label rate is within
     ``Z`` standard errors of the pooled one.
     """
-    below = _counts(tree.where(F.size("t") > depth + 1).select(
+    below = settle(_counts(tree.where(F.size("t") > depth + 1).select(
         "host", F.slice("t", 1, depth).alias("p"), F.get("t", F.lit(depth)).alias("s"),
-        F.slice("t", depth + 2, 1 << 30).alias("sub"), "n", "labelled", "blocked"), "host", "p", "s", "sub")
+        F.slice("t", depth + 2, 1 << 30).alias("sub"), "n", "labelled", "blocked"), "host", "p", "s", "sub"), "url-subtrees")
     branch = _counts(below, "host", "p", "s").select(
         "host", "p", "s", F.col("n").alias("bn"), F.col("labelled").alias("bl"), F.col("blocked").alias("bb"))
     pooled = _counts(below, "host", "p", "sub").select("host", "p", "sub", F.col("n").alias("pn"))
