@@ -51,9 +51,11 @@ def slices(frames: Iterable[pd.DataFrame], column: str, limit: int) -> Iterator[
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
+    high = np.empty_like(x)
+    for _ in range(2):
+        np.right_shift(x, np.uint64(32), out=high)
+        x ^= high
+        x *= np.uint64(0xD6E8FEB86659FD93)
+    np.right_shift(x, np.uint64(32), out=high)
+    x ^= high
     return x

@@ -13,7 +13,7 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=32)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for r in (BASE, INVERSE):
@@ -38,6 +38,11 @@ class Rolling:
         # Bytes are scrambled first, so that small differences don't cancel out.
         np.cumsum(_BYTES[data] * power[: len(data)], out=self.sums[1:])
 
+    def windows(self, size: int) -> np.ndarray:
+        """Hashes of all stretches of ``size`` bytes."""
+        n = len(self.sums) - size
+        return mix64((self.sums[size:] - self.sums[:n]) * self.inverse[:n])
+
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix64((self.sums[b] - self.sums[a]) * self.inverse[a])
 

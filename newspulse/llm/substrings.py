@@ -48,22 +48,22 @@ def segments(data: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]
     """
     w = length - seed + 1
     roll = Rolling(data)
-    at = np.arange(len(data) - seed + 1)
-    h = roll.of(at, at + seed)
+    h = roll.windows(seed)
     low = _window_min(h, w)
-    values = np.unique(low)
-    place = np.searchsorted(values, h)
-    place[place == len(values)] = 0
-    at = at[values[place] == h]
+    # A place is the smallest of some window if it equals the largest minimum of all windows it is in.
+    ends = np.zeros(w - 1, np.uint64)
+    at = np.flatnonzero(h == ~_window_min(~np.concatenate([ends, low, ends]), w))
+    # The anchor can change where the minimum does and where another such place enters the window.
+    starts = np.unique(np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1, np.maximum(at - w + 1, 0)]))
     # The last place of a value up to a window's end, by (value, place).
-    span = len(h) + 1
+    values, span = np.unique(h[at]), len(h) + 1
     known = np.sort(np.searchsorted(values, h[at]) * span + at)
-    starts = np.arange(len(low))
-    ask = np.searchsorted(values, low) * span + starts + w - 1
+    ask = np.searchsorted(values, low[starts]) * span + starts + w - 1
     anchor = known[np.searchsorted(known, ask, side="right") - 1] % span
-    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    last = np.concatenate([first[1:], [len(anchor)]]) - 1
-    return h[anchor[first]], roll.of(first, last + length), first, last, anchor[first]
+    change = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    first, anchor = starts[change], anchor[change]
+    last = np.concatenate([first[1:], [len(low)]]) - 1
+    return h[anchor], roll.of(first, last + length), first, last, anchor
 
 
 def _describe(docs: DataFrame, length: int, seed: int) -> DataFrame:
