@@ -67,8 +67,11 @@ def segments(data: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]
 
 
 def _describe(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """(doc_id, digest, n_bytes, sha, segs) of every row; segs of a text's regions."""
-    schema = "doc_id long, digest binary, n_bytes long, sha string, segs array<struct<f:long,r:long,lo:int,n:int,off:int>>"
+    """(doc_id, digest, n_bytes, sha, segs) of every row; segs are a text's regions."""
+    parts = "f long, r long, lo int, n int, off int"
+    schema = "doc_id long, digest binary, n_bytes long, sha string, " + ", ".join(
+        "{} array<{}>".format(*p.split()) for p in parts.split(", "))
+    none = (np.empty(0, np.int64), np.empty(0, np.int64), *[np.empty(0, np.int32)] * 3)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames, "text", 2_000_000):
@@ -76,16 +79,17 @@ def _describe(docs: DataFrame, length: int, seed: int) -> DataFrame:
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 raw = utf8(text)
                 sha = hashlib.sha256(raw)
-                segs = []
+                segs = none
                 if len(raw) >= length:
                     f, r, lo, hi, at = segments(np.frombuffer(raw, np.uint8), length, seed)
-                    segs = list(zip(f.view(np.int64).tolist(), r.view(np.int64).tolist(), lo.tolist(), (hi - lo + length).tolist(), (at - lo).tolist(), strict=True))
-                rows.append((doc_id, sha.digest()[:16], len(raw), sha.hexdigest(), [dict(zip("f r lo n off".split(), s, strict=True)) for s in segs]))
-            out = pd.DataFrame(rows, columns=["doc_id", "digest", "n_bytes", "sha", "segs"])
+                    segs = (f.view(np.int64), r.view(np.int64), *(x.astype(np.int32) for x in (lo, hi - lo + length, at - lo)))
+                rows.append((doc_id, sha.digest()[:16], len(raw), sha.hexdigest(), *segs))
+            out = pd.DataFrame(rows, columns=["doc_id", "digest", "n_bytes", "sha", "f", "r", "lo", "n", "off"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInPandas(run, schema).select(
+        "doc_id", "digest", "n_bytes", "sha", F.arrays_zip("f", "r", "lo", "n", "off").alias("segs"))
 
 
 def _expand(regions: DataFrame, length: int) -> DataFrame:
