@@ -107,9 +107,28 @@ def test_scores_equal_counted_base(spark):
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(t), sum(count[w] > 0 for w in t), n)
 
 
-def test_model_beats_counted_words_on_held_out_rows(spark):
-    out = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
-    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+def test_model_beats_counted_ids_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = by_id(lm.score(docs))
+    tokenizer = lm.Tokenizer(open(lm.VOCABULARY, "rb").read())
+    words = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.collect()}
+    tokenizer.learn(collections.Counter(w for x in words.values() for w in x))
+    ids = {i: tokenizer.ids(w) for i, w in words.items()}
+    count = sum(np.bincount(x, minlength=lm.IDS) for i, x in ids.items() if not got[i].held_out) + 0.1
+    share = np.log10(count / count.sum())
+    out = [i for i, r in got.items() if r.held_out]
+    assert sum(got[i].score for i in out) > 0.8 * sum(share[ids[i]].sum() for i in out)
+
+
+def test_tokenizer_pieces_give_back_the_words():
+    tokenizer = lm.Tokenizer(open(lm.VOCABULARY, "rb").read())
+    pieces = {int(n): p for p, n in ((lm.base64.b64decode(a), b) for a, b in map(bytes.split, open(lm.VOCABULARY, "rb")))}
+    words = [b"the", "\u00a0x\u2003y".encode(), b"th" * 400, "été".encode(), b"\x00\x01", "日本".encode()]
+    tokenizer.learn(dict.fromkeys(words, 1))
+    for w in words:
+        ids = tokenizer.ids([w])
+        assert ids[-1] == lm.END and b"".join(pieces[i] for i in ids[:-1].tolist()).replace(b" ", b"") == w
+    assert tokenizer.ids(words[:2]).tolist() == [*tokenizer.ids(words[:1])[:-1].tolist(), *tokenizer.ids(words[1:2]).tolist()]
 
 
 def test_windows_ask_each_token_once():
@@ -124,9 +143,9 @@ def test_windows_ask_each_token_once():
 
 def test_attention_gradient_and_mask():
     rng = np.random.default_rng(1)
-    shapes = [(lm.ROWS + 2, lm.DIM), *[(lm.DIM, lm.DIM)] * 3, (2 * lm.HALF,), (lm.DIM, lm.CLASSES), (lm.CLASSES,)]
+    shapes = [(lm.ROWS + 2, lm.DIM), *[(lm.DIM, lm.DIM)] * 3, (2 * lm.HALF,), (lm.DIM, lm.CLASSES), (lm.CLASSES,), (lm.ROWS, lm.DIM), (lm.ROWS,)]
     w = lm.Weights(*((rng.standard_normal(s) * 0.3).astype(np.float32) for s in shapes))
-    rows, classes = rng.integers(0, 50, (2 * lm.HALF, 9)), rng.integers(0, lm.CLASSES, (lm.HALF, 9))
+    rows, classes = rng.integers(0, 50, (2 * lm.HALF, 9)), rng.integers(0, lm.ROWS, (lm.HALF, 9))
     rows[:5, 0], classes[5:, 3] = lm.PAD, -1
     flat, g = w.flat().astype(np.float64), lm.gradient(w, rows, classes)[0].flat()
     for i in np.argsort(-np.abs(g))[:10]:
@@ -134,14 +153,20 @@ def test_attention_gradient_and_mask():
         e[i] = 1e-2
         ends = [lm.gradient(w.like(flat + s * e), rows, classes)[1] for s in (1, -1)]
         assert (ends[0] - ends[1]) / 2e-2 == pytest.approx(g[i], rel=0.02)
+    scorer = lm.Scorer(w, None)
+    wanted = np.maximum(classes, 0)
+    p = scorer.slots(rows, wanted)
+    assert -lm.gradient(w, rows, wanted)[1] == pytest.approx(float(p.mean()), abs=1e-4)
+    whole = sum(np.exp(scorer.slots(rows, np.full_like(wanted, k))) for k in range(lm.ROWS))
+    assert np.allclose(whole, 1, atol=1e-3)
     # What comes after a position, and the space before a text, change nothing.
-    logp = lm.forward(w, rows)
+    logp = lm.forward(w, rows)[0]
     later = rows.copy()
     later[lm.HALF + 4 :] = 7
-    assert np.allclose(lm.forward(w, later)[:4], logp[:4], atol=1e-5)
+    assert np.allclose(lm.forward(w, later)[0][:4], logp[:4], atol=1e-5)
     other = lm.Weights(w.emb.copy(), *w[1:])
     other.emb[lm.PAD] = 5
-    assert np.allclose(lm.forward(other, rows), logp, atol=1e-5)
+    assert np.allclose(lm.forward(other, rows)[0], logp, atol=1e-5)
     assert np.allclose(np.exp(logp).sum(1), 1, atol=1e-4)
 
 
