@@ -46,7 +46,7 @@ def time_of(share: Column, knots: Sequence[tuple[float, float]]) -> Column:
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0,
                    max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """(source, source_size, n_rows, weight_class, target) for (source, size).
+    """(source, source_size, n_rows, weight_class, target, mix_size) for (source, size).
 
     Weights repeat over the sources in code-point order, null last. ``share``
     of all sizes is dealt out by weight; a target stops at ``max_repeats``
@@ -69,7 +69,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     # Levels fall from the first source that stays below its limit onwards.
     level = F.max(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level"))).over(Window.partitionBy())
     target = F.least(F.col("_cap"), F.greatest(F.coalesce(level * F.col("_w"), F.col("_cap")), F.lit(0.0)))
-    return per.select("source", "source_size", "n_rows", "weight_class", target.alias("target"))
+    out = per.select("source", "source_size", "n_rows", "weight_class", target.alias("target"))
+    return out.withColumn("mix_size", F.sum("target").over(Window.partitionBy()))
 
 
 def mix(docs: DataFrame, seed: int = 0, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULES,
@@ -94,7 +95,7 @@ def mix(docs: DataFrame, seed: int = 0, weights: Sequence[float] = WEIGHTS, sche
     order = F.xxhash64("doc_id", F.lit(seed))
     unit = (F.shiftrightunsigned(order, 11) / F.lit(float(1 << 53)))
     rows = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(
-        "d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "t.weight_class", order.alias("_order"),
+        "d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "t.mix_size", "t.weight_class", order.alias("_order"),
         F.floor(unit * F.ceil(F.col("t.n_rows") / ROWS_PER_BUCKET)).alias("_bucket"))
     # Two levels: words per bucket of the order, then words inside a bucket.
     buckets = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
@@ -117,11 +118,10 @@ def mix(docs: DataFrame, seed: int = 0, weights: Sequence[float] = WEIGHTS, sche
     time = F.lit(None).cast("double")
     for k, knots in enumerate(schedules):
         time = F.when(F.col("weight_class") % len(schedules) == k, time_of(F.col("_share"), knots)).otherwise(time)
-    words = F.broadcast(targets.agg(F.sum("target").alias("_total")))  # one row
-    return placed.crossJoin(words).select(
+    return placed.select(
         "doc_id", "source", "size", "source_size", "target", "taken",
         F.when(F.col("size") > 0, F.col("_reads")).otherwise(0).alias("passes"),
-        F.when(F.col("taken") > 0, time * F.col("_total")).alias("position"))
+        F.when(F.col("taken") > 0, time * F.col("mix_size")).alias("position"))
 
 
 def ordered(mixed: DataFrame) -> DataFrame:
