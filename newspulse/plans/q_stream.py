@@ -121,7 +121,7 @@ FINAL_SQL = f"""{SCORED_SQL}, final AS (
   FROM final f JOIN changes c USING (date_only) WHERE abs(c.change) >= {fx.NEWS_THRESHOLD}) WHERE rank <= 3""",
 )
 def incremental_refresh(spark, sf):
-    return spark.read.parquet(f"{_refreshed(spark, sf, None)}/out/event_news")
+    return jobs.published(spark, _refreshed(spark, sf, None), "event_news")
 
 
 @query(
@@ -133,4 +133,4 @@ def incremental_refresh(spark, sf):
 )
 def incremental_daily(spark, sf):
     last = fx.news(spark, sf).agg(F.max(F.to_timestamp("date")) - F.expr("INTERVAL 1 HOUR")).first()[0]
-    return spark.read.parquet(f"{_refreshed(spark, sf, 30, str(last))}/out/daily")
+    return jobs.published(spark, _refreshed(spark, sf, 30, str(last)), "daily")

@@ -200,8 +200,8 @@ def refresh(stream: DataFrame, root: str, checkpoint: str, settings: RefreshSett
 
     A batch adds its day sums and best headlines to the state of the batch
     before, and looks its urls up in the buckets of a key table that is
-    compacted as it grows, so history is not read again. The three result tables are
-    overwritten below ``root/out``.
+    compacted as it grows, so history is not read again. ``published``
+    gives the result tables.
     """
     spark = stream.sparkSession
     articles, day_state, headline_state = f"{root}/articles", f"{root}/day_state", f"{root}/headline_state"
@@ -232,18 +232,32 @@ def refresh(stream: DataFrame, root: str, checkpoint: str, settings: RefreshSett
 
 
 def publish(spark: SparkSession, root: str, batch_id: int, schema: StructType, settings: RefreshSettings) -> None:
-    """Overwrite daily, events and event_news from the state of a batch."""
+    """Write daily, events and event_news from the state of a batch.
+
+    Two slots take turns and a mark is written last, so a reader of
+    ``published`` finds whole tables of one batch while the next is written.
+    """
+    slot = f"slot={batch_id % 2}"
+
+    def write(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{root}/out/{name}/{slot}")
+        return spark.read.schema(rows.schema).parquet(f"{root}/out/{name}/{slot}")
+
     days = store.read_batch(spark, f"{root}/day_state", batch_id, DAY_STATE)
     scored = store.read_store(spark, f"{root}/articles", schema, before=batch_id + 1)
     recent = recent_days(days, scored, settings)
     means = recent.where(F.col("article_count") >= settings.min_count).select(
         "date_only", (F.col("total") / F.col("article_count")).alias("sentiment_mean"), "article_count"
     )
-    ops.with_change(means).write.mode("overwrite").parquet(f"{root}/out/daily")
-    written = spark.read.parquet(f"{root}/out/daily")
-    events = written.where(F.abs("change") >= settings.threshold)
-    events.write.mode("overwrite").parquet(f"{root}/out/events")
+    written = write(ops.with_change(means), "daily")
+    events = write(written.where(F.abs("change") >= settings.threshold), "events")
     headlines = store.read_batch(spark, f"{root}/headline_state", batch_id, HEADLINES)
-    ops.event_news(headlines, spark.read.parquet(f"{root}/out/events"), settings.headlines).write.mode(
-        "overwrite"
-    ).parquet(f"{root}/out/event_news")
+    write(ops.event_news(headlines, events, settings.headlines), "event_news")
+    write(spark.createDataFrame([(batch_id,)], "batch long"), "complete")
+
+
+def published(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A result table of the newest batch whose results are complete."""
+    marks = spark.read.schema("batch long, slot int").parquet(f"{root}/out/complete")
+    slot = marks.orderBy(F.desc("batch")).first()["slot"]
+    return spark.read.parquet(f"{root}/out/{name}/slot={slot}")

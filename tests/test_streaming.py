@@ -27,7 +27,7 @@ def run(spark, path, rows, s):
 
 
 def out(spark, path, name):
-    return sorted(tuple(r) for r in spark.read.parquet(f"{path}/out/{name}").collect())
+    return sorted(tuple(r) for r in jobs.published(spark, path, name).collect())
 
 
 def test_refresh_in_steps_equals_one_refresh(spark):
