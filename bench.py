@@ -29,7 +29,7 @@ def main() -> None:
     spark = build_session(
         "bench", f"local[{cpus}]",
         **{
-            "spark.sql.shuffle.partitions": cpus, "newspulse.scan.partitions": cpus, "spark.driver.memory": "8g", "spark.ui.enabled": "false",
+            "spark.sql.shuffle.partitions": cpus, "spark.newspulse.scanPartitions": cpus, "spark.driver.memory": "8g", "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },
     )

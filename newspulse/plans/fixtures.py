@@ -28,8 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, dealt over as many tasks as ``newspulse.scan.partitions`` says, if it is set."""
-    partitions = spark.conf.get("newspulse.scan.partitions", None)
+    """A table, dealt over as many tasks as ``spark.newspulse.scanPartitions`` says, if it is set."""
+    partitions = spark.conf.get("spark.newspulse.scanPartitions", None)
     return spread(table(spark, sf_dir, name), int(partitions) if partitions else None)
 
 
