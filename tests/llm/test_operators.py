@@ -482,3 +482,11 @@ def test_stages_keep_columns(spark, edges, empty, stage):
         out = run(spark, docs, SF)
         assert out.columns == docs.columns
         out.collect()
+
+
+def test_dedup_query_equals_its_sql(spark):
+    import oracle_check
+
+    con = oracle_check.connect("/root/testdata/sf0.01")
+    name = "op2_stateful_dedup"
+    assert oracle_check.compare(queries.QUERIES[name](spark, "/root/testdata/sf0.01"), con, queries.ORACLES[name]) is None
