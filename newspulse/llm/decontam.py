@@ -41,25 +41,19 @@ def words_of(text: str | None) -> list[bytes]:
     return utf8(text).translate(_WORD).split()
 
 
-class _Features(dict):
-    """Word to feature, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = f = zlib.crc32(word) % FEATURES
-        return f
+def features_of(words) -> np.ndarray:
+    """The feature of every word."""
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % FEATURES
 
 
 def document_frequencies(docs: DataFrame) -> np.ndarray:
     """Documents that hold each feature, over all rows; the last entry counts the rows."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, known = np.zeros(FEATURES + 1, dtype=np.int64), _Features()
+        seen = np.zeros(FEATURES + 1, dtype=np.int64)
         for frame in slices(frames, "text", 4_000_000):
             for text in frame["text"]:
-                f = set(map(known.__getitem__, set(words_of(text))))
-                seen[np.fromiter(f, np.int64, len(f))] += 1
+                seen[np.unique(features_of(set(words_of(text))))] += 1
                 seen[FEATURES] += 1
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"feature": at, "n": seen[at]})
@@ -228,13 +222,12 @@ def _search(docs: DataFrame, items: DataFrame, idf, features, space, cosine: flo
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         space, place, idf, wanted, owner, checks = held.value
-        known = _Features()
         for frame in slices(frames, "text", 500_000):
             out = []
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 words = words_of(text)
                 if len(words) >= MIN_WORDS:
-                    out += [(doc_id, *hit) for hit in _of_document(words, known, space, place, idf, wanted, owner, checks, cosine)]
+                    out += [(doc_id, *hit) for hit in _of_document(words, space, place, idf, wanted, owner, checks, cosine)]
             found = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
             found["doc_id"] = found["doc_id"].astype("Int64")
             yield found
@@ -242,8 +235,8 @@ def _search(docs: DataFrame, items: DataFrame, idf, features, space, cosine: flo
     return docs.select("doc_id", "text").mapInPandas(search, SCHEMA)
 
 
-def _of_document(words, known, space, place, idf, wanted, owner, checks, cosine) -> list[tuple]:
-    ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+def _of_document(words, space, place, idf, wanted, owner, checks, cosine) -> list[tuple]:
+    ids = features_of(words)
     weight = idf[ids]
     starts = np.arange(0, len(ids), BLOCK)
     sums = np.zeros((len(starts) + 1, space.shape[1]), np.float32)
