@@ -4,14 +4,18 @@ Benchmark items are cut into passages and weighted by TF-IDF, with document
 frequencies counted over the whole corpus. A randomised singular value
 decomposition, whose products run as Spark jobs over the passages, gives a
 latent space. Every window of every document is folded into that space and
-compared with all passages; a pair of sufficient cosine is then checked by the
-longest common subsequence of words, and a paraphrase also by its answer.
+compared with all passages. As the image of a passage shrinks with a growing
+benchmark, items are also sought by the number of their words that stand in a
+stretch of text, which no leak can fall below. What either way finds is checked
+by the longest common subsequence of words, and a paraphrase also by its answer.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -29,6 +33,7 @@ COSINE = 0.3  # of a window with a passage's image in the latent space
 SAME, PARAPHRASE = 0.8, 0.55  # share of an item's words found in order
 ANSWER_WORDS = 5  # the end of an item is its answer where it has no other
 MIN_WORDS = 6
+SMALL, GATE_STEPS = 64, 16  # items up to SMALL words are sought together; so many of their sizes of text at a time
 ITEMS_AT_ONCE = 50_000  # passages searched in one pass over the documents
 
 
@@ -164,6 +169,95 @@ class Item:
         return bool(n) and any(region[i : i + n] == a for i, w in enumerate(region) if w == a[0])
 
 
+def least_of(share: float, size: int) -> int:
+    """The least number of words that is ``share`` of ``size``, as the check divides them."""
+    n = math.floor(share * size)
+    return n if n / size >= share else n + 1
+
+
+class Gate(NamedTuple):
+    """Items of at most ``size`` words by their features: which of them can stand in a piece of text."""
+
+    size: int
+    step: int  # windows that start in so many words are looked at together
+    starts: np.ndarray  # by row of the latent space: where its entries begin
+    items: np.ndarray
+    counts: np.ndarray  # (entries, 2): how often the feature stands in the item, and whether in its answer
+    least: np.ndarray  # (items, 3): words that a leak has in common at least; those with an answer; features of the answer
+    which: np.ndarray
+    rows: list[np.ndarray]  # by item: its features, sorted, and their counts
+    own: list[np.ndarray]
+
+
+def gates_of(checks: list[tuple], place: np.ndarray, rows: int) -> list[Gate]:
+    """Gates of the items (id, Item), one for each power of two of their sizes from SMALL."""
+    by_size: dict[int, list[int]] = {}
+    for k, (_, item) in enumerate(checks):
+        by_size.setdefault(max(SMALL, 1 << (item.size - 1).bit_length()), []).append(k)
+    out = []
+    for size, which in sorted(by_size.items()):
+        least, held, own = [], [], []
+        for k in which:
+            item, total = checks[k][1], {}
+            for w, mask in item.masks.items():
+                entry = total.setdefault(int(place[zlib.crc32(w) % FEATURES]), [0, 0])
+                entry[0] += mask.bit_count()
+                entry[1] |= w in item.answer
+            held.append(np.array(sorted(total)))
+            own.append(np.array([total[x] for x in sorted(total)]))
+            least.append((least_of(SAME, item.size), least_of(PARAPHRASE, item.size), own[-1][:, 1].sum()))
+        at, items = np.concatenate(held), np.repeat(np.arange(len(which)), [len(x) for x in held])
+        order = np.argsort(at, kind="stable")
+        out.append(Gate(
+            size, GATE_STEPS * size, np.searchsorted(at[order], np.arange(rows + 1)), items[order],
+            np.concatenate(own)[order], np.array(least), np.array(which), held, own))
+    return out
+
+
+def _possible(shared: np.ndarray, answer: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether so many common words, and so many of the answer, can make a leak."""
+    same, paraphrase, whole = least.T
+    return (shared >= same) | ((shared >= paraphrase) & (answer >= whole))
+
+
+def _by_words(at: np.ndarray, gate: Gate, checks: list[tuple]) -> Iterator[tuple[int, int]]:
+    """(first word, item) of every longest window around which enough words of the item stand.
+
+    ``at`` has the rows of a document's words, -1 for words of no item. Words
+    are counted in any order, so nothing is lost that the check would find.
+    """
+    span = BLOCK * SCALES[-1]
+    for a in range(0, len(at), gate.step):
+        low = max(0, a - gate.size)
+        piece = at[low : a + gate.step + span + gate.size]
+        seen = np.unique(piece)
+        seen = seen[np.searchsorted(seen, 0) :]
+        first = gate.starts[seen]
+        n = gate.starts[seen + 1] - first
+        ends = np.cumsum(n)
+        if not len(ends) or not ends[-1]:
+            continue
+        entries = np.repeat(first - ends + n, n) + np.arange(ends[-1])
+        items, counts = gate.items[entries], gate.counts[entries]
+        shared, answer = (np.bincount(items, counts[:, c], len(gate.least)) for c in (0, 1))
+        starts = np.arange(a, min(a + gate.step, len(at)), BLOCK)
+        for i in np.flatnonzero(_possible(shared, answer, gate.least)).tolist():
+            rows, size = gate.rows[i], checks[gate.which[i]][1].size
+            row = np.minimum(np.searchsorted(rows, piece), len(rows) - 1)
+            held = np.flatnonzero(rows[row] == piece)
+            row, before = row[held], np.full(len(held), -1)
+            order = np.argsort(row, kind="stable")
+            again = np.flatnonzero(row[order[1:]] == row[order[:-1]])
+            before[order[again + 1]] = held[order[again]] + low
+            held += low
+            # A word counts in a window where it first stands in it.
+            begin = np.maximum(starts - size, 0)[:, None]
+            once = (held >= begin) & (before < begin) & (held < starts[:, None] + span + size)
+            shared_here = once.astype(np.float32) @ gate.own[i][row].astype(np.float32)
+            for start in starts[_possible(*shared_here.T, gate.least[i])].tolist():
+                yield start, int(gate.which[i])
+
+
 SCHEMA = "doc_id long, item_id long, cosine double, lcs_words long, lcs_share double, answer_found boolean, first_word long"
 
 
@@ -173,7 +267,8 @@ def leaks(docs: DataFrame, items: DataFrame, rank: int = RANK, cosine: float = C
     ``items`` has item_id, text and, if known, answer; otherwise an item's
     last words are its answer. An item is found where SAME of its words stand
     in order within a stretch of the text, or PARAPHRASE of them and the
-    answer. Null and empty texts and items of fewer than MIN_WORDS words have
+    answer. ``cosine`` is that of the window with the nearest passage of the item,
+    and may be low where the words led to it. Null and empty texts and items of fewer than MIN_WORDS words have
     no leak; repeated documents each give their rows; empty tables give none.
     Other columns are not looked at. Passages are searched in blocks of
     ITEMS_AT_ONCE, so what a task holds is bounded.
@@ -218,16 +313,16 @@ def _search(docs: DataFrame, items: DataFrame, idf, features, space, cosine: flo
     place[features] = np.arange(len(features))
     held = docs.sparkSession.sparkContext.broadcast((
         space * idf[features][:, None], place, idf,
-        np.array(vectors, np.float32).T.copy(), np.array(owner), checks))
+        np.array(vectors, np.float32).T.copy(), np.array(owner), checks, gates_of(checks, place, len(features))))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        space, place, idf, wanted, owner, checks = held.value
+        space, place, idf, wanted, owner, checks, gates = held.value
         for frame in slices(frames, "text", 500_000):
             out = []
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 words = words_of(text)
                 if len(words) >= MIN_WORDS:
-                    out += [(doc_id, *hit) for hit in _of_document(words, space, place, idf, wanted, owner, checks, cosine)]
+                    out += [(doc_id, *hit) for hit in _of_document(words, space, place, idf, wanted, owner, checks, gates, cosine)]
             found = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
             found["doc_id"] = found["doc_id"].astype("Int64")
             yield found
@@ -235,7 +330,7 @@ def _search(docs: DataFrame, items: DataFrame, idf, features, space, cosine: flo
     return docs.select("doc_id", "text").mapInPandas(search, SCHEMA)
 
 
-def _of_document(words, space, place, idf, wanted, owner, checks, cosine) -> list[tuple]:
+def _of_document(words, space, place, idf, wanted, owner, checks, gates, cosine) -> list[tuple]:
     ids = features_of(words)
     weight = idf[ids]
     starts = np.arange(0, len(ids), BLOCK)
@@ -264,6 +359,18 @@ def _of_document(words, space, place, idf, wanted, owner, checks, cosine) -> lis
             near = (w[some] @ wanted) / np.sqrt(np.maximum(norm[some], 1e-9))[:, None]
             for i, j in np.argwhere(near >= cosine).tolist():
                 _check(words, int(some[i]) * BLOCK, scale * BLOCK, owner[j], float(near[i, j]), checks, best)
+    for gate in gates:
+        for start, which in _by_words(at, gate, checks):
+            if which in best and best[which][3] >= 1.0:
+                continue
+            known = best.get(which)
+            _check(words, start, SCALES[-1] * BLOCK, which, 0.0, checks, best)
+            if best.get(which) is not known:
+                a = start // BLOCK
+                image, norm = sums[1 + a : 1 + a + SCALES[-1]].sum(0), norms[1 + a : 1 + a + SCALES[-1]].sum()
+                own = wanted[:, np.searchsorted(owner, which) : np.searchsorted(owner, which, "right")]
+                near = float((image @ own).max()) / math.sqrt(max(norm, 1e-9))
+                best[which] = (best[which][0], near, *best[which][2:])
     return [hit for _, hit in sorted(best.items())]
 
 
@@ -273,7 +380,7 @@ def _check(words, start, span, which, near, checks, best) -> None:
         return
     first = max(0, start - item.size)
     region = words[first : start + span + item.size]
-    lcs = item.common(region, PARAPHRASE * item.size)
+    lcs = item.common(region, least_of(PARAPHRASE, item.size))
     share = lcs / item.size
     answered = share >= PARAPHRASE and item.answered(region)
     if (share >= SAME or answered) and (which not in best or share > best[which][3]):

@@ -210,6 +210,17 @@ def test_paraphrases_need_their_answer(spark):
     assert set(got) == {1, 2} and got[2].answer_found and got[1].lcs_share == 1
 
 
+def test_leaks_find_verbatim_items_of_large_benchmarks(spark):
+    rng = np.random.default_rng(5)
+    texts = [decontam.words_of(r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    texts = [[w.decode("utf-8", "replace") for w in t] for t in texts if len(t) > 80]
+    cuts = [(int(t), int(rng.integers(len(texts[t]) - 38))) for t in rng.integers(200, len(texts), 2000)]
+    bench = [(i, " ".join(texts[t][a : a + 38])) for i, (t, a) in enumerate(cuts)]
+    docs = [(k, " ".join([*texts[k][:40], bench[k][1], *texts[k][40:]])) for k in range(200)]
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), items(spark, bench)).collect()
+    assert {(k, k) for k in range(200)} <= {(r.doc_id, r.item_id) for r in got if r.lcs_share == 1}
+
+
 def test_subsequence_length():
     rng = np.random.default_rng(3)
     for _ in range(20):
