@@ -32,7 +32,7 @@ RANK, OVERSAMPLE, POWER = 128, 10, 2
 COSINE = 0.3  # of a window with a passage's image in the latent space
 SAME, PARAPHRASE = 0.8, 0.55  # share of an item's words found in order
 ANSWER_WORDS = 5  # the end of an item is its answer where it has no other
-MIN_WORDS = 6
+MIN_WORDS = 6  # items of fewer words have to stand in the text as they are
 SMALL, GATE_STEPS = 64, 16  # items up to SMALL words are sought together; so many of their sizes of text at a time
 ITEMS_AT_ONCE = 50_000  # passages searched in one pass over the documents
 
@@ -75,7 +75,7 @@ def idf_of(seen: np.ndarray) -> np.ndarray:
 
 
 def passages(items: DataFrame) -> DataFrame:
-    """(item_id, part, words) of items with at least MIN_WORDS words."""
+    """(item_id, part, words) of items with words."""
     size = BLOCK * SCALES[-1]
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,7 +83,7 @@ def passages(items: DataFrame) -> DataFrame:
             rows = []
             for item, text in zip(frame["item_id"], frame["text"], strict=True):
                 w = words_of(text)
-                if len(w) >= MIN_WORDS:
+                if w:
                     parts = max(1, round(len(w) / size))
                     cuts = [len(w) * i // parts for i in range(parts + 1)]
                     rows += [(item, i, [x.decode("utf-8", "replace") for x in w[a:b]]) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
@@ -149,6 +149,7 @@ class Item:
 
     def __init__(self, words: list[bytes], answer: list[bytes]):
         self.size, self.answer = len(words), answer
+        self.same = SAME if self.size >= MIN_WORDS else 2.0  # no share is enough for a short item
         self.masks: dict[bytes, int] = {}
         for i, w in enumerate(words):
             self.masks[w] = self.masks.get(w, 0) | 1 << i
@@ -205,7 +206,7 @@ def gates_of(checks: list[tuple], place: np.ndarray, rows: int) -> list[Gate]:
                 entry[1] |= w in item.answer
             held.append(np.array(sorted(total)))
             own.append(np.array([total[x] for x in sorted(total)]))
-            least.append((least_of(SAME, item.size), least_of(PARAPHRASE, item.size), own[-1][:, 1].sum()))
+            least.append((least_of(item.same, item.size), least_of(PARAPHRASE, item.size), own[-1][:, 1].sum()))
         at, items = np.concatenate(held), np.repeat(np.arange(len(which)), [len(x) for x in held])
         order = np.argsort(at, kind="stable")
         out.append(Gate(
@@ -267,8 +268,9 @@ def leaks(docs: DataFrame, items: DataFrame, rank: int = RANK, cosine: float = C
     ``items`` has item_id, text and, if known, answer; otherwise an item's
     last words are its answer. An item is found where SAME of its words stand
     in order within a stretch of the text, or PARAPHRASE of them and the
-    answer. ``cosine`` is that of the window with the nearest passage of the item,
-    and may be low where the words led to it. Null and empty texts and items of fewer than MIN_WORDS words have
+    answer; one of fewer than MIN_WORDS words where it stands as it is.
+    ``cosine`` is that of the window with the nearest passage of the item, and
+    may be low where the words led to it. Null and empty texts and items have
     no leak; repeated documents each give their rows; empty tables give none.
     Other columns are not looked at. Passages are searched in blocks of
     ITEMS_AT_ONCE, so what a task holds is bounded.
@@ -297,9 +299,10 @@ def _search(docs: DataFrame, items: DataFrame, idf, features, space, cosine: flo
     vectors, owner, checks = [], [], []
     for r in rows:
         w = words_of(r.text)
-        if len(w) < MIN_WORDS:
+        if not w:
             continue
         answer = words_of(r.answer) or w[-ANSWER_WORDS:]
+        answer = w if len(w) < MIN_WORDS else answer
         checks.append((r.item_id, Item(w, answer)))
         parts = max(1, round(len(w) / (BLOCK * SCALES[-1])))
         cuts = [len(w) * i // parts for i in range(parts + 1)]
@@ -321,7 +324,7 @@ def _search(docs: DataFrame, items: DataFrame, idf, features, space, cosine: flo
             out = []
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 words = words_of(text)
-                if len(words) >= MIN_WORDS:
+                if words:
                     out += [(doc_id, *hit) for hit in _of_document(words, space, place, idf, wanted, owner, checks, gates, cosine)]
             found = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
             found["doc_id"] = found["doc_id"].astype("Int64")
@@ -383,7 +386,7 @@ def _check(words, start, span, which, near, checks, best) -> None:
     lcs = item.common(region, least_of(PARAPHRASE, item.size))
     share = lcs / item.size
     answered = share >= PARAPHRASE and item.answered(region)
-    if (share >= SAME or answered) and (which not in best or share > best[which][3]):
+    if (share >= item.same or answered) and (which not in best or share > best[which][3]):
         best[which] = (item_id, near, lcs, share, answered, first)
 
 

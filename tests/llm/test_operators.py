@@ -221,6 +221,24 @@ def test_leaks_find_verbatim_items_of_large_benchmarks(spark):
     assert {(k, k) for k in range(200)} <= {(r.doc_id, r.item_id) for r in got if r.lcs_share == 1}
 
 
+def test_leaks_find_short_and_edited_items(spark):
+    rng = np.random.default_rng(6)
+    rare = iter(f"r{i}" for i in range(100_000))
+    around = lambda words: " ".join([*(next(rare) for _ in range(80)), *words, *(next(rare) for _ in range(80))])
+    short = {n: [f"c{n}x{i}" for i in range(n)] for n in range(1, 13)}
+    edited = {100 + k: [f"e{k}x{i}" for i in range(40)] for k in range(30)}
+    docs = [(n, around(w)) for n, w in short.items()] + [(1000 + n, " ".join(w)) for n, w in short.items()]
+    for k, w in edited.items():
+        gone = set(rng.choice(35, 16, replace=False).tolist())
+        docs.append((k, around([next(rare) if i in gone else x for i, x in enumerate(w)])))
+    docs += [(500 + n, around(short[n][:-1] + ["other"] + short[n][-1:])) for n in range(2, 6)]
+    # The words of the items are common elsewhere, so rarer words surround them.
+    docs += [(5000, " ".join(w[::-1])) for w in [*short.values(), *edited.values()] for _ in range(3) if len(w) > 1]
+    bench = [(i, " ".join(w)) for i, w in {**short, **edited}.items()]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), items(spark, bench)).collect()}
+    assert got == {(i, i) for i in [*short, *edited]} | {(1000 + i, i) for i in short}
+
+
 def test_subsequence_length():
     rng = np.random.default_rng(3)
     for _ in range(20):
