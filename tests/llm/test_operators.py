@@ -120,6 +120,12 @@ def test_model_beats_counted_ids_on_held_out_rows(spark):
     assert sum(got[i].score for i in out) > 0.9 * sum(share[ids[i]].sum() for i in out)
 
 
+def test_frequent_ids_have_rows_of_their_own():
+    row = lm.rows_by_count(np.arange(lm.IDS)[::-1])
+    assert lm.DIM >= 16 and len(np.unique(row)) == lm.ROWS >= 2048 and (row[: lm.ROWS - 1] == np.arange(lm.ROWS - 1)).all()
+
+
+
 def test_tokenizer_pieces_give_back_the_words():
     tokenizer = lm.Tokenizer(open(lm.VOCABULARY, "rb").read())
     pieces = {int(n): p for p, n in ((lm.base64.b64decode(a), b) for a, b in map(bytes.split, open(lm.VOCABULARY, "rb")))}
