@@ -125,6 +125,24 @@ def test_frequent_ids_have_rows_of_their_own():
     assert lm.DIM >= 16 and len(np.unique(row)) == lm.ROWS >= 2048 and (row[: lm.ROWS - 1] == np.arange(lm.ROWS - 1)).all()
 
 
+def test_every_training_token_is_a_target(spark):
+    with open(lm.VOCABULARY, "rb") as f:
+        raw = f.read()
+    gathered = lm.gather(documents(spark), raw).collect()
+    counts = np.zeros(lm.IDS, np.int64)
+    for r in gathered:
+        if r.kind == lm.ID:
+            counts[r.key] += r.n
+    m = lm._matrix([r.ids for r in gathered if r.kind == lm.WINDOWS])
+    target = m[2 * lm.HALF :]
+    assert (np.bincount(target[target >= 0], minlength=lm.IDS) == counts).all()
+
+
+def test_model_is_near_counted_words_on_held_out_rows(spark):
+    out = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(4)).where("held_out").collect()
+    assert sum(r.score for r in out) > 1.05 * sum(r.base_score for r in out)
+
+
 
 def test_tokenizer_pieces_give_back_the_words():
     tokenizer = lm.Tokenizer(open(lm.VOCABULARY, "rb").read())
