@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newspulse.functions import sentiment, text
-from newspulse.operators import evaluate, scoring
+from newspulse.operators import evaluate, lexicon, scoring
 from newspulse.plans import fixtures as fx
-from newspulse.plans.q_text import STRIP
+from newspulse.plans.q_text import DICTIONARY_SQL, STRIP, word_starts
 from newspulse.plans.registry import query
 
 
@@ -35,6 +35,41 @@ def lexicon_score(spark, sf):
     return fx.news(spark, sf).select("doc_id", _score().alias("score"))
 
 
+# A lexicon of some thousand word starts, positive and negative by their length.
+LEXICON_SQL = f"""{DICTIONARY_SQL}, lexicon AS (SELECT word, 2 - length(word) % 4 AS weight FROM pieces)"""
+
+
+def _lexicon(spark, sf):
+    return word_starts(spark, sf).select("word", (2 - F.char_length("word") % 4).alias("weight"))
+
+
+TABLE_SCORE_SQL = f"""WITH {fx.NEWS_SQL}, {LEXICON_SQL}
+ SELECT doc_id, CAST(sum(weight * (2 * ({_hits_sql('title', 'W')}) + ({_hits_sql('content', 'W')}))) AS BIGINT) AS score
+ FROM news, lexicon GROUP BY doc_id""".replace("'W'", "word").replace("// 1", "// length(word)")
+
+
+@query("lexicon_table_score", TABLE_SCORE_SQL)
+def lexicon_table_score(spark, sf):
+    return lexicon.table_score(fx.news(spark, sf), _lexicon(spark, sf), {"title": 2, "content": 1}).select("doc_id", "score")
+
+
+@query("lexicon_table_score_parts", TABLE_SCORE_SQL)
+def lexicon_table_score_parts(spark, sf):
+    """The same with a lexicon that is dealt into parts."""
+    docs, words = fx.news(spark, sf), _lexicon(spark, sf)
+    return lexicon.table_score(docs, words, {"title": 2, "content": 1}, max_bytes=10_000).select("doc_id", "score")
+
+
+@query(
+    "lexicon_word_hits",
+    f"""WITH {fx.NEWS_SQL}, {LEXICON_SQL} SELECT word, count(*) AS documents, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT word, {_hits_sql('content', 'W')} AS n FROM news, lexicon) WHERE n > 0 GROUP BY 1""".replace("'W'", "word").replace("// 1", "// length(word)"),
+)
+def lexicon_word_hits(spark, sf):
+    hits = lexicon.word_hits(fx.news(spark, sf), _lexicon(spark, sf), "doc_id", "content")
+    return hits.groupBy("word").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("n"))
+
+
 @query("refine_sentiment", f"WITH {fx.NEWS_SQL} SELECT doc_id, {REFINE_SQL} AS final_sentiment, sentiment AS passed FROM news")
 def refine_sentiment(spark, sf):
     scored = fx.news(spark, sf).withColumn("score", _score())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newspulse.functions import fixed, text, urls
-from newspulse.operators import keywords as kw
+from newspulse.operators import keywords as kw, segment as seg
 from newspulse.plans import fixtures as fx
 from newspulse.plans.q_daily import COLLAPSE, LEAD, WS_SQL
 from newspulse.plans.registry import query
@@ -130,6 +130,77 @@ def tagged_tokens(spark, sf):
     return kw.tagged_tokens(placed, dictionary).select("doc_id", "pos", "word")
 
 
+# A dictionary of the starts of all benchmark words: longer pieces cost less a letter, unknown letters most.
+DICTIONARY_SQL = r"""source_words AS (
+  SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}{2,}')) AS w FROM benchmark),
+ pieces AS (SELECT DISTINCT substr(w, 1, k) AS word FROM (SELECT w, unnest(range(2, length(w) + 1)) AS k FROM source_words)),
+ dictionary AS (
+  SELECT word, 12 + length(word) % 4 AS cost,
+         CASE length(word) % 3 WHEN 0 THEN 'NNG' WHEN 1 THEN 'VV-x' ELSE 'NNP' END AS tag FROM pieces)"""
+SEGMENT_SQL = rf"""WITH RECURSIVE {DICTIONARY_SQL},
+ runs AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{{L}}{{2,}}')) AS run FROM documents),
+ starts AS (SELECT run, unnest(range(0, length(run))) AS s FROM runs),
+ ways AS MATERIALIZED (
+  SELECT run, s, s + length(word) AS e, cost, tag FROM (
+    SELECT run, s, unnest(range(2, 1 + least(length(run) - s, (SELECT max(length(word)) FROM dictionary)))) AS n FROM starts)
+    JOIN dictionary ON word = substr(run, s + 1, n)
+  UNION ALL SELECT run, s, s + 1, {seg.UNKNOWN_COST}, '{seg.UNKNOWN_TAG}' FROM starts),
+ best AS (
+  SELECT run, 0 AS i, [0] AS costs, [0] AS steps, [0] AS froms, [''] AS tags FROM runs
+  UNION ALL
+  SELECT run, i + 1, list_append(costs, m.c), list_append(steps, m.n), list_append(froms, m.s), list_append(tags, m.tag) FROM (
+    SELECT run, i, any_value(costs) AS costs, any_value(steps) AS steps, any_value(froms) AS froms, any_value(tags) AS tags,
+           min({{'c': CAST(costs[s + 1] + cost AS INTEGER), 'n': steps[s + 1] + 1, 's': CAST(s AS INTEGER), 'tag': tag}}) AS m
+    FROM best JOIN ways USING (run) WHERE e = i + 1 GROUP BY run, i)),
+ back AS (
+  SELECT run, length(run) AS e, froms, tags FROM best WHERE i = length(run)
+  UNION ALL SELECT run, froms[e + 1], froms, tags FROM back WHERE e > 0),
+ cuts AS (
+  SELECT run, froms[e + 1] AS s, substr(run, froms[e + 1] + 1, e - froms[e + 1]) AS word, tags[e + 1] AS tag FROM back WHERE e > 0),
+ known AS (SELECT * FROM cuts WHERE tag <> '{seg.UNKNOWN_TAG}'),
+ per_run AS (
+  SELECT run, count(*) AS n, list(word ORDER BY s) FILTER (substr(tag, 1, 3) IN ('NNG', 'NNP') AND length(word) >= 3) AS kept
+  FROM known GROUP BY run),
+ placed AS (
+  SELECT doc_id, unnest(w) AS run, generate_subscripts(w, 1) AS k FROM (
+    SELECT doc_id, regexp_extract_all(lower(text), '\p{{L}}{{2,}}') AS w FROM documents)),
+ found AS (
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_known, array_to_string(flatten(list(coalesce(kept, []) ORDER BY k)), ' ') AS tokens
+  FROM placed JOIN per_run USING (run) GROUP BY doc_id)
+ SELECT doc_id, coalesce(n_known, 0) AS n_known, coalesce(tokens, '') AS tokens FROM documents LEFT JOIN found USING (doc_id)"""
+
+
+def word_starts(spark, sf):
+    """(word): the starts of all words of the benchmark."""
+    found = fx.table(spark, sf, "benchmark").select(F.explode(text.words(F.lower("text"), fx.WORD)).alias("w")).distinct()
+    starts = F.transform(F.sequence(F.lit(2), F.char_length("w")), lambda k: F.substring("w", F.lit(1), k))
+    return found.select(F.explode(starts).alias("word")).distinct()
+
+
+def _segmented(spark, sf, **limits):
+    size = F.char_length("word")
+    tag = F.when(size % 3 == 0, "NNG").when(size % 3 == 1, "VV-x").otherwise("NNP")
+    dictionary = word_starts(spark, sf).select("word", tag.alias("tag"), (12 + size % 4).alias("cost"))
+    return seg.segment(fx.news(spark, sf).select("doc_id", "content"), dictionary, F.lower("content"), fx.WORD, **limits)
+
+
+def _segments_shown(docs):
+    known = F.filter("pieces", lambda p: p["tag"] != seg.UNKNOWN_TAG)
+    kept = seg.kept_words("pieces", ["NNG", "NNP"], (), 3)
+    return docs.select("doc_id", F.size(known).alias("n_known"), F.array_join(kept, " ").alias("tokens"))
+
+
+@query("segmented_tokens", SEGMENT_SQL)
+def segmented_tokens(spark, sf):
+    return _segments_shown(_segmented(spark, sf))
+
+
+@query("segmented_tokens_joined", SEGMENT_SQL)
+def segmented_tokens_joined(spark, sf):
+    """The same with a dictionary that is too large to be sent to the tasks."""
+    return _segments_shown(_segmented(spark, sf, max_bytes=0))
+
+
 @query(
     "preview",
     f"""WITH {fx.NEWS_SQL} SELECT doc_id, sentiment, sentiment_num FROM news ORDER BY doc_id LIMIT 10""",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from newspulse.sources import schemas
+from newspulse.sources import quoted_csv, schemas
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") -> DataFrame:
@@ -15,9 +15,12 @@ def read_csv_table(spark: SparkSession, path: str, schema: str, encoding: str =
 
     Columns in another order are put in that of ``schema``, additional ones
     are left out, missing ones are null. A BOM is dropped; a value that does
-    not fit its type is null.
+    not fit its type is null. A UTF-8 file is read by many tasks; one in
+    another encoding, whose line ends can't be told from its bytes, by one.
     """
     raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding=encoding)
+    if encoding.upper().replace("-", "") == "UTF8":
+        raw = quoted_csv.read(spark, path, raw.columns)
     names = {c.strip("\ufeff ").lower(): c for c in raw.columns}
     return raw.select(*[
         (F.col(f"`{names[f.name.lower()]}`") if f.name.lower() in names else F.lit(None)).try_cast(f.dataType).alias(f.name)
@@ -26,7 +29,7 @@ def read_csv_table(spark: SparkSession, path: str, schema: str, encoding: str =
 
 
 def read_articles(spark: SparkSession, path: str, fmt: str = "parquet", schema: str = schemas.ARTICLE_RAW) -> DataFrame:
-    """Article table. CSV is for exchange: a multi-line file is one task."""
+    """Article table; CSV, which needs three passes, is for exchange."""
     if fmt == "csv":
         return read_csv_table(spark, path, schema)
     return spark.read.format(fmt).schema(schema).load(path)
