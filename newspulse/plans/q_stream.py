@@ -66,13 +66,13 @@ def stream_daily(spark, sf):
     "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS urls FROM events GROUP BY 1",
 )
 def stream_dedup(spark, sf):
-    """All deliveries in one run: repeats meet inside a batch or the store."""
+    """All deliveries in one run, a file a batch: repeats meet inside a batch or the state."""
     path = scratch_path(spark, "dedup")
     rows = _events(spark, sf)
     for parts in DELIVERIES:
         rows.where((F.col("event_id") % 3).isin(list(parts))).write.mode("append").parquet(f"{path}/in")
     stream = jobs.article_stream(spark, f"{path}/in", rows.schema, files_per_batch=1)
-    jobs.ingest_new(stream, f"{path}/store", f"{path}/checkpoint", [F.col("event_id")], once=True).awaitTermination()
+    jobs.ingest_new(stream, f"{path}/store", f"{path}/checkpoint", once=True).awaitTermination()
     saved = store.read_store(spark, f"{path}/store", rows.schema)
     return saved.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("url").alias("urls"))
 
@@ -85,7 +85,7 @@ def stream_resume(spark, sf):
 
     def run():
         stream = jobs.article_stream(spark, f"{path}/in", rows.schema)
-        return jobs.ingest_new(stream, f"{path}/store", f"{path}/checkpoint", [F.col("event_id")], once=True)
+        return jobs.ingest_new(stream, f"{path}/store", f"{path}/checkpoint", once=True)
 
     _deliver(rows, "event_id", f"{path}/in", run)
     saved = store.read_store(spark, f"{path}/store", rows.schema)
@@ -97,7 +97,7 @@ def _refreshed(spark, sf, lookback_days, as_of=None):
     rows = fx.news(spark, sf).select("doc_id", "title", "content", "date", "press", "url")
     settings = jobs.RefreshSettings(
         fx.POSITIVE, fx.NEGATIVE, lexicon_correction=True, threshold=fx.NEWS_THRESHOLD,
-        lookback_days=lookback_days, as_of=as_of, order=("doc_id",),
+        lookback_days=lookback_days, as_of=as_of,
     )
 
     def run():

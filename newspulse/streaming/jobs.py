@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -18,12 +18,13 @@ from newspulse.functions.dates import parse_timestamp
 from newspulse.operators import daily as ops
 from newspulse.operators.ranking import top_k_per_group
 from newspulse.operators.scoring import refine_articles, score_with_lexicon
-from newspulse.operators.state import new_articles
 from newspulse.streaming import store
 
 log = logging.getLogger(__name__)
 POLL_INTERVAL = "300 seconds"
 DAY_STATE = "date_only date, total long, article_count long"
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HEADLINES = "date_only date, title string, final_sentiment string, confidence double, url string"
 
 
@@ -78,23 +79,29 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, once: bool = False) ->
     )
 
 
-def ingest_new(
-    stream: DataFrame, root: str, checkpoint: str, order: Sequence[Column], key: str = "url", once: bool = False
-) -> StreamingQuery:
-    """Append only rows whose key is not stored, one per key.
+def first_seen(stream: DataFrame, key: str = "url") -> DataFrame:
+    """Rows whose key no earlier batch had, one per key; a missing key is a key.
 
-    The keys have a table of their own beside the store, ``root`` with
-    ``-keys`` added, of which a batch reads the buckets of its own keys.
+    The keys are state of the stream, without expiry, in RocksDB on the
+    executors and in the checkpoint: a batch looks up its own keys and saves
+    what it adds, however many there are. Of rows of one batch with the same
+    key the one that Spark meets first stays.
     """
-    spark, schema = stream.sparkSession, stream.schema
-    store.guard_store(spark, root, checkpoint)
+    conf = stream.sparkSession.conf
+    if conf.get(STATE_PROVIDER, None) != ROCKSDB:
+        conf.set(STATE_PROVIDER, ROCKSDB)
+        conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    return stream.dropDuplicates([key])
 
-    def work(batch: DataFrame, batch_id: int) -> None:
-        known = store.known_keys(batch, f"{root}-keys", batch_id, key)
-        store.write_batch(new_articles(batch, known, order, key), root, batch_id)
-        store.write_keys(store.read_batch(batch.sparkSession, root, batch_id, schema), f"{root}-keys", batch_id, key)
 
-    return start(stream, work, checkpoint, once)
+def ingest_new(stream: DataFrame, root: str, checkpoint: str, key: str = "url", once: bool = False) -> StreamingQuery:
+    """Append only rows whose key is not stored, one per key.
+
+    A batch that is run again sees the state of the batch before and
+    overwrites its own folder.
+    """
+    store.guard_store(stream.sparkSession, root, checkpoint)
+    return start(first_seen(stream, key), lambda batch, i: store.write_batch(batch, root, i), checkpoint, once)
 
 
 def dedup_within_watermark(stream: DataFrame, ts: str, key: str, delay: str = "30 days") -> DataFrame:
@@ -140,7 +147,6 @@ class RefreshSettings:
     lookback_days: int | None = fixed.LOOKBACK_DAYS
     as_of: str | None = None
     headlines: int = 3
-    order: Sequence[str] = ("url",)
 
 
 def score_batch(articles: DataFrame, settings: RefreshSettings) -> DataFrame:
@@ -190,7 +196,6 @@ def stored_schema(spark: SparkSession, incoming: StructType | str, settings: Ref
 def rewrite_refresh_store(spark: SparkSession, root: str, new_root: str, schema: StructType, last_batch: int) -> None:
     """Move a stopped refresh to a new root with one folder per table."""
     store.rewrite_store(spark, f"{root}/articles", f"{new_root}/articles", schema, last_batch, "date_only")
-    store.rewrite_keys(spark, f"{root}/keys", f"{new_root}/keys", last_batch)
     for name, fields in (("day_state", DAY_STATE), ("headline_state", HEADLINES)):
         store.write_batch(store.read_batch(spark, f"{root}/{name}", last_batch, fields), f"{new_root}/{name}", last_batch)
 
@@ -198,10 +203,9 @@ def rewrite_refresh_store(spark: SparkSession, root: str, new_root: str, schema:
 def refresh(stream: DataFrame, root: str, checkpoint: str, settings: RefreshSettings, once: bool = False) -> StreamingQuery:
     """Store new articles and bring daily, events and event_news up to date.
 
-    A batch adds its day sums and best headlines to the state of the batch
-    before, and looks its urls up in the buckets of a key table that is
-    compacted as it grows, so history is not read again. ``published``
-    gives the result tables.
+    Urls seen before are dropped by the stream's own state, and a batch adds
+    its day sums and best headlines to those of the batch before, so history
+    is not read again. ``published`` gives the result tables.
     """
     spark = stream.sparkSession
     articles, day_state, headline_state = f"{root}/articles", f"{root}/day_state", f"{root}/headline_state"
@@ -210,12 +214,8 @@ def refresh(stream: DataFrame, root: str, checkpoint: str, settings: RefreshSett
 
     def work(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        order = [F.col(c) for c in settings.order]
-        known = store.known_keys(batch, f"{root}/keys", batch_id, "url")
-        fresh = score_batch(new_articles(batch, known, order), settings)
-        store.write_batch(fresh, articles, batch_id, partition_by="date_only")
+        store.write_batch(score_batch(batch, settings), articles, batch_id, partition_by="date_only")
         added = store.read_batch(session, articles, batch_id, schema)
-        store.write_keys(added, f"{root}/keys", batch_id, "url")
 
         days = store.read_batch(session, day_state, batch_id - 1, DAY_STATE).unionByName(_sums(added))
         days = days.groupBy("date_only").agg(*[F.sum(c).alias(c) for c in ("total", "article_count")])
@@ -228,7 +228,7 @@ def refresh(stream: DataFrame, root: str, checkpoint: str, settings: RefreshSett
         store.write_batch(_best_headlines(best, settings.headlines), headline_state, batch_id)
         publish(session, root, batch_id, schema, settings)
 
-    return start(stream, work, checkpoint, once)
+    return start(first_seen(stream), work, checkpoint, once)
 
 
 def publish(spark: SparkSession, root: str, batch_id: int, schema: StructType, settings: RefreshSettings) -> None:

@@ -152,24 +152,60 @@ def test_refresh_goes_on_after_a_rewrite(spark):
         assert out(spark, new, name) == out(spark, whole, name) != []
 
 
-def test_keys_are_read_from_their_buckets_and_compacted(spark, monkeypatch):
-    monkeypatch.setattr(store, "COMPACT_EVERY", 3)
-    path = scratch_path(spark, "keys")
-    batches = [spark.createDataFrame([(f"u{i}",), (f"v{i}",), (None if i == 4 else f"w{i}",)], "url string") for i in range(8)]
-    for i, b in enumerate(batches):
-        store.write_keys(b, path, i, "url")
-    assert store.key_paths(path, 8) == [f"{path}/compact/batch=5", f"{path}/batch=6", f"{path}/batch=7"]
-    assert store.key_paths(path, 3) == [f"{path}/compact/batch=2"] and store.key_paths(path, 0) == []
-    all_keys = {r.k for r in store.read_keys(spark, path, 8).collect()}
-    assert all_keys == {r.url for b in batches for r in b.collect()}
-    store.write_keys(batches[5], path, 5, "url")  # a replay of the batch that compacts
-    assert store.read_keys(spark, path, 8).count() == 24
-    asked = spark.createDataFrame([("u1",), ("w7",), (None,), ("new",)], "url string")
-    assert {r.url for r in store.known_keys(asked, path, 8, "url").collect()} == {"u1", "w7", None}
-    assert {r.url for r in store.known_keys(asked, path, 7, "url").collect()} == {"u1", None}
-    one = asked.where("url = 'u1'")
-    plan = store.known_keys(one, path, 8, "url")._jdf.queryExecution().executedPlan().toString()
-    bucket = one.select(store.key_bucket("url")).first()[0]
-    assert "PartitionFilters: [isnotnull(bucket" in plan and f"= {bucket})" in plan or f"IN ({bucket})" in plan
-    store.rewrite_keys(spark, path, f"{path}-new", 7)
-    assert {r.k for r in store.read_keys(spark, f"{path}-new", 8).collect()} == all_keys
+def deliver(spark, path, rows):
+    spark.createDataFrame(rows, "url string, n long").coalesce(1).write.mode("append").parquet(f"{path}/in")
+
+
+def new_rows(spark, path):
+    return jobs.article_stream(spark, f"{path}/in", "url string, n long", files_per_batch=1)
+
+
+def test_known_keys_are_state_of_the_stream(spark):
+    path = scratch_path(spark, "state")
+    for rows in ([("a", 1), ("b", 2), (None, 3), ("", 4)], [("b", 5), ("c", 6), (None, 7), ("", 8)], [("a", 9)], [("d", 10), ("d", 10)]):
+        deliver(spark, path, rows)
+        query = jobs.ingest_new(new_rows(spark, path), f"{path}/store", f"{path}/checkpoint", once=True)
+        query.awaitTermination()
+        plan = query._jsq.explainInternal(False)
+        assert "StreamingDeduplicate" in plan
+    stored = store.read_store(spark, f"{path}/store", "url string, n long").collect()
+    assert sorted(stored, key=lambda r: r.n) == [("a", 1), ("b", 2), (None, 3), ("", 4), ("c", 6), ("d", 10)]
+    state = spark.read.format("statestore").load(f"{path}/checkpoint")
+    assert sorted(r[0] or "" for r in state.select("key.url").collect()) == ["", "", "a", "b", "c", "d"]
+
+
+def test_a_batch_that_fails_half_way_is_run_again(spark):
+    path = scratch_path(spark, "again")
+    deliver(spark, path, [("a", 1), ("b", 2)])
+    jobs.ingest_new(new_rows(spark, path), f"{path}/store", f"{path}/checkpoint", once=True).awaitTermination()
+    deliver(spark, path, [("b", 3), ("c", 4)])
+    seen = []
+
+    def work(batch, batch_id):
+        store.write_batch(batch, f"{path}/store", batch_id)
+        seen.append(batch_id)
+        if len(seen) == 1:
+            raise RuntimeError("after the write, before the commit")
+
+    def start():
+        return jobs.start(jobs.first_seen(new_rows(spark, path)), work, f"{path}/checkpoint", once=True)
+
+    assert jobs.supervise(start, pause=0.0) == 1 and seen == [1, 1]
+    rows = store.read_store(spark, f"{path}/store", "url string, n long").collect()
+    assert sorted(rows) == [("a", 1), ("b", 2), ("c", 4)]
+
+
+def test_a_batch_saves_only_what_it_adds(spark):
+    """Bytes that a batch leaves in the checkpoint don't grow with the keys already known."""
+    path = scratch_path(spark, "growth")
+    import pathlib
+
+    root = pathlib.Path(f"{path}/checkpoint/state".removeprefix("file:"))
+    sizes, before = [], 0
+    for rows in ([(f"https://example.com/{i}", i) for i in range(20_000)], [("x", 1)], [("y", 2)]):
+        deliver(spark, path, rows)
+        jobs.ingest_new(new_rows(spark, path), f"{path}/store", f"{path}/checkpoint", once=True).awaitTermination()
+        now = sum(f.stat().st_size for f in root.rglob("*") if f.is_file())
+        sizes.append(now - before)
+        before = now
+    assert max(sizes[1:]) < 0.2 * sizes[0], sizes
