@@ -24,7 +24,12 @@ _TAG = r"<[^>]+>"
 
 def visible_html(html: Column | str) -> Column:
     """The page without comments, scripts and styles."""
-    return F.regexp_replace(text_or_empty(html), _HIDDEN, "")
+    return without_hidden(html, "")
+
+
+def without_hidden(html: Column | str, instead: str) -> Column:
+    """The page with ``instead`` in place of comments, scripts and styles."""
+    return F.regexp_replace(text_or_empty(html), _HIDDEN, instead)
 
 
 def unescape(c: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from newspulse.functions import fixed, urls
@@ -48,6 +48,7 @@ def page_stop_rule(
     url: str = "url",
     plan: DataFrame | None = None,
     stored: DataFrame | None = None,
+    handled: list[int] | None = None,
 ) -> DataFrame:
     """Where the listing of each month stops, and why; months are visited in order.
 
@@ -61,8 +62,10 @@ def page_stop_rule(
 
     The empty pages don't depend on urls. Whether a page adds any depends on
     where earlier months stopped, so the second stop is found in rounds: each
-    settles at least the first month whose stop was not final. A round
-    handles one row per url and month, without the listing.
+    settles at least the first month whose stop was not final. After the
+    first round only urls on pages that a moved stop has added or taken away
+    are looked at, and the counts of added urls change by their difference.
+    ``handled`` gets the number of (url, month) rows of every round.
     """
     if plan is None:
         numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pages - 1).cast("long")))
@@ -83,19 +86,34 @@ def page_stop_rule(
     firsts = settle(firsts, "frontier-urls")
     stops = settle(grid.groupBy("month").agg(F.max("page").alias("stop")), "frontier-stops")
     earlier = Window.partitionBy("u").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
-    while True:
-        taken = F.coalesce(F.sum((F.col("page") <= F.col("stop")).cast("int")).over(earlier), F.lit(0))
-        added = firsts.join(stops, "month").withColumn("_taken", taken).where("_taken = 0").groupBy("month", "page").agg(
-            F.count(F.lit(1)).alias("added"))
-        full = grid.join(added, ["month", "page"], "left").na.fill(0, ["added"])
+
+    def is_new(stop: str) -> Column:
+        return (F.coalesce(F.max((F.col("page") <= F.col(stop)).cast("int")).over(earlier), F.lit(0)) == 0).cast("long")
+
+    def with_stop(counts: DataFrame, rows: DataFrame, change: Column, name: str) -> DataFrame:
+        """The grid with changed counts and where months then stop; notes how many rows that took."""
+        seen = Observation()
+        watched = rows.observe(seen, F.count(F.lit(1)).alias("n"))
+        delta = watched.withColumn("d", change).groupBy("month", "page").agg(F.sum("d").alias("d"))
+        full = counts.join(delta, ["month", "page"], "left").withColumn("added", F.col("added") + F.coalesce("d", F.lit(0))).drop("d")
         stale = F.min(F.when((F.col("items") > 0) & (F.col("added") == 0) & (F.col("page") > last_free_page), F.col("page")))
-        found = settle(full.withColumn("stale_stop", stale.over(month)), "frontier-round")
+        out = settle(full.withColumn("stale_stop", stale.over(month)), name)
+        if handled is not None:
+            handled.append(seen.get["n"])
+        return out
+
+    found = with_stop(grid.withColumn("added", F.lit(0).cast("long")), firsts.join(stops, "month"), is_new("stop"), "frontier-round")
+    while True:
         last = found.groupBy("month").agg(F.coalesce(F.min("stale_stop"), F.max("page")).alias("stop"))
-        new_stops = settle(last, "frontier-stops")
-        moved = new_stops.join(stops.withColumnRenamed("stop", "old"), "month").where("stop <> old")
-        stops = new_stops
+        stops = settle(last.join(stops.withColumnRenamed("stop", "old"), "month"), "frontier-stops").select("month", "old", "stop")
+        moved = stops.where("stop <> old")
         if moved.isEmpty():
             break
+        between = (F.col("page") > F.least("old", "stop")) & (F.col("page") <= F.greatest("old", "stop"))
+        touched = firsts.join(moved, "month").where(between).select("u").distinct()
+        rows = firsts.join(touched, "u", "left_semi").join(stops, "month")
+        found = with_stop(found.drop("stale_stop"), rows, is_new("stop") - is_new("old"), "frontier-round")
+        stops = stops.drop("old")
     visited = found.where(F.col("stale_stop").isNull() | (F.col("page") <= F.col("stale_stop")))
     why = F.when(F.max("stale_stop").isNotNull(), "nothing_new").when(F.max("empty_stop").isNotNull(), "empty_pages")
     return visited.groupBy("month").agg(

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from html.parser import HTMLParser
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from newspulse.functions import fixed, html, text, urls
@@ -70,6 +69,35 @@ def rejected(extracted: DataFrame) -> DataFrame:
     return extracted.where(F.col("reason").isNotNull()).select("url", "reason")
 
 
+@dataclass
+class Routed:
+    """Both outputs of one extraction, and how many rows went where."""
+
+    accepted: DataFrame
+    rejected: DataFrame
+    counts: dict[str, int]
+
+
+def route(extracted: DataFrame, path: str) -> Routed:
+    """Write accepted and rejected articles to two folders of ``path`` in one pass.
+
+    The rows of each reason are counted while they are written, so neither
+    output nor its size needs the pages again.
+    """
+    no_body, short = fixed.REASON_NO_BODY, fixed.REASON_SHORT_BODY
+    reason = F.col("reason")
+    seen = Observation()
+    counted = extracted.observe(
+        seen, F.count_if(reason.isNull()).alias("accepted"), F.count_if(reason == no_body).alias(no_body),
+        F.count_if(reason.startswith(short)).alias(short))
+    verdict = F.when(reason.isNull(), "accepted").otherwise("rejected")
+    counted.withColumn("verdict", verdict).write.mode("overwrite").partitionBy("verdict").parquet(path)
+    spark = extracted.sparkSession
+    stored = spark.read.schema(extracted.withColumn("verdict", F.lit("")).schema).parquet(path)
+    of = lambda v: stored.where(F.col("verdict") == v).drop("verdict")
+    return Routed(accepted_articles(of("accepted")), rejected(of("rejected")), dict(seen.get))
+
+
 def count_reasons(log: DataFrame) -> DataFrame:
     """Rejections per kind of reason, lengths in brackets left out."""
     kind = F.regexp_replace("reason", r"\(\d+자\)$", "")
@@ -127,43 +155,8 @@ def matching_links(pages: DataFrame, contains: Sequence[str]) -> DataFrame:
     return links.where(hit)
 
 
-class _Containers(HTMLParser):
-    """Collects (tag, class, text, has_link) of chosen elements of one page."""
-
-    def __init__(self, tags: set[str], need_class: bool, prefix: int):
-        super().__init__(convert_charrefs=True)
-        self.tags, self.need_class, self.prefix = tags, need_class, prefix
-        self.open, self.found, self.hidden = [], [], 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.hidden += 1
-        if tag == "a":
-            for item in self.open:
-                item["link"] = True
-        cls = dict(attrs).get("class")
-        wanted = tag in self.tags and (cls is not None or not self.need_class)
-        if tag in self.tags and tag not in VOID_TAGS:
-            item = {"tag": tag, "class": cls or "", "text": [], "size": 0, "link": False}
-            self.open.append(item)
-            if wanted:
-                self.found.append(item)
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.hidden = max(0, self.hidden - 1)
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i]["tag"] == tag:
-                del self.open[i:]
-                break
-
-    def handle_data(self, data):
-        piece = data.strip()
-        if piece and not self.hidden:
-            for item in self.open:
-                if item["size"] < self.prefix:
-                    item["text"].append(piece)
-                    item["size"] += len(piece)
+#: A tag, with any text inside quotes, or else a text piece.
+_TOKEN = r"""<[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>|<[^>]*+>|[^<]++"""
 
 
 def link_containers(
@@ -171,24 +164,65 @@ def link_containers(
 ) -> DataFrame:
     """Elements that hold text and at least one link: tag, class, text start.
 
-    Nesting decides which links belong to an element, so the pages go through
-    the standard HTML parser, one page at a time.
+    A page becomes an array of tags and text pieces; a stack that is kept over
+    its opening and closing tags gives every element's extent. A closing tag
+    also closes what was opened inside its element and not closed; one without
+    an opening tag counts for nothing; what is never closed goes to the end.
     """
-    wanted = set(tags)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for page_id, page in zip(frame["page_id"], frame["html"].fillna("")):
-                parser = _Containers(wanted, need_class, prefix)
-                parser.feed(page)
-                parser.close()
-                kept = [c for c in parser.found if c["link"] and c["text"]]
-                rows += [
-                    (page_id, pos, c["tag"], c["class"], "".join(c["text"])[:prefix]) for pos, c in enumerate(kept)
-                ]
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "tag", "class", "text"])
-
-    return pages.select("page_id", "html").mapInPandas(
-        run, "page_id long, pos long, tag string, class string, text string"
+    wanted = [t for t in tags if t not in VOID_TAGS]
+    cut = F.regexp_extract_all(html.without_hidden("html", "<!>"), F.lit(_TOKEN), F.lit(0))
+    placed = computed(pages, "page_id", found=text.let(
+        F.transform(cut, _token), lambda tokens: text.let(
+            _extents(tokens, wanted), lambda spans: F.transform(spans, lambda s: _element(tokens, s, prefix)))))
+    kept = F.filter("found", lambda e: e["link"] & (e["text"] != "") & (F.lit(not need_class) | e["class"].isNotNull()))
+    found = placed.select("page_id", F.posexplode_outer(kept).alias("pos", "e")).where(F.col("e").isNotNull())
+    return found.select("page_id", F.col("pos").cast("long").alias("pos"), "e.tag", F.coalesce("e.class", F.lit("")).alias("class"), "e.text")
+
+
+def _token(t: Column) -> Column:
+    tag = t.startswith("<")
+    return F.struct(
+        F.when(tag, F.lower(F.regexp_extract(t, r"^</?([A-Za-z][A-Za-z0-9]*)", 1))).otherwise("").alias("name"),
+        t.startswith("</").alias("closing"),
+        F.when(tag & ~t.endswith("/>"), t).alias("tag"),
+        F.when(tag, "").otherwise(text.strip(html.unescape(t))).alias("text"),
+    )
+
+
+def _extents(tokens: Column, wanted: Sequence[str]) -> Column:
+    """(i, j) of the elements with a wanted tag, by i: tokens between i and j, counted from 0, are inside."""
+    marks = F.filter(
+        F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t["name"].alias("name"), t["closing"].alias("closing"), t["tag"].isNotNull().alias("opens"))),
+        lambda m: m["name"].isin(list(wanted)) & (m["closing"] | m["opens"]))
+    start = F.struct(
+        F.array().cast("array<struct<i:int,name:string>>").alias("open"), F.array().cast("array<struct<i:int,j:int>>").alias("spans"))
+
+    def ended(open_: Column, j: Column) -> Column:
+        return F.transform(open_, lambda e: F.struct(e["i"].alias("i"), j.cast("int").alias("j")))
+
+    def step(acc: Column, m: Column) -> Column:
+        # The place of the last open element of this name; 0 if there is none.
+        at = F.array_max(F.transform(acc["open"], lambda e, k: F.when(e["name"] == m["name"], k + 1).otherwise(0)))
+        opened = F.struct(
+            F.concat(acc["open"], F.array(F.struct(m["i"].alias("i"), m["name"].alias("name")))).alias("open"), acc["spans"].alias("spans"))
+        closed = text.let(F.coalesce(at, F.lit(0)), lambda k: F.when(k == 0, acc).otherwise(F.struct(
+            F.slice(acc["open"], 1, F.greatest(k - 1, F.lit(0))).alias("open"),
+            F.concat(acc["spans"], ended(F.slice(acc["open"], F.greatest(k, F.lit(1)), F.size(acc["open"])), m["i"])).alias("spans"))))
+        return F.when(m["closing"], closed).otherwise(opened)
+
+    return text.let(
+        F.aggregate(marks, start, step), lambda acc: F.array_sort(F.concat(acc["spans"], ended(acc["open"], F.size(tokens)))))
+
+
+def _element(tokens: Column, span: Column, prefix: int) -> Column:
+    tag = F.get(tokens, span["i"])
+    inner = F.slice(tokens, span["i"] + 2, span["j"] - span["i"] - 1)
+    pieces = F.filter(F.transform(inner, lambda t: t["text"]), lambda x: x != "")
+    name = r"""(?is)\sclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    has_class = tag["tag"].rlike(r"(?is)\sclass(?=[\s=>/])")
+    return F.struct(
+        tag["name"].alias("tag"),
+        F.when(has_class, F.concat(*[F.regexp_extract(tag["tag"], name, k) for k in (1, 2, 3)])).alias("class"),
+        F.exists(inner, lambda t: (t["name"] == "a") & ~t["closing"]).alias("link"),
+        F.substring(F.array_join(pieces, ""), 1, prefix).alias("text"),
     )

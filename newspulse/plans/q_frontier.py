@@ -49,9 +49,9 @@ def frontier_dedup(spark, sf):
     return ops.first_seen(fx.listing(spark, sf), ["month", "page", "pos"], contains="news.example/a/")
 
 
-# The months one after the other, with the urls seen so far; every fifth month has no hit.
-STOP_SQL = f"""RECURSIVE {fx.LISTING_SQL}, hits AS (SELECT month, page, rtrim(split_part(url, '?', 1), '/') AS u FROM listing WHERE month % 5 <> 4),
- grid AS (SELECT m.month, p.page, count(u) AS items FROM (SELECT DISTINCT month FROM listing) m CROSS JOIN range(40) p(page)
+# The months one after the other, with the urls seen so far; a last month of the plan has no hit.
+STOP_SQL = f"""RECURSIVE {fx.LISTING_SQL}, hits AS (SELECT month, page, rtrim(split_part(url, '?', 1), '/') AS u FROM listing),
+ grid AS (SELECT m.month, p.page, count(u) AS items FROM (SELECT DISTINCT month FROM listing UNION ALL SELECT max(month) + 1 FROM listing) m CROSS JOIN range(40) p(page)
    LEFT JOIN hits h ON h.month = m.month AND h.page = p.page GROUP BY 1, 2),
  streaks AS (SELECT *, page - coalesce(max(CASE WHEN items > 0 THEN page END) OVER (PARTITION BY month ORDER BY page), -1) AS streak FROM grid),
  stops AS (SELECT month, min(CASE WHEN streak >= 3 THEN page END) AS empty_stop, coalesce(min(CASE WHEN streak >= 3 THEN page END), 39) AS last,
@@ -73,10 +73,11 @@ STOP_SQL = f"""RECURSIVE {fx.LISTING_SQL}, hits AS (SELECT month, page, rtrim(sp
 
 
 def _visits(spark, sf):
-    """The listing without the hits of every fifth month, and the plan with all months."""
+    """The listing, and a plan of its months and one more without hits."""
     listing = fx.listing(spark, sf)
+    months = listing.select("month").distinct().unionByName(listing.agg((F.max("month") + 1).alias("month")))
     page = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long")))
-    return listing.where(F.col("month") % 5 != 4), listing.select("month").distinct().select("month", page.alias("page"))
+    return listing, months.select("month", page.alias("page"))
 
 
 @query("page_stop_rule", f"WITH {STOP_SQL} SELECT month, pages_visited, new_urls, stop_reason FROM walk WHERE n > 0")

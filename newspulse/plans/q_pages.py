@@ -9,6 +9,7 @@ from newspulse.operators import pages as ops
 from newspulse.plans import fixtures as fx
 from newspulse.plans.q_text import STRIP, lines_sql, strip_boilerplate_sql
 from newspulse.plans.registry import query
+from newspulse.session import scratch_path
 
 SITE_NAMES = ["Example News"]
 
@@ -76,21 +77,14 @@ def page_publisher(spark, sf):
     )
 
 
-SHOWN_SQL = """shown_pages AS (
-  SELECT page_id, url, CASE WHEN page_id % 9 = 0 THEN '<h1>Only a title ' || page_id || '</h1>' ELSE html END AS html FROM pages)"""
-REASON_SQL = f"""{SHOWN_SQL}, {BODY_SQL.replace("AS html FROM pages)", "AS html FROM shown_pages)")}, cleaned AS (SELECT *, {strip_boilerplate_sql("coalesce(body, '')")} AS content FROM parts),
+REASON_SQL = f"""{BODY_SQL}, cleaned AS (SELECT *, {strip_boilerplate_sql("coalesce(body, '')")} AS content FROM parts),
  judged AS (SELECT *, CASE WHEN body IS NULL THEN '{fixed.REASON_NO_BODY}'
    WHEN length(content) < 400 THEN '{fixed.REASON_SHORT_BODY}(' || length(content) || '자)' END AS reason FROM cleaned)"""
 
 
-def _some_without_body(spark, sf):
-    title = F.concat(F.lit("<h1>Only a title "), F.col("page_id").cast("string"), F.lit("</h1>"))
-    return _pages(spark, sf).withColumn("html", F.when(F.col("page_id") % 9 == 0, title).otherwise(F.col("html")))
-
-
-def _judged(spark, sf):
-    # The test pages are long; a higher limit makes some of them short, and some have no body.
-    return ops.extract_articles(_some_without_body(spark, sf), fx.BOILERPLATE, min_body=400)
+def _routed(spark, sf):
+    # The test pages are long; a higher limit makes some of them short.
+    return ops.route(ops.extract_articles(_pages(spark, sf), fx.BOILERPLATE, min_body=400), scratch_path(spark, "routed-pages"))
 
 
 @query(
@@ -100,7 +94,7 @@ def _judged(spark, sf):
  WHERE reason IS NULL AND length(title) >= {fixed.MIN_TITLE}""",
 )
 def accept_articles(spark, sf):
-    kept = ops.accepted_articles(_judged(spark, sf)).where(F.char_length("title") >= fixed.MIN_TITLE)
+    kept = _routed(spark, sf).accepted.where(F.char_length("title") >= fixed.MIN_TITLE)
     return kept.select("page_id", ops.title_or_placeholder("title").alias("title"), "content", "press", "url")
 
 
@@ -110,20 +104,29 @@ def accept_articles(spark, sf):
  WHERE reason IS NOT NULL GROUP BY 1""",
 )
 def reject_reasons(spark, sf):
-    return ops.count_reasons(ops.rejected(_judged(spark, sf)))
+    return ops.count_reasons(_routed(spark, sf).rejected)
+
+
+@query(
+    "routed_counts",
+    f"""WITH {REASON_SQL} SELECT count(*) FILTER (reason IS NULL) AS accepted, count(*) FILTER (reason IS NOT NULL) AS rejected FROM judged""",
+)
+def routed_counts(spark, sf):
+    """Counts that the write of both outputs leaves, without reading them."""
+    counts = _routed(spark, sf).counts
+    accepted = counts.pop("accepted")
+    return spark.createDataFrame([(accepted, sum(counts.values()))], "accepted long, rejected long")
 
 
 @query(
     "relevance_filter",
-    f"""WITH {fx.NEWS_SQL} SELECT doc_id, title,
-  contains(title, 'the') OR contains(title, 'de') AS in_title FROM news
- WHERE contains(title, 'the') OR contains(title, 'de') OR contains(substr(content, 1, 300), 'the')
-    OR contains(substr(content, 1, 300), 'de')""",
+    f"""WITH {fx.NEWS_SQL} SELECT doc_id, title, contains(title, 'the') AS has_first, contains(title, 'de') AS has_second FROM news
+ WHERE contains(title, 'the') OR contains(title, 'de')""",
 )
 def relevance_filter(spark, sf):
-    wide = ops.relevant(fx.news(spark, sf), fx.RELEVANT, body_prefix=300)
-    narrow = F.col("title").contains("the") | F.col("title").contains("de")
-    return wide.select("doc_id", "title", narrow.alias("in_title"))
+    found = ops.relevant(fx.news(spark, sf), fx.RELEVANT)
+    has = [F.col("title").contains(word).alias(name) for word, name in zip(fx.RELEVANT, ("has_first", "has_second"), strict=True)]
+    return found.select("doc_id", "title", *has)
 
 
 @query(
