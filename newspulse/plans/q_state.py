@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from newspulse.operators import sample, state
+from newspulse.operators import keyed, sample, state
 from newspulse.plans import batch, fixtures as fx
 from newspulse.plans.q_daily import LEAD
 from newspulse.plans.q_sentiment import REFINE_SQL, SCORED_SQL
@@ -109,6 +111,48 @@ def keyed_update(spark, sf):
     return state.keyed_update(stored, both, "id", ["sentiment", "score"], [F.col("step")])
 
 
+def _keyed_table(spark, rows):
+    name = f"stored_{uuid.uuid4().hex}"
+    path = scratch_path(spark, "keyed-table")
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keyed.create_table(rows, name, path, "url", buckets)
+    return name, path, buckets
+
+
+@query("upsert_keyed_table", UPSERT_SQL)
+def upsert_keyed_table(spark, sf):
+    """A batch is appended to its buckets; the newest row of a key counts."""
+    stored, incoming = _stored_incoming(spark, sf)
+    name, path, buckets = _keyed_table(spark, stored)
+    keyed.append_batch(incoming, 1, name, path, "url", buckets)
+    return keyed.current(spark, name, [F.col("doc_id")])
+
+
+@query("unknown_in_keyed_table", f"WITH {STORED_SQL} SELECT {ROWS} FROM incoming WHERE url NOT IN (SELECT url FROM stored)")
+def unknown_in_keyed_table(spark, sf):
+    stored, incoming = _stored_incoming(spark, sf)
+    name, _, _ = _keyed_table(spark, stored)
+    return keyed.unknown_rows(incoming, name, [F.col("doc_id")])
+
+
+@query(
+    "keyed_update_by_day",
+    f"""WITH {fx.NEWS_SQL}, last AS (SELECT max(date_only) AS d FROM news)
+ SELECT doc_id AS id, title, strftime(date_only, '%Y-%m-%d') AS date_only,
+  CASE WHEN doc_id % 2 = 0 AND date_only >= d - 3 THEN 'updated' ELSE sentiment END AS sentiment,
+  CASE WHEN doc_id % 2 = 0 AND date_only >= d - 3 THEN round((doc_id % 100) / 100.0, 6) END::DOUBLE AS score FROM news, last""",
+)
+def keyed_update_by_day(spark, sf):
+    """Scores of half of the last days' rows are set in a stored table; earlier days are not touched."""
+    rows = fx.news(spark, sf).select(F.col("doc_id").alias("id"), "title", "sentiment", "date_only")
+    path = scratch_path(spark, "by-day")
+    sinks.write_table(rows, path, partition_by="date_only")
+    last = rows.agg(F.max("date_only").alias("last"))
+    changes = rows.join(F.broadcast(last), F.col("date_only") >= F.date_sub("last", 3)).where(F.col("id") % 2 == 0).select(
+        "id", F.lit("updated").alias("sentiment"), ((F.col("id") % 100) / 100.0).alias("score"))
+    return keyed.update_days(spark, path, rows.schema, changes, "id", ["sentiment", "score"])
+
+
 @query(
     "attach_labels",
     f"""WITH {fx.NEWS_SQL} SELECT doc_id, url, len(regexp_extract_all(lower(content), '\\p{{L}}{{2,}}')) AS n_tokens,
