@@ -84,7 +84,8 @@ def page_stop_rule(
     if stored is not None:
         firsts = firsts.join(stored.select(urls.normalise("url").alias("u")), "u", "left_anti")
     firsts = settle(firsts, "frontier-urls")
-    stops = settle(grid.groupBy("month").agg(F.max("page").alias("stop")), "frontier-stops")
+    # One row a month; read again from the settled pages where it is needed.
+    stops = grid.groupBy("month").agg(F.max("page").alias("stop"))
     earlier = Window.partitionBy("u").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
 
     def is_new(stop: str) -> Column:
@@ -105,15 +106,15 @@ def page_stop_rule(
     found = with_stop(grid.withColumn("added", F.lit(0).cast("long")), firsts.join(stops, "month"), is_new("stop"), "frontier-round")
     while True:
         last = found.groupBy("month").agg(F.coalesce(F.min("stale_stop"), F.max("page")).alias("stop"))
-        stops = settle(last.join(stops.withColumnRenamed("stop", "old"), "month"), "frontier-stops").select("month", "old", "stop")
-        moved = stops.where("stop <> old")
+        both = last.join(stops.withColumnRenamed("stop", "old"), "month").select("month", "old", "stop")
+        moved = both.where("stop <> old")
         if moved.isEmpty():
             break
         between = (F.col("page") > F.least("old", "stop")) & (F.col("page") <= F.greatest("old", "stop"))
         touched = firsts.join(moved, "month").where(between).select("u").distinct()
-        rows = firsts.join(touched, "u", "left_semi").join(stops, "month")
+        rows = firsts.join(touched, "u", "left_semi").join(both, "month")
         found = with_stop(found.drop("stale_stop"), rows, is_new("stop") - is_new("old"), "frontier-round")
-        stops = stops.drop("old")
+        stops = last
     visited = found.where(F.col("stale_stop").isNull() | (F.col("page") <= F.col("stale_stop")))
     why = F.when(F.max("stale_stop").isNotNull(), "nothing_new").when(F.max("empty_stop").isNotNull(), "empty_pages")
     return visited.groupBy("month").agg(

@@ -47,56 +47,43 @@ def corpus_stats(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     )
 
 
-def tfidf_vocabulary(
-    docs: DataFrame, tokens: str, max_terms: int = 200, min_df: int = 5, max_df: float = 0.8
-) -> list[tuple[str, float]]:
-    """At most ``max_terms`` (word, idf) pairs: the size is fixed by the limit.
+def tfidf_vocabulary(counted: DataFrame, max_terms: int = 200, min_df: int = 5, max_df: float = 0.8) -> DataFrame:
+    """At most ``max_terms`` rows (word, idf) from documents as (_row, counts): the size is fixed by the limit.
 
     Each document emits a word once with its count, so only partial sums per
     word are shuffled.
     """
-    terms = exploded(docs, array=text.term_counts(tokens), name="t")
+    terms = exploded(counted, array="counts", name="t")
     per_word = terms.groupBy(F.col("t.word").alias("word")).agg(
         F.count(F.lit(1)).alias("df"), F.sum("t.n").alias("cf")
     )
-    total = docs.agg(F.count(F.lit(1)).alias("total")).scalar()
+    total = counted.agg(F.count(F.lit(1)).alias("total")).scalar()
     kept = (
         per_word.withColumn("total", total)
         .where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("total")))
         .orderBy(F.desc("cf"), F.asc("word"))
         .limit(max_terms)
     )
-    idf = F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1
-    return [(r["word"], r["idf"]) for r in kept.select("word", idf.alias("idf")).collect()]
+    return kept.select("word", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def tfidf_top(docs: DataFrame, tokens: str = "tokens", n: int = 30, **limits) -> DataFrame:
     """Mean TF-IDF weight per term over all documents, the ``n`` highest.
 
-    The vocabulary is a bounded list, so weights and the row norm are found
-    inside each document's row; the only shuffle is the sum per term.
+    Texts are counted once into a table of term counts. The vocabulary is a
+    bounded list that every task gets; a document's known words meet for its
+    norm, at most one row per word of the vocabulary.
     """
-    vocabulary = tfidf_vocabulary(docs, tokens, **limits)
-    if not vocabulary:
-        return docs.sparkSession.createDataFrame([], "word string, score double")
-    known = [w for w, _ in vocabulary]
-    idf = F.create_map(*[F.lit(x) for pair in vocabulary for x in pair])
-    total = docs.agg(F.count(F.lit(1))).scalar()
-    counts = text.term_counts(F.filter(text.as_col(tokens), lambda w: w.isin(known)))
-    weights = F.transform(
-        counts, lambda t: F.struct(t["word"].alias("word"), (t["n"] * F.element_at(idf, t["word"])).alias("x"))
-    )
-    norm = lambda ws: F.sqrt(F.aggregate(ws, F.lit(0.0), lambda acc, w: acc + w["x"] * w["x"]))
-    unit = text.let(
-        weights,
-        lambda ws: text.let(
-            norm(ws), lambda z: F.transform(ws, lambda w: F.struct(w["word"].alias("word"), (w["x"] / z).alias("x")))
-        ),
-    )
+    counted = settle(docs.select(F.monotonically_increasing_id().alias("_row"), text.term_counts(tokens).alias("counts")), "term-counts")
+    vocabulary = settle(tfidf_vocabulary(counted, **limits), "vocabulary")
+    total = counted.agg(F.count(F.lit(1))).scalar()
+    terms = exploded(counted, "_row", array="counts", name="t").select("_row", "t.word", "t.n")
+    known = terms.join(F.broadcast(vocabulary), "word").select("_row", "word", (F.col("n") * F.col("idf")).alias("x"))
+    rows = known.groupBy("_row").agg(F.collect_list(F.struct("word", "x")).alias("ws"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     return (
-        exploded(docs, array=unit, name="w")
+        exploded(rows, "norm", array="ws", name="w")
         .groupBy(F.col("w.word").alias("word"))
-        .agg(F.sum("w.x").alias("mass"))
+        .agg(F.sum(F.col("w.x") / F.col("norm")).alias("mass"))
         .select("word", (F.col("mass") / total).alias("score"))
         .orderBy(F.desc("score"), F.asc("word"))
         .limit(n)
