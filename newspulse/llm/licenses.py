@@ -105,17 +105,18 @@ CLAUSES = (
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
     ("public-domain", "public domain", r"(?:released|placed|dedicated|put|is) (?:in|into|to) the public domain"),
     ("public-domain", "copyright disclaimer", r"copyright disclaimer"),
-    ("warranty-disclaimer", "warrant", r"(?:the software is )?provided (?:by .{1,60}? )?as is (?:and|without) (?:any )?(?:express|warrant)"),
+    ("warranty-disclaimer", "as is", r"(?:the software is )?provided (?:by .{1,60}? )?as is (?:and|without) (?:any )?(?:express|warrant)"),
     ("warranty-disclaimer", "warrant", r"without (?:even the implied )?warrant(?:y|ies) (?:of merchantability|or conditions of any kind)"),
     ("proprietary", "all rights reserved", r"all rights reserved"),
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
-    ("proprietary", "unauthorized", r"unauthori[sz]ed (?:copying|use|reproduction|distribution) .{0,60}?(?:is )?(?:strictly )?prohibited"),
+    ("proprietary", "unauthori", r"unauthori[sz]ed (?:copying|use|reproduction|distribution) .{0,60}?(?:is )?(?:strictly )?prohibited"),
     ("proprietary", "end user license", r"end user license agreement"),
     ("non-commercial", "commercial", r"(?:for )?non ?commercial (?:use|purposes) only"),
     ("no-derivatives", "derivative", r"no derivative works"),
 )
 GRANT = (r"(?:licensed|released|distributed|available|provided|published|covered|redistributed|used|governed)"
          r"(?: by| under)(?: the)?(?: terms(?: and conditions)? of(?: the)?)? (?:{0})")
+CONTEXT = r"(?:licen[cs]e(?:d|s)?|identifier)(?: is| the| by| under| under the)* {0}|{0} (?:licen[cs]e(?:d|s)?|only|or later|compatible)"
 NOTICE, GRANTED, VERSIONED, CREATIVE_RULE, PLAIN = 5, 4, 3, 3, 1
 
 
@@ -144,7 +145,8 @@ def rules() -> list[Rule]:
     for label, names, versions in FAMILIES:
         for keyword, name in zip(_keyword(names), _split(names), strict=True):
             out.append(Rule(label, GRANTED, keyword, GRANT.format(name)))
-            out.append(Rule(label, PLAIN, keyword, name))
+            # One word alone is also the name of other things, so it needs a word about licenses next to it.
+            out.append(Rule(label, PLAIN, keyword, name if " " in name or "license" in name else CONTEXT.format(name)))
             for v in versions.split():
                 number = v.replace(".", " ").removesuffix(" 0")
                 at = rf"(?:{name}) (?:version |v|v )?{number}(?: 0)?(?: only| or (?:any )?later(?: version)?)?"

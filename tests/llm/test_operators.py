@@ -439,6 +439,55 @@ def test_license_places_and_suppression(spark):
     assert kept == [(0, 4, 2, "d"), (0, 9, 1, "a"), (2, 5, 3, "b")]
 
 
+def test_license_clauses_and_names_in_other_use():
+    found = lambda text: {d[3] for d in licenses.detections(text.encode())}
+    assert found("unauthorised copying of this file is strictly prohibited") == {"proprietary"}
+    assert found("provided by the authors as is without any express") == {"warranty-disclaimer"}
+    assert found("the apache helicopter landed at the afl final near the osl hall") == set()
+    assert found("licensed under the afl") == found("spdx license identifier afl 2 0") == found("afl licensed code") == {"afl"}
+    assert found("apache 2 0") == found("apache license") == found("the license is apache") == {"apache"}
+
+
+def test_keywords_stand_in_all_that_their_rules_find():
+    """A rule's matches, with every alternative and option taken in turn, hold its keyword."""
+    for r in licenses.rules():
+        if r.pattern.startswith("either version"):  # the words of several licenses: only next to this one's name
+            continue
+        for text in samples(r.pattern):
+            assert re.fullmatch(r.pattern, text), (r, text)
+            assert r.keyword in text, (r, text)
+
+
+def samples(pattern):
+    """Texts that a pattern of literals, groups, classes and options finds, each choice made at least once."""
+    from re import _parser as parser
+
+    def walk(items, pick):
+        out = ""
+        for kind, value in items:
+            name = str(kind)
+            if name == "LITERAL":
+                out += chr(value)
+            elif name == "ANY":
+                out += "x"
+            elif name == "IN":
+                what, given = value[pick % len(value)]
+                out += chr(given if str(what) == "LITERAL" else given[0] if str(what) == "RANGE" else ord("1"))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                low, high, inner = value
+                out += walk(inner, pick) * max(low, min(int(high), pick % 2))
+            elif name == "SUBPATTERN":
+                out += walk(value[-1], pick)
+            elif name == "BRANCH":
+                out += walk(value[1][pick // 2 % len(value[1])], pick)
+            else:
+                raise ValueError(name)
+        return out
+
+    parsed = parser.parse(pattern)
+    return {walk(parsed, pick) for pick in range(24)}
+
+
 def test_base_places_equal_word_search(spark):
     got = by_id(licenses.scan(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
     for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
