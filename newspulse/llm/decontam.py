@@ -3,11 +3,12 @@
 Benchmark items are cut into passages and weighted by TF-IDF, with document
 frequencies counted over the whole corpus. A randomised singular value
 decomposition, whose products run as Spark jobs over the passages, gives a
-latent space. Every window of every document is folded into that space and
-compared with all passages. As the image of a passage shrinks with a growing
-benchmark, items are also sought by the number of their words that stand in a
-stretch of text, which no leak can fall below. What either way finds is checked
-by the longest common subsequence of words, and a paraphrase also by its answer.
+latent space, whose rank is raised until it keeps the passages. Every window of
+every document is folded into that space and compared with all passages. Only
+items of which the space keeps too little, and those shorter than a window, are
+sought by their rarest words instead, of which no leak can hold fewer than some.
+What either way finds is checked by the longest common subsequence of words, and
+a paraphrase also by its answer.
 """
 
 from __future__ import annotations
@@ -27,14 +28,17 @@ from newspulse.session import settle
 
 FEATURES = 1 << 17  # hashed words
 BLOCK = 16  # windows start every so many words ...
-SCALES = (2, 4)  # ... and span so many blocks
-RANK, OVERSAMPLE, POWER = 128, 10, 2
-COSINE = 0.3  # of a window with a passage's image in the latent space
+SCALES = (2, 3, 4)  # ... and span so many blocks
+LEAST_RANK, RANK, OVERSAMPLE, POWER = 64, 256, 10, 2  # the rank doubles from the first to the second
+KEPT = 0.7  # length of its image from which a passage is left to the latent space
+COSINE = 0.3  # of a window with a passage, by their images
+BARE = 0.5  # a window counts as at least so much of a passage's length
 SAME, PARAPHRASE = 0.8, 0.55  # share of an item's words found in order
 ANSWER_WORDS = 5  # the end of an item is its answer where it has no other
 MIN_WORDS = 6  # items of fewer words have to stand in the text as they are
 SMALL, GATE_STEPS = 64, 16  # items up to SMALL words are sought together; so many of their sizes of text at a time
-ITEMS_AT_ONCE = 50_000  # passages searched in one pass over the documents
+RARE_HITS = 4  # words that a leak must have of an item's rarest ones
+ITEMS_AT_ONCE = 20_000  # passages searched in one pass over the documents
 
 
 #: Letters and digits, A-Z lower-cased, bytes of other scripts as they are; all else is a gap.
@@ -144,6 +148,32 @@ def latent_space(cut: DataFrame, idf: np.ndarray, features: np.ndarray, rank: in
     return np.ascontiguousarray((q @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32))
 
 
+def kept_by(cut: DataFrame, idf: np.ndarray, features: np.ndarray, space: np.ndarray, share: float) -> int:
+    """How many passages have an image of less than ``share`` of their length."""
+    held = cut.sparkSession.sparkContext.broadcast((space, features, idf))
+
+    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        space, features, idf = held.value
+        for frame in frames:
+            images = [v @ space[np.searchsorted(features, f)] for f, v in (weigh(list(w), idf) for w in frame["words"])]
+            yield pd.DataFrame({"n": [sum(float(np.linalg.norm(x)) < share for x in images)]})
+
+    return cut.mapInPandas(part, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def raised_space(cut: DataFrame, idf: np.ndarray, features: np.ndarray, most: int = RANK) -> np.ndarray:
+    """The latent space of the least rank, doubled up to ``most``, that keeps every passage.
+
+    It ends at ``most``, which bounds what a task holds, with passages kept or not.
+    """
+    rank, passages_ = min(LEAST_RANK, most), cut.count()
+    while True:
+        space = latent_space(cut, idf, features, rank)
+        if rank >= min(most, passages_) or not kept_by(cut, idf, features, space, KEPT):
+            return space
+        rank = min(2 * rank, most)
+
+
 class Item:
     """An item's words as bit masks for the subsequence check."""
 
@@ -153,12 +183,13 @@ class Item:
         self.masks: dict[bytes, int] = {}
         for i, w in enumerate(words):
             self.masks[w] = self.masks.get(w, 0) | 1 << i
+        self.counts = {w: mask.bit_count() for w, mask in self.masks.items()}
 
     def common(self, region: list[bytes], least: float = 0) -> int:
         """Length of the longest common subsequence with ``region``; 0 if surely below ``least``."""
-        held = [m for m in map(self.masks.get, region) if m]
-        if len(held) < least:
+        if least and sum(self.counts[w] for w in self.counts.keys() & set(region)) < least:
             return 0
+        held = [m for m in map(self.masks.get, region) if m]
         full = row = (1 << self.size) - 1
         for m in held:
             u = row & m
@@ -183,35 +214,49 @@ class Gate(NamedTuple):
     step: int  # windows that start in so many words are looked at together
     starts: np.ndarray  # by row of the latent space: where its entries begin
     items: np.ndarray
-    counts: np.ndarray  # (entries, 2): how often the feature stands in the item, and whether in its answer
+    counts: np.ndarray  # how often the feature stands in the item; only the rarest features have entries
+    first: np.ndarray  # by item: words of these entries that a leak has at least
     least: np.ndarray  # (items, 3): words that a leak has in common at least; those with an answer; features of the answer
     which: np.ndarray
     rows: list[np.ndarray]  # by item: its features, sorted, and their counts
     own: list[np.ndarray]
 
 
-def gates_of(checks: list[tuple], place: np.ndarray, rows: int) -> list[Gate]:
-    """Gates of the items (id, Item), one for each power of two of their sizes from SMALL."""
+def gates_of(checks: list[tuple], place: np.ndarray, rows: int, idf: np.ndarray) -> list[Gate]:
+    """Gates of the items (k, Item), one for each power of two of their sizes from SMALL.
+
+    A leak has ``least`` of an item's n words, so it has RARE_HITS of any
+    n - least + RARE_HITS of them; the rarest are looked up.
+    """
     by_size: dict[int, list[int]] = {}
     for k, (_, item) in enumerate(checks):
         by_size.setdefault(max(SMALL, 1 << (item.size - 1).bit_length()), []).append(k)
     out = []
     for size, which in sorted(by_size.items()):
-        least, held, own = [], [], []
-        for k in which:
-            item, total = checks[k][1], {}
+        least, held, own, entries, first = [], [], [], [], []
+        for j, k in enumerate(which):
+            item, total, weight = checks[k][1], {}, {}
             for w, mask in item.masks.items():
-                entry = total.setdefault(int(place[zlib.crc32(w) % FEATURES]), [0, 0])
+                feature = zlib.crc32(w) % FEATURES
+                entry = total.setdefault(int(place[feature]), [0, 0])
                 entry[0] += mask.bit_count()
                 entry[1] |= w in item.answer
+                weight[int(place[feature])] = idf[feature]
             held.append(np.array(sorted(total)))
             own.append(np.array([total[x] for x in sorted(total)]))
             least.append((least_of(item.same, item.size), least_of(PARAPHRASE, item.size), own[-1][:, 1].sum()))
-        at, items = np.concatenate(held), np.repeat(np.arange(len(which)), [len(x) for x in held])
-        order = np.argsort(at, kind="stable")
+            least_words = item.size if item.size < MIN_WORDS else min(least[-1][:2])
+            hits, taken = min(RARE_HITS, least_words), 0
+            for row in sorted(total, key=lambda x: (-weight[x], x)):
+                if taken >= item.size - least_words + hits:
+                    break
+                entries.append((row, j, total[row][0]))
+                taken += total[row][0]
+            first.append(hits)
+        at, items, counts = np.array(sorted(entries)).T
         out.append(Gate(
-            size, GATE_STEPS * size, np.searchsorted(at[order], np.arange(rows + 1)), items[order],
-            np.concatenate(own)[order], np.array(least), np.array(which), held, own))
+            size, GATE_STEPS * size, np.searchsorted(at, np.arange(rows + 1)), items, counts, np.array(first),
+            np.array(least), np.array(which), held, own))
     return out
 
 
@@ -222,7 +267,7 @@ def _possible(shared: np.ndarray, answer: np.ndarray, least: np.ndarray) -> np.n
 
 
 def _by_words(at: np.ndarray, gate: Gate, checks: list[tuple]) -> Iterator[tuple[int, int]]:
-    """(first word, item) of every longest window around which enough words of the item stand.
+    """(first word, item) of every longest window around which enough words of an item of the gate stand.
 
     ``at`` has the rows of a document's words, -1 for words of no item. Words
     are counted in any order, so nothing is lost that the check would find.
@@ -239,11 +284,14 @@ def _by_words(at: np.ndarray, gate: Gate, checks: list[tuple]) -> Iterator[tuple
         if not len(ends) or not ends[-1]:
             continue
         entries = np.repeat(first - ends + n, n) + np.arange(ends[-1])
-        items, counts = gate.items[entries], gate.counts[entries]
-        shared, answer = (np.bincount(items, counts[:, c], len(gate.least)) for c in (0, 1))
+        rare = np.bincount(gate.items[entries], gate.counts[entries], len(gate.least))
         starts = np.arange(a, min(a + gate.step, len(at)), BLOCK)
-        for i in np.flatnonzero(_possible(shared, answer, gate.least)).tolist():
+        here = np.zeros(len(gate.starts), dtype=bool)
+        here[seen] = True
+        for i in np.flatnonzero(rare >= gate.first).tolist():
             rows, size = gate.rows[i], checks[gate.which[i]][1].size
+            if not _possible(*(here[rows] @ gate.own[i])[:, None], gate.least[i : i + 1])[0]:
+                continue
             row = np.minimum(np.searchsorted(rows, piece), len(rows) - 1)
             held = np.flatnonzero(rows[row] == piece)
             row, before = row[held], np.full(len(held), -1)
@@ -259,23 +307,31 @@ def _by_words(at: np.ndarray, gate: Gate, checks: list[tuple]) -> Iterator[tuple
                 yield start, int(gate.which[i])
 
 
-SCHEMA = "doc_id long, item_id long, cosine double, lcs_words long, lcs_share double, answer_found boolean, first_word long"
+SCHEMA = "item_id long, cosine double, lcs_words long, lcs_share double, answer_found boolean, first_word long"
 
 
-def leaks(docs: DataFrame, items: DataFrame, rank: int = RANK, cosine: float = COSINE) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, rank: int = RANK, cosine: float = COSINE, exact: bool = True) -> DataFrame:
     """One row per (document, benchmark item) where the item is in the text.
 
     ``items`` has item_id, text and, if known, answer; otherwise an item's
     last words are its answer. An item is found where SAME of its words stand
     in order within a stretch of the text, or PARAPHRASE of them and the
     answer; one of fewer than MIN_WORDS words where it stands as it is.
-    ``cosine`` is that of the window with the nearest passage of the item, and
-    may be low where the words led to it. Null and empty texts and items have
-    no leak; repeated documents each give their rows; empty tables give none.
-    Other columns are not looked at. Passages are searched in blocks of
-    ITEMS_AT_ONCE, so what a task holds is bounded.
+    ``cosine`` is that of the window that led to it with the nearest passage
+    of the item, estimated from their images; null where rare words led to it.
+    ``rank`` is the most that the latent space may have; without ``exact`` it
+    is the only way. Null and empty texts and items have no leak, and items
+    without id are not sought; each text of an item id that has several gives
+    rows of its own. Repeated documents each give their rows; empty tables
+    give none. Other columns are not looked at. Items are searched in blocks
+    of ITEMS_AT_ONCE, so what a task holds is bounded.
     """
-    spark, idf = docs.sparkSession, idf_of(document_frequencies(docs))
+    return _leaks(docs.select("doc_id", "text"), items, rank, cosine, exact)
+
+
+def _leaks(rows: DataFrame, items: DataFrame, rank: int = RANK, cosine: float = COSINE, exact: bool = True) -> DataFrame:
+    """Leaks of (key, text), with the key as first column."""
+    spark, idf = rows.sparkSession, idf_of(document_frequencies(rows))
     answer = F.col("answer").cast("string") if "answer" in items.columns else F.lit(None).cast("string")
     items = settle(items.select("item_id", "text", answer.alias("answer")).where(
         F.col("item_id").isNotNull()).dropDuplicates(["item_id", "text"]), "bench-items")
@@ -283,114 +339,155 @@ def leaks(docs: DataFrame, items: DataFrame, rank: int = RANK, cosine: float = C
     hashed = cut.select(F.explode("words").alias("w")).select(F.pmod(F.crc32(F.col("w").cast("binary")), F.lit(FEATURES)).alias("f")).distinct()
     features = np.sort(np.array([r.f for r in hashed.collect()], dtype=np.int64))  # at most FEATURES
     if not len(features):
-        return spark.createDataFrame([], SCHEMA)
-    space = latent_space(cut, idf, features, rank)
+        key, kind = rows.columns[0], rows.schema[0].dataType.simpleString()
+        return spark.createDataFrame([], f"{key} {kind}, {SCHEMA}")
+    space = raised_space(cut, idf, features, rank)
     blocks = -(-cut.count() // ITEMS_AT_ONCE)
     found = None
     for b in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
-        part = _search(docs, mine, idf, features, space, cosine)
+        part = _search(rows, mine, idf, features, space, cosine, exact)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _search(docs: DataFrame, items: DataFrame, idf, features, space, cosine: float) -> DataFrame:
-    rows = items.orderBy("item_id").collect()  # one block of the query set
-    vectors, owner, checks = [], [], []
-    for r in rows:
-        w = words_of(r.text)
-        if not w:
-            continue
-        answer = words_of(r.answer) or w[-ANSWER_WORDS:]
-        answer = w if len(w) < MIN_WORDS else answer
-        checks.append((r.item_id, Item(w, answer)))
+class Latent(NamedTuple):
+    """Items that are sought by the cosine of their passages."""
+
+    space: np.ndarray  # rows of the latent space times idf, by place
+    wanted: np.ndarray  # (rank, passages): images over their squared length
+    length: np.ndarray  # of the passages, before they were brought to length one
+    owner: np.ndarray  # item of each passage
+
+
+def routes_of(checks: list[tuple], idf, features, space) -> tuple[Latent, list[int]]:
+    """The items (id, Item, words) that the latent space holds, and the places of all others."""
+    images, length, owner, rest = [], [], [], []
+    for k, (_, item, w) in enumerate(checks):
         parts = max(1, round(len(w) / (BLOCK * SCALES[-1])))
         cuts = [len(w) * i // parts for i in range(parts + 1)]
+        own = []
         for a, z in zip(cuts, cuts[1:], strict=False):
             f, v = weigh([x.decode("utf-8", "replace") for x in w[a:z]], idf)
-            image = v @ space[np.searchsorted(features, f)]
-            vectors.append(image / max(np.linalg.norm(image), 1e-9))
-            owner.append(len(checks) - 1)
+            own.append((v @ space[np.searchsorted(features, f)], float(np.sqrt((idf[features_of(w[a:z])] ** 2).sum()))))
+        if item.size < BLOCK or min(np.linalg.norm(image) for image, _ in own) < KEPT:
+            rest.append(k)
+            continue
+        images += [image for image, _ in own]
+        length += [x for _, x in own]
+        owner += [k] * len(own)
+    images = np.array(images, np.float32).reshape(-1, space.shape[1])
+    size = np.linalg.norm(images, axis=1)
+    return Latent(
+        space * idf[features][:, None], (images / np.maximum(size, 1e-9)[:, None] ** 2).T.copy(), np.array(length),
+        np.array(owner, dtype=np.int64)), rest
+
+
+def _search(docs: DataFrame, items: DataFrame, idf, features, space, cosine: float, exact: bool) -> DataFrame:
+    key, kind = docs.columns[0], docs.schema[0].dataType.simpleString()
+    checks = []
+    for r in items.orderBy("item_id", "text").collect():  # one block of the query set
+        w = words_of(r.text)
+        if w:
+            answer = w if len(w) < MIN_WORDS else words_of(r.answer) or w[-ANSWER_WORDS:]
+            checks.append((r.item_id, Item(w, answer), w))
     # Row of the latent space by feature; -1 for a feature of no passage.
     place = np.full(FEATURES, -1, dtype=np.int32)
     place[features] = np.arange(len(features))
-    held = docs.sparkSession.sparkContext.broadcast((
-        space * idf[features][:, None], place, idf,
-        np.array(vectors, np.float32).T.copy(), np.array(owner), checks, gates_of(checks, place, len(features))))
+    latent, rest = routes_of(checks, idf, features, space)
+    gates = gates_of([(k, checks[k][1]) for k in rest], place, len(features), idf) if exact else []
+    held = docs.sparkSession.sparkContext.broadcast((latent, place, idf, [c[:2] for c in checks], rest, gates))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        space, place, idf, wanted, owner, checks, gates = held.value
         for frame in slices(frames, "text", 500_000):
             out = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+            for at, text in zip(frame[key], frame["text"], strict=True):
                 words = words_of(text)
                 if words:
-                    out += [(doc_id, *hit) for hit in _of_document(words, space, place, idf, wanted, owner, checks, gates, cosine)]
-            found = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-            found["doc_id"] = found["doc_id"].astype("Int64")
+                    out += [(at, *hit) for hit in of_document(words, *held.value, cosine)]
+            found = pd.DataFrame(out, columns=[key, *(c.split()[0] for c in SCHEMA.split(", "))])
+            if kind == "bigint":
+                found[key] = found[key].astype("Int64")
             yield found
 
-    return docs.select("doc_id", "text").mapInPandas(search, SCHEMA)
+    return docs.mapInPandas(search, f"{key} {kind}, {SCHEMA}")
 
 
-def _of_document(words, space, place, idf, wanted, owner, checks, gates, cosine) -> list[tuple]:
+def of_document(words, latent: Latent, place, idf, checks, rest, gates, cosine: float) -> list[tuple]:
+    """The leaks of one text, by the order of the items."""
     ids = features_of(words)
-    weight = idf[ids]
-    starts = np.arange(0, len(ids), BLOCK)
-    sums = np.zeros((len(starts) + 1, space.shape[1]), np.float32)
     at = place[ids]
+    best: dict[int, tuple] = {}
+    seen = set()
+    for start, scale, which, near in _by_images(at, idf[ids], latent, cosine):
+        # A window inside one that was checked has nothing more.
+        if not any((which, start - k) in seen for k in range(SCALES[-1] - scale + 1)):
+            if scale == SCALES[-1]:
+                seen.add((which, start))
+            _check(words, start * BLOCK, scale * BLOCK, which, near, checks, best)
+    known = [(None, checks[k][1]) for k in rest]
+    for gate in gates:
+        for start, which in _by_words(at, gate, known):
+            _check(words, start, SCALES[-1] * BLOCK, rest[which], None, checks, best)
+    return [hit for _, hit in sorted(best.items())]
+
+
+def _by_images(at: np.ndarray, weight: np.ndarray, latent: Latent, cosine: float) -> Iterator[tuple[int, int, int, float]]:
+    """(first block, blocks, item, cosine) of every window near a passage, long windows first.
+
+    A window has the length of its words that stand in any passage, as others
+    are no part of the space, but at least BARE of the passage's length.
+    """
+    starts = -(-len(at) // BLOCK)
     inside = np.flatnonzero(at >= 0)
+    if not len(inside) or not len(latent.owner):
+        return
+    more = SCALES[-1] - 1  # empty blocks at the end, so that windows start in every block
+    sums, norms = np.zeros((starts + more, latent.space.shape[1]), np.float32), np.zeros(starts + more)
     for a in range(0, len(inside), BLOCK * 1024):  # a long text in pieces
         some = inside[a : a + BLOCK * 1024]
         block = some // BLOCK
         first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        sums[block[first] + 1] += np.add.reduceat(space[at[some]], first, axis=0)
-    norms = np.concatenate([[0.0], np.add.reduceat(weight.astype(np.float64) ** 2, starts)])
-    best: dict[int, tuple] = {}
-    # Block sums are added per window, not differenced, to keep small values exact.
-    for scale in SCALES:
-        n = max(1, len(starts) - scale + 1)
-        w, norm = np.zeros((n, sums.shape[1]), np.float32), np.zeros(n)
-        for k in range(min(scale, len(starts))):
-            w += sums[1 + k : 1 + k + n]
-            norm += norms[1 + k : 1 + k + n]
-        # No passage can be nearer than the length of a window's image allows.
-        maybe = np.flatnonzero(np.einsum("nd,nd->n", w, w) >= cosine**2 * norm)
-        rows = max(1, 4_000_000 // max(1, wanted.shape[1]))
-        for a in range(0, len(maybe), rows):
-            some = maybe[a : a + rows]
-            near = (w[some] @ wanted) / np.sqrt(np.maximum(norm[some], 1e-9))[:, None]
-            for i, j in np.argwhere(near >= cosine).tolist():
-                _check(words, int(some[i]) * BLOCK, scale * BLOCK, owner[j], float(near[i, j]), checks, best)
-    for gate in gates:
-        for start, which in _by_words(at, gate, checks):
-            if which in best and best[which][3] >= 1.0:
-                continue
-            known = best.get(which)
-            _check(words, start, SCALES[-1] * BLOCK, which, 0.0, checks, best)
-            if best.get(which) is not known:
-                a = start // BLOCK
-                image, norm = sums[1 + a : 1 + a + SCALES[-1]].sum(0), norms[1 + a : 1 + a + SCALES[-1]].sum()
-                own = wanted[:, np.searchsorted(owner, which) : np.searchsorted(owner, which, "right")]
-                near = float((image @ own).max()) / math.sqrt(max(norm, 1e-9))
-                best[which] = (best[which][0], near, *best[which][2:])
-    return [hit for _, hit in sorted(best.items())]
+        sums[block[first]] += np.add.reduceat(latent.space[at[some]], first, axis=0)
+        norms[block[first]] += np.add.reduceat(weight[some].astype(np.float64) ** 2, first)
+    shortest = BARE * latent.length.min()
+    rows = max(1, 4_000_000 // latent.wanted.shape[1])
+    for a in range(0, starts, rows):
+        n = min(rows, starts - a)
+        part = sums[a : a + n + more] @ latent.wanted
+        near, norm, found = part, norms[a : a + n + more], []
+        for scale in range(1, SCALES[-1] + 1):
+            if scale > 1:  # added, not differenced, to keep small values exact
+                near, norm = near[:-1] + part[scale - 1 :], norm[:-1] + norms[a + scale - 1 : a + n + more]
+            if scale in SCALES:
+                least = np.maximum(np.sqrt(norm[:n]), shortest)
+                i, j = np.nonzero(near[:n] >= (cosine * least).astype(np.float32)[:, None])
+                value = near[i, j] / np.maximum(least[i], BARE * latent.length[j])
+                keep = value >= cosine
+                found.append((scale, i[keep] + a, latent.owner[j[keep]], value[keep]))
+        for scale, i, j, value in reversed(found):
+            for start, which, v in zip(i.tolist(), j.tolist(), value.tolist(), strict=True):
+                yield start, scale, which, min(1.0, v)
 
 
 def _check(words, start, span, which, near, checks, best) -> None:
     item_id, item = checks[which]
-    if which in best and best[which][3] >= 1.0:
+    if which in best and best[which][2] >= item.size:
         return
     first = max(0, start - item.size)
     region = words[first : start + span + item.size]
     lcs = item.common(region, least_of(PARAPHRASE, item.size))
     share = lcs / item.size
     answered = share >= PARAPHRASE and item.answered(region)
-    if (share >= item.same or answered) and (which not in best or share > best[which][3]):
+    if (share >= item.same or answered) and (which not in best or lcs > best[which][2]):
         best[which] = (item_id, near, lcs, share, answered, first)
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows without a leak, with all their columns; a null id has none looked up."""
-    hit = settle(leaks(docs, items).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(hit, docs["doc_id"] == hit["__leak"], "left_anti")
+    """The rows whose text has no leak, with all their columns, null and repeated ids as others.
+
+    Whether a row goes depends on its text alone, so rows are matched by its digest.
+    """
+    digest = F.sha2(F.encode(docs["text"], "UTF-8"), 256)
+    hit = settle(_leaks(docs.select(digest.alias("__leak"), "text"), items).select("__leak").distinct(), "leaks")
+    return docs.join(hit, digest == hit["__leak"], "left_anti")

@@ -245,6 +245,49 @@ def test_leaks_find_verbatim_items_of_large_benchmarks(spark):
     assert {(k, k) for k in range(200)} <= {(r.doc_id, r.item_id) for r in got if r.lcs_share == 1}
 
 
+def test_latent_search_leads(spark):
+    """What the cosine finds alone is all but the items shorter than a window; without it these are all that is left."""
+    docs, bench = documents(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
+    long = {r.item_id for r in bench.collect() if len(decontam.words_of(r.text)) >= decontam.BLOCK}
+    pairs = lambda **how: {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench, **how).collect()}
+    found = pairs()
+    assert found and pairs(exact=False) == {x for x in found if x[1] in long}
+    assert pairs(cosine=10.0) == {x for x in found if x[1] not in long} != found
+
+
+@pytest.mark.parametrize("changed", [0.0, 0.4])
+def test_latent_search_alone_finds_edited_items(spark, changed):
+    rng = np.random.default_rng(7)
+    around = [decontam.words_of(r.text) for r in documents(spark).orderBy("doc_id").collect()]
+    around = [[w.decode("utf-8", "replace") for w in t] for t in around if len(t) > 80]
+    rows = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").orderBy("item_id").collect()
+    bench = [(r.item_id, " ".join(w.decode() for w in decontam.words_of(r.text))) for r in rows]
+    docs = []
+    for k, (i, text) in enumerate(bench):
+        w, t, other = text.split(), around[k % len(around)], around[(7 * k + 1) % len(around)]
+        for at in rng.choice(len(w) - 5, int(changed * len(w)), replace=False):
+            w[at] = other[int(rng.integers(len(other)))]
+        docs.append((i, " ".join([*t[: 60 + k % 16], *w, *t[60 + k % 16 :]])))
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), items(spark, bench), exact=False)
+    assert len({r.doc_id for r in got.collect() if r.doc_id == r.item_id}) >= 0.95 * len(bench)
+
+
+def test_large_benchmarks_take_both_ways(spark):
+    """A space of rank 8 can't hold 60 unlike items; those it loses are found by their rarest words."""
+    bench = [(i, " ".join(f"i{i}x{k}" for k in range(30))) for i in range(60)]
+    docs = spark.createDataFrame([(i, f"before that {text} and after") for i, text in bench], "doc_id long, text string")
+    pairs = lambda **how: {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items(spark, bench), rank=8, **how).collect()}
+    assert pairs() == {(i, i) for i in range(60)} > pairs(exact=False)
+
+
+def test_leaking_rows_go_whatever_their_id(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame(
+        [(1, "clean text"), (1, f"some {item} here"), (None, f"other {item}"), (None, "clean"), (2, None), (2, "")], "doc_id long, text string")
+    left = decontam.drop_leaks(docs, items(spark, [(1, item), (None, "clean text"), (3, None)])).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in left) == [("1", "clean text"), ("2", ""), ("2", "None"), ("None", "clean")]
+
+
 def test_leaks_find_short_and_edited_items(spark):
     rng = np.random.default_rng(6)
     rare = iter(f"r{i}" for i in range(100_000))
