@@ -166,10 +166,11 @@ def raised_space(cut: DataFrame, idf: np.ndarray, features: np.ndarray, most: in
 
     It ends at ``most``, which bounds what a task holds, with passages kept or not.
     """
-    rank, passages_ = min(LEAST_RANK, most), cut.count()
+    most = min(most, cut.count())  # more have no image of any passage
+    rank = min(LEAST_RANK, most)
     while True:
         space = latent_space(cut, idf, features, rank)
-        if rank >= min(most, passages_) or not kept_by(cut, idf, features, space, KEPT):
+        if rank == most or not kept_by(cut, idf, features, space, KEPT):
             return space
         rank = min(2 * rank, most)
 
@@ -273,22 +274,25 @@ def _by_words(at: np.ndarray, gate: Gate, checks: list[tuple]) -> Iterator[tuple
     are counted in any order, so nothing is lost that the check would find.
     """
     span = BLOCK * SCALES[-1]
-    for a in range(0, len(at), gate.step):
-        low = max(0, a - gate.size)
-        piece = at[low : a + gate.step + span + gate.size]
-        seen = np.unique(piece)
-        seen = seen[np.searchsorted(seen, 0) :]
+    filled = np.append(np.diff(gate.starts) > 0, False)  # the last one is that of words of no item
+    hits = np.flatnonzero(filled[at])
+    for a in range(0, len(at), gate.step) if len(hits) else ():
+        low, high = max(0, a - gate.size), a + gate.step + span + gate.size
+        seen = at[hits[np.searchsorted(hits, low) : np.searchsorted(hits, high)]]
+        if not len(seen):
+            continue
+        seen, piece = np.unique(seen), at[low:high]
         first = gate.starts[seen]
         n = gate.starts[seen + 1] - first
         ends = np.cumsum(n)
-        if not len(ends) or not ends[-1]:
-            continue
         entries = np.repeat(first - ends + n, n) + np.arange(ends[-1])
         rare = np.bincount(gate.items[entries], gate.counts[entries], len(gate.least))
         starts = np.arange(a, min(a + gate.step, len(at)), BLOCK)
-        here = np.zeros(len(gate.starts), dtype=bool)
-        here[seen] = True
-        for i in np.flatnonzero(rare >= gate.first).tolist():
+        maybe = np.flatnonzero(rare >= gate.first).tolist()
+        if maybe:
+            here = np.zeros(len(filled), dtype=bool)
+            here[piece] = True
+        for i in maybe:
             rows, size = gate.rows[i], checks[gate.which[i]][1].size
             if not _possible(*(here[rows] @ gate.own[i])[:, None], gate.least[i : i + 1])[0]:
                 continue
