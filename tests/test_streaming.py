@@ -209,3 +209,13 @@ def test_a_batch_saves_only_what_it_adds(spark):
         sizes.append(now - before)
         before = now
     assert max(sizes[1:]) < 0.2 * sizes[0], sizes
+
+
+def test_a_refresh_writes_few_files_a_day(spark):
+    """Every task wrote a file for every day, as a micro-batch knows no rebalance."""
+    path = scratch_path(spark, "files")
+    import pathlib
+
+    run(spark, path, [article(i, f"2024-01-{1 + i % 10:02d} 10:00:00", "good") for i in range(400)], settings())
+    days = [d for d in pathlib.Path(f"{path}/articles/batch=0".removeprefix("file:")).iterdir() if d.is_dir()]
+    assert len(days) == 10 and [len(list(d.glob("*.parquet"))) for d in days] == [1] * 10
