@@ -1,80 +1,186 @@
 """Lexicon scores with a lexicon table of any size, in one pass over a text.
 
-The words of the table become an Aho-Corasick automaton. Occurrences of one
-word don't overlap each other, those of different words may. A table of up to
-MAX_BYTES goes to every task; a larger one is dealt into parts of that size,
-each part goes over the texts, and the parts' scores are added up.
+The words of the table become a trie in numpy tables, which all places of some
+texts descend at once. Occurrences of one word don't overlap each other, those
+of different words may. A table of up to MAX_BYTES goes to every task; a larger
+one is dealt into parts of that size, each part goes over the texts, and the
+parts' scores are added up.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from newspulse.functions import text
-from newspulse.operators.rows import exploded
 from newspulse.session import settle
 
-#: Bytes of words in one automaton; it takes some fifty times as much memory.
+#: Bytes of words in one trie; it takes some fifty times as much memory.
 MAX_BYTES = 4 << 20
+#: Bytes of texts that meet a part of a lexicon at once, at least.
+TEXT_BYTES = 8 << 20
+#: Letters of texts that descend the trie at once.
+LETTERS = 1 << 19
+#: Cells up to which a table has a place for every pair, beyond that the pairs alone.
+CELLS = 1 << 20
 
 
 class Automaton:
-    """Aho-Corasick: states of a trie, each with the longest proper suffix that is one too."""
+    """Trie of the words by length: node and letter give the node of the next length."""
 
     def __init__(self, words: Iterable[tuple[str, int]]):
         self.words = list(words)
-        self.next: list[dict[str, int]] = [{}]
-        ends: list[int] = [-1]
-        for k, (word, _) in enumerate(self.words):
-            state = 0
-            for letter in word:
-                if letter not in self.next[state]:
-                    self.next[state][letter] = len(self.next)
-                    self.next.append({})
-                    ends.append(-1)
-                state = self.next[state][letter]
-            ends[state] = k
-        self.fail = [0] * len(self.next)
-        #: Numbers of the words that end in a state, longest first.
-        self.found: list[tuple[int, ...]] = [()] * len(self.next)
-        queue = deque(self.next[0].values())
-        while queue:
-            state = queue.popleft()
-            here = self.found[self.fail[state]]
-            self.found[state] = (ends[state], *here) if ends[state] >= 0 else here
-            for letter, child in self.next[state].items():
-                back = self.fail[state]
-                while back and letter not in self.next[back]:
-                    back = self.fail[back]
-                self.fail[child] = self.next[back].get(letter, 0)
-                queue.append(child)
+        self.weights = np.array([weight for _, weight in self.words], np.int64)
+        self.sizes = np.array([len(word) for word, _ in self.words], np.int64)
+        #: Words that may overlap themselves.
+        self.own_overlap = np.array([_has_border(word) for word, _ in self.words], bool)
+        codes, starts = _codes([word for word, _ in self.words])
+        seen = np.unique(codes)
+        self.letters = np.zeros(0x110000, np.int32)  # 0: in no word
+        self.letters[seen] = np.arange(1, len(seen) + 1)
+        self.width = len(seen) + 1
+        #: By length: the next nodes by node and letter, or the pairs that have one, and the word that ends in a node.
+        self.levels: list[tuple[np.ndarray | None, np.ndarray, np.ndarray]] = []
+        alive, node, nodes = np.arange(len(self.words)), np.zeros(len(self.words), np.int64), 1
+        for length in range(int(self.sizes.max(initial=0))):
+            longer = self.sizes[alive] > length
+            alive, node = alive[longer], node[longer]
+            pairs, following = np.unique(node * self.width + self.letters[codes[starts[alive] + length]], return_inverse=True)
+            table = None
+            if nodes * self.width <= CELLS:
+                table = np.full(nodes * self.width, -1, np.int32)
+                table[pairs] = np.arange(len(pairs))
+            ends = np.full(len(pairs), -1, np.int64)
+            last = self.sizes[alive] == length + 1
+            ends[following[last]] = alive[last]
+            self.levels.append((table, pairs, ends))
+            node, nodes = following, len(pairs)
+
+    def _found(self, letters: np.ndarray, places: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, words) of the words that start at one of the first places."""
+        at, node = np.flatnonzero(letters[:places]), np.zeros(1, np.int64)
+        node = np.broadcast_to(node, at.shape)
+        for length, (table, pairs, ends) in enumerate(self.levels):
+            there = at + length
+            if at.size and there[-1] >= len(letters):
+                inside = there < len(letters)
+                at, node, there = at[inside], node[inside], there[inside]
+            pair = node * self.width + letters[there]
+            if table is None:
+                following = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+                known = pairs[following] == pair
+            else:
+                following = table[pair]
+                known = following >= 0
+            at, node = at[known], following[known].astype(np.int64)
+            if not at.size:
+                return
+            word = ends[node]
+            whole = word >= 0
+            yield at[whole], word[whole]
+
+    def occurrences(self, texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(numbers of texts, numbers of words) of all occurrences that don't overlap an earlier one of that word."""
+        if not self.levels:
+            return
+        codes, starts = _codes(texts)
+        letters = self.letters[codes]
+        owner = np.repeat(np.arange(len(texts)), np.diff(starts, append=len(codes)))
+        letters[starts[1:] - 1] = 0  # the blank between two texts
+        again: list[tuple[np.ndarray, np.ndarray]] = []
+        for begin in range(0, len(letters), LETTERS):
+            for at, word in self._found(letters[begin : begin + LETTERS + len(self.levels)], LETTERS):
+                at = at + begin
+                own = self.own_overlap[word]
+                if own.any():
+                    again.append((at[own], word[own]))
+                    at, word = at[~own], word[~own]
+                yield owner[at], word
+        if again:
+            at, word = (np.concatenate(x) for x in zip(*again, strict=True))
+            order = np.lexsort((at, word))
+            at, word = at[order], word[order]
+            kept = self._apart(at, word)
+            yield owner[at[kept]], word[kept]
+
+    def _apart(self, at: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Of occurrences by word and place, those that no kept one before of that word reaches into."""
+        kept = np.ones(len(at), bool)
+        size = self.sizes[word]
+        near = np.flatnonzero((word[1:] == word[:-1]) & (at[1:] - at[:-1] < size[1:])) + 1
+        before, free = -1, 0
+        for i in near.tolist():
+            if i - 1 != before:
+                free = at[i - 1] + size[i]
+            before = i
+            if at[i] < free:
+                kept[i] = False
+            else:
+                free = at[i] + size[i]
+        return kept
+
+    def counts(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of texts, numbers of words, occurrences), by text and word."""
+        cells, some = len(texts) * len(self.words), (t * len(self.words) + w for t, w in self.occurrences(texts))
+        if cells <= 8 * CELLS:
+            sums = np.zeros(cells, np.int64)
+            for x in some:
+                np.add.at(sums, x, 1)
+            at = np.flatnonzero(sums)
+            n = sums[at]
+        else:
+            at, n = np.unique(np.concatenate([np.zeros(0, np.int64), *some]), return_counts=True)
+        return *np.divmod(at, max(1, len(self.words))), n
 
     def hits(self, content: str) -> dict[int, int]:
         """Occurrences of every word in a text that don't overlap an earlier one of that word."""
-        following, fail, found, words = self.next, self.fail, self.found, self.words
-        counts: dict[int, int] = {}
-        free: dict[int, int] = {}  # where a word's last occurrence ended
-        state = 0
-        for i, letter in enumerate(content):
-            step = following[state].get(letter)
-            while step is None and state:
-                state = fail[state]
-                step = following[state].get(letter)
-            state = step or 0
-            if found[state]:
-                for k in found[state]:
-                    if i + 1 - len(words[k][0]) >= free.get(k, 0):
-                        counts[k] = counts.get(k, 0) + 1
-                        free[k] = i + 1
-        return counts
-
-    def score(self, content: str) -> int:
-        return sum(n * self.words[k][1] for k, n in self.hits(content).items())
+        _, word, n = self.counts([content])
+        return dict(zip(word.tolist(), n.tolist(), strict=True))
+
+    def scores(self, texts: Sequence[str]) -> np.ndarray:
+        """Weight times occurrences, added up for every text."""
+        sums = np.zeros(len(texts), np.int64)
+        for a, b in _groups(texts):
+            for owner, word in self.occurrences(texts[a:b]):
+                np.add.at(sums, a + owner, self.weights[word])
+        return sums
+
+
+def _has_border(word: str) -> bool:
+    """Whether a start of the word, not all of it, is also its end."""
+    back = [0] * len(word)
+    k = 0
+    for i in range(1, len(word)):
+        while k and word[i] != word[k]:
+            k = back[k - 1]
+        k += word[i] == word[k]
+        back[i] = k
+    return k > 0
+
+
+def _codes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of all texts, a blank after each but the last, and where each starts."""
+    codes = np.frombuffer(" ".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    return codes, np.cumsum(sizes) - sizes
+
+
+def _groups(texts: Sequence[str]) -> Iterator[tuple[int, int]]:
+    """Neighbouring texts of some LETTERS together, or a single longer one."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > LETTERS:
+            yield begin, i
+            begin, size = i, 0
+        size += len(t) + 1
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
 def usable(lexicon: DataFrame) -> DataFrame:
@@ -109,12 +215,16 @@ def word_hits(docs: DataFrame, lexicon: DataFrame, key: str, content: Column | s
     known, parts = _parts(lexicon, max_bytes)
     texts = [text.text_or_empty(content)]
     if parts == 1:
-        hits = exploded(docs, key, array=_counter(_collected(known))(*texts), name="h")
-        return hits.select(key, "h.word", "h.n")
+        rows = docs.select(F.col(key).alias("key"), texts[0].alias("text"))
+        kind = StructType([StructField(key, rows.schema["key"].dataType), StructField("word", StringType()), StructField("n", IntegerType())])
+        return rows.mapInArrow(_counter(_collected(known), key), kind)
 
     def count(frame: pd.DataFrame, automaton: Automaton) -> pd.DataFrame:
-        rows = [(row, automaton.words[k][0], n) for row, t in zip(frame["_row"], frame["t0"], strict=True) for k, n in automaton.hits(t).items()]
-        return pd.DataFrame(rows, columns=["_row", "word", "n"])
+        texts, numbers, every = frame["t0"].tolist(), frame["_row"].to_numpy(), np.array([w for w, _ in automaton.words], object)
+        found = [(a + owner, word, n) for a, b in _groups(texts) for owner, word, n in [automaton.counts(texts[a:b])]]
+        none = np.zeros(0, np.int64)
+        owner, word, n = (np.concatenate(x) for x in zip((none, none, none), *found, strict=True))
+        return pd.DataFrame({"_row": numbers[owner], "word": every[word], "n": n})
 
     placed = _numbered(docs)
     hits = _by_parts(placed, texts, known, parts, max_bytes, count, "_row long, word string, n int")
@@ -139,11 +249,13 @@ def _by_parts(placed: DataFrame, texts: list[Column], known: DataFrame, parts: i
     """``work`` for every share of the texts with every part of the lexicon.
 
     Texts and words are both dealt by hash, so a task holds about ``max_bytes``
-    of words and 16 times as many of texts; nothing passes through the driver.
+    of words and 16 times as many of texts, or TEXT_BYTES if that is more, so
+    that small parts aren't repeated for ever more shares; nothing passes
+    through the driver.
     """
     columns = [t.alias(f"t{i}") for i, t in enumerate(texts)]
     size = placed.agg(F.coalesce(F.sum(sum(F.octet_length(t) for t in texts).cast("long")), F.lit(0))).first()[0]
-    shares = max(1, -(-size // (16 * max_bytes)))
+    shares = max(1, -(-size // max(TEXT_BYTES, 16 * max_bytes)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
     of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(int(n))).cast("int")
     left = placed.select("_row", *columns, of("_row", shares).alias("share"), every(parts).alias("part"))
@@ -156,7 +268,7 @@ def _by_parts(placed: DataFrame, texts: list[Column], known: DataFrame, parts: i
 
 
 def _weighted(automaton: Automaton, columns: Iterable[pd.Series], factors: list[int]) -> pd.Series:
-    return sum(f * c.map(automaton.score).astype("int64") for f, c in zip(factors, columns, strict=True))
+    return pd.Series(sum(f * automaton.scores(c.tolist()) for f, c in zip(factors, columns, strict=True)))
 
 
 def _scorer(entries: list[tuple[str, int]], factors: list[int]):
@@ -175,11 +287,16 @@ def _scorer(entries: list[tuple[str, int]], factors: list[int]):
     return score if len(factors) > 1 else score_one
 
 
-def _counter(entries: list[tuple[str, int]]):
-    @F.pandas_udf("array<struct<word:string,n:int>>")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = Automaton(entries)
+def _counter(entries: list[tuple[str, int]], key: str):
+    """(key, word, n) from (key, text), some texts at a time, so that no task holds the hits of a whole batch."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, every = Automaton(entries), pa.array([word for word, _ in entries], pa.string())
         for batch in batches:
-            yield batch.map(lambda t: [{"word": entries[k][0], "n": n} for k, n in automaton.hits(t).items()])
+            texts = batch.column(1).to_pylist()
+            for a, b in _groups(texts):
+                owner, word, n = automaton.counts(texts[a:b])
+                columns = [batch.column(0).take(pa.array(a + owner)), every.take(pa.array(word)), pa.array(n, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "word", "n"])
 
     return count

@@ -137,3 +137,46 @@ def test_an_empty_lexicon_scores_nothing(spark):
     none = spark.createDataFrame([], "word string, weight int")
     assert {r.score for r in lexicon.table_score(docs(spark, TEXTS), none, {"body": 1}).collect()} == {0}
     assert lexicon.word_hits(docs(spark, TEXTS), none, "id", "body").collect() == []
+
+
+def test_hits_of_a_batch_come_in_pieces():
+    """A batch of 10,000 texts held a dict for every hit at once."""
+    import pyarrow as pa
+
+    words = [("".join(w), 1) for w in itertools.product("abc", repeat=3)]
+    texts = ["".join(random.Random(i).choices("abc", k=300)) for i in range(5_000)] + ["ab" * lexicon.LETTERS, None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t or "" for t in texts])], names=["id", "text"])
+    pieces = list(lexicon._counter(words, "id")([batch]))
+    assert len(pieces) > 3 and max(p.num_rows for p in pieces) <= 27 * lexicon.LETTERS // 300 + 27
+    got = {}
+    for p in pieces:
+        for row, word, n in zip(*[c.to_pylist() for c in p.columns], strict=True):
+            assert (row, word) not in got
+            got[row, word] = n
+    assert got == {(i, w): t.count(w) for i, t in enumerate(texts) if t for w, _ in words if w in t}
+
+
+@pytest.mark.parametrize("letters", [5, lexicon.LETTERS])
+@pytest.mark.parametrize("cells", [1, lexicon.CELLS])
+def test_texts_in_windows_and_pairs_in_tables(monkeypatch, letters, cells):
+    """Words across windows and texts side by side, with and without a full table; scores too."""
+    monkeypatch.setattr(lexicon, "LETTERS", letters)
+    monkeypatch.setattr(lexicon, "CELLS", cells)
+    rng = random.Random(6)
+    for _ in range(100):
+        words = list({"".join(rng.choices("ab😀", k=rng.randint(1, 5))) for _ in range(rng.randint(1, 12))})
+        found = lexicon.Automaton((w, k - 3) for k, w in enumerate(words))
+        texts = ["".join(rng.choices("abc😀 ", k=rng.randint(0, 40))) for _ in range(rng.randint(0, 5))]
+        owner, word, n = found.counts(texts)
+        assert {(i, words[k]): m for i, k, m in zip(owner, word, n, strict=True)} == {
+            (i, w): t.count(w) for i, t in enumerate(texts) for w in words if w in t}
+        assert found.scores(texts).tolist() == [sum((k - 3) * t.count(w) for k, w in enumerate(words)) for t in texts]
+
+
+def test_small_parts_meet_large_shares_of_texts(spark):
+    """A share was 16 times a part, so small parts were repeated for every few texts."""
+    table = spark.createDataFrame([("ab", 1), ("bc", 2), ("cd", 3)], "word string, weight int")
+    rows = spark.range(300).select(F.col("id"), F.lit("abcd" * 20).alias("body"))
+    out = lexicon.table_score(rows, table, {"body": 1}, max_bytes=2)
+    words = [j for j in out._jdf.queryExecution().analyzed().toString().split("\n") if "sequence(0" in j]
+    assert any("sequence(0, 0" in line for line in words) and {r.score for r in out.collect()} == {120}
