@@ -104,14 +104,18 @@ def count_reasons(log: DataFrame) -> DataFrame:
     return log.groupBy(kind.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def relevant(articles: DataFrame, keywords: Sequence[str], body_prefix: int | None = None) -> DataFrame:
-    """Articles whose title, or body start when asked, holds any keyword."""
+def relevant(
+    articles: DataFrame, keywords: Sequence[str], body_prefix: int | None = None, whole_body: bool = False
+) -> DataFrame:
+    """Articles whose title, or body start or whole body when asked, holds any keyword."""
     if not keywords:
         raise ValueError("keywords must not be empty")
     hit = F.lit(False)
     for word in keywords:
         hit = hit | text.text_or_empty("title").contains(word)
-        if body_prefix is not None:
+        if whole_body:
+            hit = hit | text.text_or_empty("content").contains(word)
+        elif body_prefix is not None:
             hit = hit | F.substring(text.text_or_empty("content"), 1, body_prefix).contains(word)
     return articles.where(hit)
 

@@ -120,13 +120,16 @@ def routed_counts(spark, sf):
 
 @query(
     "relevance_filter",
-    f"""WITH {fx.NEWS_SQL} SELECT doc_id, title, contains(title, 'the') AS has_first, contains(title, 'de') AS has_second FROM news
- WHERE contains(title, 'the') OR contains(title, 'de')""",
+    f"""WITH {fx.NEWS_SQL} SELECT doc_id, title, contains(title, 'the') AS has_first, contains(title, 'de') AS has_second,
+  contains(title, 'the') OR contains(title, 'de') AS in_title FROM news
+ WHERE contains(title, 'the') OR contains(title, 'de') OR contains(content, 'the') OR contains(content, 'de')""",
 )
 def relevance_filter(spark, sf):
-    found = ops.relevant(fx.news(spark, sf), fx.RELEVANT)
+    """Titles and whole bodies; ``relevant_titles`` looks at titles alone."""
+    found = ops.relevant(fx.news(spark, sf), fx.RELEVANT, whole_body=True)
     has = [F.col("title").contains(word).alias(name) for word, name in zip(fx.RELEVANT, ("has_first", "has_second"), strict=True)]
-    return found.select("doc_id", "title", *has)
+    in_title = F.col("title").contains("the") | F.col("title").contains("de")
+    return found.select("doc_id", "title", *has, in_title.alias("in_title"))
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from newspulse.functions import fixed
 from newspulse.operators import daily, frontier, pages, payloads, price
-from newspulse.plans import batch
+from newspulse.plans import batch, catalog
 from newspulse.session import scratch_path, settle
 from newspulse.sinks import files as sinks
 from newspulse.sources import files, jdbc, schemas
@@ -117,3 +117,15 @@ def test_headlines_of_a_hot_day(spark):
     got = [(r["rank"], r["title"]) for r in daily.event_news(articles, events).orderBy("rank").collect()]
     best = [i for i in range(5000) if i % 3 and i % 100 == 99][:3]
     assert got == [(n + 1, f"t{i}") for n, i in enumerate(best)]
+
+
+def test_relevance_in_a_whole_body(spark):
+    """A keyword behind the first 300 characters of a body counts as well."""
+    df = spark.createDataFrame([("u1", "t", "x" * 400 + "key"), ("u2", "key", None), ("u3", "t", "none")], "url string, title string, content string")
+    assert [r["url"] for r in pages.relevant(df, ["key"], whole_body=True).collect()] == ["u1", "u2"]
+    assert [r["url"] for r in pages.relevant(df, ["key"], body_prefix=300).collect()] == ["u2"]
+
+
+def test_relevance_query_finds_words_of_bodies(spark):
+    found = catalog.QUERIES["relevance_filter"](spark, "/root/testdata/sf0.001")
+    assert found.where("NOT in_title").count() > 0
