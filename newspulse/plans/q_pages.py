@@ -82,9 +82,20 @@ REASON_SQL = f"""{BODY_SQL}, cleaned AS (SELECT *, {strip_boilerplate_sql("coale
    WHEN length(content) < 400 THEN '{fixed.REASON_SHORT_BODY}(' || length(content) || '자)' END AS reason FROM cleaned)"""
 
 
-def _routed(spark, sf):
+# All pages of the test tables have a body, so some without one are added.
+WITHOUT_BODY_SQL = """shown_pages AS (SELECT page_id, url, html FROM pages
+  UNION ALL SELECT page_id, url, '<h1>Only a title ' || page_id || '</h1>' AS html FROM pages WHERE page_id % 9 = 0)"""
+ALL_REASONS_SQL = f"""{WITHOUT_BODY_SQL}, {REASON_SQL.replace("AS html FROM pages)", "AS html FROM shown_pages)")}"""
+
+
+def _and_some_without_body(pages):
+    title = F.concat(F.lit("<h1>Only a title "), F.col("page_id").cast("string"), F.lit("</h1>"))
+    return pages.unionByName(pages.where(F.col("page_id") % 9 == 0).withColumn("html", title))
+
+
+def _routed(spark, sf, shown=lambda pages: pages):
     # The test pages are long; a higher limit makes some of them short.
-    return ops.route(ops.extract_articles(_pages(spark, sf), fx.BOILERPLATE, min_body=400), scratch_path(spark, "routed-pages"))
+    return ops.route(ops.extract_articles(shown(_pages(spark, sf)), fx.BOILERPLATE, min_body=400), scratch_path(spark, "routed-pages"))
 
 
 @query(
@@ -100,11 +111,12 @@ def accept_articles(spark, sf):
 
 @query(
     "reject_reasons",
-    f"""WITH {REASON_SQL} SELECT regexp_replace(reason, '\\(\\d+자\\)$', '') AS reason, count(*) AS n FROM judged
+    f"""WITH {ALL_REASONS_SQL} SELECT regexp_replace(reason, '\\(\\d+자\\)$', '') AS reason, count(*) AS n FROM judged
  WHERE reason IS NOT NULL GROUP BY 1""",
 )
 def reject_reasons(spark, sf):
-    return ops.count_reasons(_routed(spark, sf).rejected)
+    """All whole pages, and every ninth once more with its title alone."""
+    return ops.count_reasons(_routed(spark, sf, _and_some_without_body).rejected)
 
 
 @query(

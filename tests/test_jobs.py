@@ -129,3 +129,8 @@ def test_relevance_in_a_whole_body(spark):
 def test_relevance_query_finds_words_of_bodies(spark):
     found = catalog.QUERIES["relevance_filter"](spark, "/root/testdata/sf0.001")
     assert found.where("NOT in_title").count() > 0
+
+
+def test_reject_reasons_query_meets_both_reasons(spark):
+    found = {r.reason for r in catalog.QUERIES["reject_reasons"](spark, "/root/testdata/sf0.01").collect()}
+    assert found == {fixed.REASON_NO_BODY, fixed.REASON_SHORT_BODY}
