@@ -180,3 +180,16 @@ def test_small_parts_meet_large_shares_of_texts(spark):
     out = lexicon.table_score(rows, table, {"body": 1}, max_bytes=2)
     words = [j for j in out._jdf.queryExecution().analyzed().toString().split("\n") if "sequence(0" in j]
     assert any("sequence(0, 0" in line for line in words) and {r.score for r in out.collect()} == {120}
+
+
+def test_pieces_come_some_texts_at_a_time(spark):
+    """The pieces of a batch of 10,000 texts were held at once."""
+    import pandas as pd
+
+    entries = [("ab", "NNG", 3), ("b", "X", 2)]
+    texts = [[["abb", "xab"], [], ["b"]][i % 3] for i in range(2_000)]
+    out = list(segment._cutter(entries, segment.UNKNOWN_COST).func(iter([pd.Series(texts)])))
+    assert max(map(len, out)) <= segment.ROWS_AT_ONCE and sum(map(len, out)) == len(texts)
+    rows = [r for part in out for r in part.itertuples(index=False, name=None)]
+    want = [(["ab", "b", "x", "ab"], ["NNG", "X", "UNK", "NNG"], [0, 0, 1, 1]), ([], [], []), (["b"], ["X"], [0])]
+    assert rows == [want[i % 3] for i in range(2_000)]
