@@ -36,7 +36,7 @@ HALF = 8
 KNOWN_WORDS, LONG_WORD = 300_000, 256  # words a task remembers; bytes beyond which a word is cut
 FIRST, PAD = ROWS, ROWS + 1  # rows of the start of a text and of the space before it
 ROUNDS, BATCH, RATE = 6, 128, 0.03
-PASSES, WINDOWS_ENOUGH = 3, 1_000_000  # all windows are passed so often, as long as that makes no more than enough
+CONTEXTS, SHRINK = 256, 80  # rows whose followers are counted apart; counts that a share of followers is drawn to the mean by
 IDS_AT_ONCE = 1_000_000  # bytes of ids a task makes windows of at a time
 FREQUENT = 200_000  # words whose counts every task holds; the others are joined
 WORDS_AT_ONCE = 300_000  # distinct words a task counts before it sends them on
@@ -302,9 +302,38 @@ def slots_of_rows(before: np.ndarray) -> np.ndarray:
     return slot
 
 
+def counted_start(w: Weights, before: np.ndarray, whole: np.ndarray) -> Weights:
+    """``w`` with embeddings and outputs that tell a token from the one before it.
+
+    ``before`` has the counts (places, contexts). The log-ratios of a context's
+    classes, and members inside them, to those of all tokens are cut to DIM
+    dimensions by a singular value decomposition. Values start at zero, so
+    that attention adds to this what training finds.
+    """
+    n = before.sum(0)
+    if not n.any():
+        return w
+    by_class, classes = before.reshape(CLASSES, MEMBERS, -1).sum(1), whole.reshape(CLASSES, MEMBERS).sum(1)
+    of_class, of_member = (classes / classes.sum())[:, None], (whole / np.repeat(classes, MEMBERS))[:, None]
+    ratio = lambda c, all_c, p: np.log((c + SHRINK * p) / (all_c + SHRINK) / p)
+    ratios = np.concatenate([ratio(by_class, n, of_class), ratio(before, np.repeat(by_class, MEMBERS, axis=0), of_member)])
+    weight = np.sqrt(np.concatenate([classes, whole]) / classes.sum())[:, None]
+    share = np.sqrt(n / n.sum())
+    left, size, right = np.linalg.svd(ratios * weight * share, full_matrices=False)
+    left, size, right = left[:, :DIM], size[:DIM], right[:DIM]
+    scale = max(1e-6, float(np.sqrt((size**2).sum() / DIM)))  # embeddings have length 1 a dimension
+    emb = (right / np.maximum(share, 1e-9)).T * size / scale
+    out = left / weight * scale
+    emb = emb[np.minimum(np.arange(ROWS + 2), len(n) - 1)]
+    f = lambda x: np.ascontiguousarray(x, np.float32)
+    return w._replace(emb=f(emb), out=f(out[:CLASSES].T), member=f(out[CLASSES:]), value=np.zeros_like(w.value))
+
+
 def fit(gathered: DataFrame, seed: int = 0) -> tuple[Weights, Vocabulary]:
     """Weights and vocabulary from what ``gather`` brought.
 
+    Every window trains the weights once, in a corpus of any size.
+
     The driver sees sums over all tasks only: counts per id, counts per pair
     of frequent rows, and averaged weights in blocks.
     """
@@ -313,8 +342,7 @@ def fit(gathered: DataFrame, seed: int = 0) -> tuple[Weights, Vocabulary]:
         counts[r.key] = r.n
     row = rows_by_count(counts)
     windows = gathered.where((F.col("kind") == WINDOWS) & (F.col("n") > 0)).select("key", "n", "ids")
-    contexts = 256
-    row_b = sc.broadcast(row)
+    contexts, row_b = CONTEXTS, sc.broadcast(row)
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, row = np.zeros(ROWS * contexts, np.int64), row_b.value
@@ -329,7 +357,9 @@ def fit(gathered: DataFrame, seed: int = 0) -> tuple[Weights, Vocabulary]:
     before = np.zeros(ROWS * contexts)
     for r in windows.mapInPandas(pairs, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         before[r.cell] = r.n
-    slot = slots_of_rows(before.reshape(ROWS, contexts))[row]
+    before = before.reshape(ROWS, contexts)
+    place = slots_of_rows(before)
+    slot = place[row]
     mass = counts + 0.1
     whole = np.bincount(slot, mass, ROWS)
     vocabulary = Vocabulary(row, slot, np.log10(mass / whole[slot]))
@@ -340,11 +370,9 @@ def fit(gathered: DataFrame, seed: int = 0) -> tuple[Weights, Vocabulary]:
     w = Weights(
         draw(ROWS + 2, DIM), draw(DIM, DIM), draw(DIM, DIM), draw(DIM, DIM), np.zeros(2 * HALF, np.float32), draw(DIM, CLASSES),
         log(classes / classes.sum()), draw(ROWS, DIM), log(np.maximum(whole, 1e-3) / np.repeat(classes, MEMBERS)))
-    total = windows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # Every window trains the weights; those of a small corpus do so again and again.
-    rounds = ROUNDS * max(1, min(PASSES, WINDOWS_ENOUGH // max(1, total)))
-    for r in range(rounds):
-        w = _round(windows.where(F.pmod("key", F.lit(ROUNDS)) == r % ROUNDS), w, row, slot, RATE * (1 - r / rounds))
+    w = counted_start(w, before[np.argsort(place)], whole)
+    for r in range(ROUNDS):
+        w = _round(windows.where(F.pmod("key", F.lit(ROUNDS)) == r), w, row, slot, RATE * (1 - r / ROUNDS))
     return w, vocabulary
 
 

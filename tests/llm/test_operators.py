@@ -144,6 +144,29 @@ def test_model_is_near_counted_words_on_held_out_rows(spark):
 
 
 
+def test_every_window_trains_once_at_every_size(spark, monkeypatch):
+    trained = []
+    monkeypatch.setattr(lm, "_round", lambda windows, w, *_: trained.extend(windows.select("key", "n").collect()) or w)
+    for n in (1, 400_000):  # windows that a text says it has
+        rows = [(lm.ID, 5, None, 9, None)] + [(lm.WINDOWS, k, None, n, np.arange(9, dtype=np.uint16).tobytes()) for k in range(20)]
+        trained.clear()
+        lm.fit(spark.createDataFrame(rows, lm.GATHERED))
+        assert sorted(r.key for r in trained) == list(range(20))
+
+
+def test_training_starts_from_counted_followers(spark):
+    ids = [np.tile([7, 9, 11, 13], 50).astype(np.uint16), np.tile([9, 7, 13, 11], 50).astype(np.uint16)]
+    rows = [(lm.ID, k, None, 100, None) for k in (7, 9, 11, 13)] + [(lm.WINDOWS, 1, None, 25, x.tobytes()) for x in ids]
+    old, lm.ROUNDS = lm.ROUNDS, 0
+    try:
+        w, v = lm.fit(spark.createDataFrame(rows, lm.GATHERED))
+    finally:
+        lm.ROUNDS = old
+    m = lm._matrix([ids[0].tobytes()])
+    got = lm.Scorer(w, v).log10(m, np.zeros(m.shape[1], int), 1)[0]
+    assert got > 0.95 * 200 * np.log10(0.25)  # the four ids are told better than without context
+
+
 def test_tokenizer_pieces_give_back_the_words():
     tokenizer = lm.Tokenizer(open(lm.VOCABULARY, "rb").read())
     pieces = {int(n): p for p, n in ((lm.base64.b64decode(a), b) for a, b in map(bytes.split, open(lm.VOCABULARY, "rb")))}
