@@ -5,8 +5,11 @@ Operators take a table with one row per document and an array of tokens.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,9 @@ from newspulse.operators.rows import exploded
 from newspulse.session import settle
 from newspulse.operators.ranking import expand_ranks, rank_ranges, running_totals, top_k_per_group
 
+TOKENS_AT_ONCE = 4_000_000  # tokens of rows whose pairs a task tells apart at a time
+ROWS_AT_ONCE = 100_000  # terms a task sends on at a time
+
 
 def word_counts(docs: DataFrame, tokens: Column | str = "tokens") -> DataFrame:
     return exploded(docs, array=tokens, name="word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -24,26 +30,52 @@ def top_words(counts: DataFrame, n: int = 30) -> DataFrame:
     return counts.orderBy(F.desc("n"), F.asc("word")).limit(n)
 
 
-def corpus_stats(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """Documents, tokens, distinct words and distinct bigrams from one scan."""
+def _terms(docs: DataFrame, tokens: str) -> DataFrame:
+    """(term, n): each word and bigram once per batch of rows, and the batch's rows and tokens.
 
-    def tagged(kind: str, terms: Column) -> Column:
-        return F.transform(terms, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
+    The first letter of a term tells documents (d), tokens (t), words (w) and
+    bigrams (b); n is 0 for the last two.
+    """
 
-    everything = F.concat(
-        tagged("document", F.array(F.lit(""))), tagged("word", F.col(tokens)), tagged("bigram", text.ngrams(tokens))
-    )
-    per_term = (
-        exploded(docs, array=everything, name="x")
-        .groupBy("x.kind", "x.term")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    when = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"term": ["d", "t"], "n": pa.array([len(size), size.sum()], pa.int64())})
+            for part in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) // TOKENS_AT_ONCE)) + 1):
+                if len(part):
+                    flat = lists.slice(part[0], len(part)).flatten().dictionary_encode()
+                    words, at = flat.dictionary, flat.indices.to_numpy().astype(np.int64)
+                    followed = np.ones(len(at), bool)
+                    followed[np.cumsum(size[part][size[part] > 0]) - 1] = False  # the last token of a row
+                    first = np.flatnonzero(followed)
+                    pairs = np.unique(at[first] * max(1, len(words)) + at[first + 1])
+                    left, right = (words.take(pa.array(x)) for x in divmod(pairs, max(1, len(words))))
+                    for terms in (
+                        pc.binary_join_element_wise("w", words, ""),
+                        pc.binary_join_element_wise(pc.binary_join_element_wise("b", left, ""), right, " "),
+                    ):
+                        for k in range(0, len(terms), ROWS_AT_ONCE):
+                            some = terms.slice(k, ROWS_AT_ONCE)
+                            yield pa.RecordBatch.from_arrays([some, pa.array(np.zeros(len(some), np.int64))], ["term", "n"])
+
+    return docs.select(tokens).mapInArrow(run, "term string, n long")
+
+
+def corpus_stats(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """Documents, tokens, distinct words and distinct bigrams from one scan.
+
+    Tokens are numbered inside a task, so that pairs are told apart as whole
+    numbers and only the different ones of a batch are made strings and shuffled.
+    """
+    per_term = _terms(docs, tokens).groupBy("term").agg(F.sum("n").alias("n"))
+    kind = F.substring("term", 1, 1)
+    when = lambda k, value: F.coalesce(F.sum(F.when(kind == k, value)), F.lit(0))
     return per_term.agg(
-        when("document", F.col("n")).alias("documents"),
-        when("word", F.col("n")).alias("tokens"),
-        when("word", F.lit(1)).alias("distinct_words"),
-        when("bigram", F.lit(1)).alias("distinct_bigrams"),
+        when("d", F.col("n")).alias("documents"),
+        when("t", F.col("n")).alias("tokens"),
+        when("w", F.lit(1)).alias("distinct_words"),
+        when("b", F.lit(1)).alias("distinct_bigrams"),
     )
 
 
