@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, repeat
 from typing import NamedTuple
 
@@ -122,107 +122,151 @@ def windows_of(ids: np.ndarray) -> np.ndarray:
 
 
 def _rows(ids: np.ndarray, row: np.ndarray) -> np.ndarray:
-    return np.where(ids >= 0, row[ids], np.where(ids == -2, FIRST, PAD))
+    return np.concatenate([row, np.array([FIRST, PAD], row.dtype)])[ids]  # -2 is the start, -1 the space
 
 
-def forward(w: Weights, rows: np.ndarray) -> tuple:
-    """Class log-probabilities (HALF, CLASSES, windows) after each asked input, and what led to them.
+def _softened(z: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+    """``z`` plus ``mask``, in place, shifted by row if its exponentials could leave their range."""
+    far = z.size and not -60 < z.min() <= z.max() < 60
+    if mask is not None:
+        z += mask
+    if far:
+        z -= z.max(-1, keepdims=True)
+    return z
+
+
+def _sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[-1], z.dtype)
+
+
+class Tables(NamedTuple):
+    """What the attention reads of every row, and by how much a position sees another."""
+
+    asked: np.ndarray  # embedding and query
+    read: np.ndarray  # key and value
+    near: np.ndarray  # (HALF, 2 * HALF); what stands after a position is masked
+
+
+def _before() -> np.ndarray:
+    """(HALF, 2 * HALF): how far each position stands before an asked one."""
+    return HALF + np.arange(HALF)[:, None] - np.arange(2 * HALF)
+
+
+def tables_of(w: Weights) -> Tables:
+    far = _before()
+    query = w.query / np.sqrt(DIM).astype(w.query.dtype)
+    return Tables(
+        np.concatenate([w.emb, w.emb @ query], axis=1), w.emb @ np.concatenate([w.key, w.value], axis=1),
+        np.where(far >= 0, w.near[far], w.near.dtype.type(-1e9)))
+
+
+def states(tables: Tables, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """State after each asked input (windows, HALF, DIM), and the rows, queries, keys, values and attention behind it.
 
     ``rows`` is (2 * HALF, windows). Attention is masked: a position sees
     itself and what stands before it, never the space before the text.
     """
-    width, n = DIM, rows.shape[1]
-    x = np.ascontiguousarray(w.emb[rows].transpose(0, 2, 1))  # position, dimension, window
-    k, v = np.matmul(w.key.T, x), np.matmul(w.value.T, x)
-    q = np.matmul(w.query.T / np.sqrt(width).astype(np.float32), x[HALF:])
-    mask = np.where(rows == PAD, np.float32(-1e9), np.float32(0))
-    logp, held = np.empty((HALF, CLASSES, n), np.float32), []
-    for i in range(HALF):
-        j = HALF + i + 1
-        s = (k[:j] * q[i]).sum(1) + w.near[j - 1 :: -1][:j, None] + mask[:j]
-        s -= s.max(0)
-        np.exp(s, out=s)
-        s /= s.sum(0)
-        h = x[HALF + i] + (s[:, None] * v[:j]).sum(0)
-        z = w.out.T @ h + w.bias[:, None]
-        z -= z.max(0)
-        z -= np.log(np.exp(z).sum(0))
-        logp[i] = z
-        held.append((s, h))
-    return logp, x, k, v, q, held
-
-
-def _by_class(c: np.ndarray) -> Iterator[tuple[int, np.ndarray, slice]]:
-    """(class, its places in ``c``, its members) of every class that occurs."""
-    order = np.argsort(c, kind="stable")
-    cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    for k in np.flatnonzero(np.diff(cuts)).tolist():
-        yield k, order[cuts[k] : cuts[k + 1]], slice(k * MEMBERS, (k + 1) * MEMBERS)
+    at = np.ascontiguousarray(rows.T)
+    asked, read = np.take(tables.asked, at[:, HALF:], axis=0), np.take(tables.read, at, axis=0)
+    own, q, k, v = asked[..., :DIM], asked[..., DIM:], read[..., :DIM], read[..., DIM:]
+    s = np.matmul(q, k.transpose(0, 2, 1))
+    mask = np.where(at == PAD, s.dtype.type(-1e9), s.dtype.type(0))[:, None] + tables.near
+    np.exp(_softened(s, mask), out=s)
+    s /= _sums(s)[..., None]
+    return np.matmul(s, v) + own, at, q, k, v, s
+
+
+def forward(w: Weights, rows: np.ndarray) -> tuple:
+    """Class log-probabilities (HALF, CLASSES, windows) after each asked input."""
+    z = _softened(states(tables_of(w), rows)[0] @ w.out + w.bias)
+    z -= np.log(_sums(np.exp(z)))[..., None]
+    return (z.transpose(1, 2, 0),)
+
+
+def _chosen(z: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of ``z``, in place, their sums, and the log-probability of the wanted one."""
+    logit = _softened(z)[np.arange(len(z)), wanted]
+    whole = _sums(np.exp(z, out=z))
+    return whole, logit - np.log(whole)
+
+
+def _members(w: Weights, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+    """States sorted by class, the order, (from, to, members) of each class that occurs, and the members' logits.
+
+    Members of a class together: one product for all that want it.
+    """
+    order = np.argsort(c.astype(np.uint8 if CLASSES <= 256 else np.uint16), kind="stable")
+    sorted_c, sorted_h = c[order], np.take(h, order, axis=0)
+    cuts = np.searchsorted(sorted_c, np.arange(CLASSES + 1)).tolist()
+    parts = [(a, b, slice(k * MEMBERS, (k + 1) * MEMBERS)) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+    z, turned = np.empty((len(c), MEMBERS), h.dtype), np.ascontiguousarray(w.member.T)
+    for a, b, own in parts:
+        np.matmul(sorted_h[a:b], turned[:, own], out=z[a:b])
+    z += np.take(w.member_bias.reshape(CLASSES, MEMBERS), sorted_c, axis=0)
+    return sorted_h, order, parts, z
 
 
 def gradient(w: Weights, rows: np.ndarray, slots: np.ndarray) -> tuple[Weights, float]:
     """Gradient of the mean negative log-probability of ``slots`` (HALF, windows; -1: none)."""
-    logp, x, k, v, q, held = forward(w, rows)
+    state, at, q, k, v, s = states(tables_of(w), rows)
+    slots = slots.T.ravel()
     valid = slots >= 0
     count, (c, m) = max(1, int(valid.sum())), divmod(np.maximum(slots, 0), MEMBERS)
-    share = valid.astype(np.float32) / np.float32(count)
-    columns = np.arange(rows.shape[1])
-    loss = -float((np.take_along_axis(logp, c[:, None], 1)[:, 0] * valid).sum())
-    # Members: the states of all positions, one product for all that have the same class.
-    h = np.stack([state for _, state in held]).transpose(0, 2, 1).reshape(-1, DIM)
-    inner, wanted, weight = np.empty_like(h), m.ravel(), share.ravel()
-    d_member, d_mbias = np.zeros_like(w.member), np.zeros_like(w.member_bias)
-    for _, at, own in _by_class(c.ravel()):
-        z = h[at] @ w.member[own].T + w.member_bias[own]
-        z -= z.max(1, keepdims=True)
-        chosen = z[np.arange(len(at)), wanted[at]]
-        np.exp(z, out=z)
-        whole = z.sum(1)
-        loss -= float(((chosen - np.log(whole)) * (weight[at] > 0)).sum())
-        z *= (weight[at] / whole)[:, None]
-        z[np.arange(len(at)), wanted[at]] -= weight[at]
-        d_member[own], d_mbias[own], inner[at] = z.T @ h[at], z.sum(0), z @ w.member[own]
-    inner = inner.reshape(HALF, -1, DIM).transpose(0, 2, 1)
-    dx, dk, dv, dq = np.zeros_like(x), np.zeros_like(k), np.zeros_like(v), np.zeros_like(q)
-    d_out, d_bias, d_near = np.zeros_like(w.out), np.zeros_like(w.bias), np.zeros_like(w.near)
-    for i in range(HALF):
-        j, (s, state) = HALF + i + 1, held[i]
-        dz = np.exp(logp[i])
-        dz[c[i], columns] -= 1
-        dz *= share[i]
-        d_out += state @ dz.T
-        d_bias += dz.sum(1)
-        dh = w.out @ dz + inner[i]
-        dx[HALF + i] += dh
-        dv[:j] += s[:, None, :] * dh
-        ds = np.einsum("jdb,db->jb", v[:j], dh)
-        ds = s * (ds - (s * ds).sum(0))
-        dq[i] = np.einsum("jdb,jb->db", k[:j], ds)
-        dk[:j] += ds[:, None, :] * q[i]
-        d_near[j - 1 :: -1][:j] += ds.sum(1)
-    dq /= np.sqrt(DIM).astype(np.float32)
-    outer = lambda a, b: np.matmul(a, b.transpose(0, 2, 1)).sum(0)
-    d_query, d_key, d_value = outer(x[HALF:], dq), outer(x, dk), outer(x, dv)
-    dx += np.matmul(w.key, dk) + np.matmul(w.value, dv)
-    dx[HALF:] += np.matmul(w.query, dq)
-    # Rows: sums over runs of equal ones.
-    d_emb, flat = np.zeros_like(w.emb), rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    start = np.flatnonzero(np.diff(flat[order], prepend=-1))
-    d_emb[flat[order[start]]] = np.add.reduceat(dx.transpose(0, 2, 1).reshape(-1, DIM)[order], start, axis=0)
+    share, h, each = valid.astype(np.float32) / np.float32(count), state.reshape(-1, DIM), np.arange(len(slots))
+    z = h @ w.out
+    z += w.bias
+    whole, logp = _chosen(z, c)
+    loss = -float((logp * valid).sum())
+    z *= (share / whole)[:, None]
+    z[each, c] -= share
+    d_out, d_bias, dh = h.T @ z, np.ones(len(z), z.dtype) @ z, z @ w.out.T
+    h, order, parts, z = _members(w, h, c)
+    wanted, weight = m[order], share[order]
+    whole, logp = _chosen(z, wanted)
+    loss -= float((logp * valid[order]).sum())
+    z *= (weight / whole)[:, None]
+    z[each, wanted] -= weight
+    d_both, inner = np.zeros((ROWS, DIM + 1), h.dtype), np.empty_like(h)
+    turned, with_one = np.ascontiguousarray(z.T), np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)
+    for a, b, own in parts:
+        np.matmul(turned[:, a:b], with_one[a:b], out=d_both[own])
+        np.matmul(z[a:b], w.member[own], out=inner[a:b])
+    d_member, d_mbias = d_both[:, :DIM], d_both[:, DIM]
+    dh[order] += inner
+    dh = dh.reshape(-1, HALF, DIM)
+    ds = np.matmul(dh, v.transpose(0, 2, 1))
+    ds -= _sums(s * ds)[..., None]
+    ds *= s
+    dq = np.matmul(ds, k).reshape(-1, DIM) / np.sqrt(DIM).astype(np.float32)
+    d_read = np.concatenate([np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), dh)], axis=2).reshape(-1, 2 * DIM)
+    far, x = _before(), np.take(w.emb, at, axis=0)
+    d_near = np.bincount(far[far >= 0], ds.sum(0)[far >= 0], 2 * HALF).astype(w.near.dtype)
+    dx = (d_read @ np.concatenate([w.key, w.value], axis=1).T).reshape(-1, 2 * HALF, DIM)
+    dx[:, HALF:] += dh + (dq @ w.query.T).reshape(dh.shape)
+    cells = (at.astype(np.int64) * DIM)[..., None] + np.arange(DIM)
+    d_emb = np.bincount(cells.ravel(), dx.ravel(), w.emb.size).astype(w.emb.dtype).reshape(w.emb.shape)
+    d_query, d_read = x[:, HALF:].reshape(-1, DIM).T @ dq, x.reshape(-1, DIM).T @ d_read
+    d_key, d_value = d_read[:, :DIM], d_read[:, DIM:]
     return Weights(d_emb, d_query, d_key, d_value, d_near, d_out, d_bias, d_member, d_mbias), loss / count
 
 
-def local_steps(w: Weights, batches: list[tuple[np.ndarray, np.ndarray]], rate: float = RATE) -> Weights:
+def local_steps(w: Weights, batches: Iterable[tuple[np.ndarray, np.ndarray]], rate: float = RATE) -> Weights:
     """The weights after one step with adaptive rates for each batch."""
     flat = w.flat()
-    mean, square = np.zeros_like(flat), np.zeros_like(flat)
+    mean, square, part = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
     for t, (rows, slots) in enumerate(batches, 1):
         g = gradient(w.like(flat), rows, slots)[0].flat()
-        mean += 0.1 * (g - mean)
-        square += 0.01 * (g * g - square)
-        flat = flat - rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-7)
-    return w.like(flat.astype(np.float32))
+        mean *= 0.9
+        mean += np.multiply(g, 0.1, out=part)
+        square *= 0.99
+        g *= g
+        square += np.multiply(g, 0.01, out=part)
+        np.sqrt(square, out=part)
+        part += 1e-7 * (1 - 0.99**t) ** 0.5
+        np.divide(mean, part, out=part)
+        part *= rate * (1 - 0.99**t) ** 0.5 / (1 - 0.9**t)
+        flat -= part
+    return w.like(flat)
 
 
 GATHERED = "kind int, key long, word binary, n long, ids binary"
@@ -404,53 +448,20 @@ def _round(windows: DataFrame, w: Weights, row: np.ndarray, slot: np.ndarray, ra
 
 
 class Scorer:
-    """Log-probabilities of targets for fixed weights, with tables by row and fixed buffers."""
+    """Log-probabilities of targets for fixed weights."""
 
     def __init__(self, w: Weights, v: Vocabulary, width: int = 512):
-        self.w, self.v, self.width = w, v, width
-        table = lambda m: np.ascontiguousarray((w.emb @ m).T)
-        self.key, self.value, self.own = table(w.key), table(w.value), np.ascontiguousarray(w.emb.T)
-        self.query = table(w.query / np.sqrt(DIM).astype(np.float32))
-        self.out = np.ascontiguousarray(w.out.T)
-        self.near = np.ascontiguousarray(w.near[::-1])[:, None]
-        self.keys, self.values, self.part = (np.empty((2 * HALF, DIM, width), np.float32) for _ in range(3))
-        self.logits, self.states = np.empty((CLASSES, width), np.float32), np.empty((HALF, width, DIM), np.float32)
+        self.w, self.v, self.width, self.tables = w, v, width, tables_of(w)
 
     def slots(self, rows: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """Log-probabilities of ``slots`` (HALF, windows): of their classes, and inside them."""
-        n, (wanted, inside) = rows.shape[1], divmod(slots, MEMBERS)
-        k, v, part, z = self.keys[:, :, :n], self.values[:, :, :n], self.part[:, :, :n], self.logits[:, :n]
-        for j in range(2 * HALF):
-            k[j], v[j] = self.key[:, rows[j]], self.value[:, rows[j]]
-        mask = np.where(rows == PAD, np.float32(-1e9), np.float32(0))
-        out, column = np.empty((HALF, n), np.float32), np.arange(n)
-        for i in range(HALF):
-            j, row = HALF + i + 1, rows[HALF + i]
-            s = np.einsum("jdb,db->jb", k[:j], self.query[:, row])
-            s += self.near[2 * HALF - j :]
-            s += mask[:j]
-            s -= s.max(0)
-            np.exp(s, out=s)
-            h = np.add.reduce(np.multiply(v[:j], s[:, None], out=part[:j]), axis=0)
-            h /= s.sum(0)
-            h += self.own[:, row]
-            self.states[i, :n] = h.T
-            np.matmul(self.out, h, out=z)
-            z += self.w.bias[:, None]
-            z -= z.max(0)
-            chosen = z[wanted[i], column]
-            np.exp(z, out=z)
-            out[i] = chosen - np.log(z.sum(0))
-        # Members of a class together: one product for all that want it.
-        states, flat, c, m = self.states[:, :n].reshape(-1, DIM), out.reshape(-1), wanted.reshape(-1), inside.reshape(-1)
-        for _, at, own in _by_class(c):
-            z = states[at] @ self.w.member[own].T
-            z += self.w.member_bias[own]
-            z -= z.max(1, keepdims=True)
-            chosen = z[np.arange(len(at)), m[at]]
-            np.exp(z, out=z)
-            flat[at] += chosen - np.log(z.sum(1))
-        return out
+        h, (c, m) = states(self.tables, rows)[0].reshape(-1, DIM), divmod(slots.T.ravel(), MEMBERS)
+        z = h @ self.w.out
+        z += self.w.bias
+        out = _chosen(z, c)[1]
+        _, order, _, z = _members(self.w, h, c)
+        out[order] += _chosen(z, m[order])[1]
+        return out.reshape(-1, HALF).T
 
     def log10(self, windows: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
         """log10 probability of each text from its windows (3 * HALF, n)."""

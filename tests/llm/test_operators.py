@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import timeit
 import zlib
 
 import numpy as np
@@ -217,6 +218,28 @@ def test_attention_gradient_and_mask():
     assert np.allclose(np.exp(logp).sum(1), 1, atol=1e-4)
 
 
+def test_training_step_costs_few_plain_passes():
+    rng, n, least = np.random.default_rng(2), 128, lambda f: min(timeit.repeat(f, number=1, repeat=40))
+    shapes = [(lm.ROWS + 2, lm.DIM), *[(lm.DIM, lm.DIM)] * 3, (2 * lm.HALF,), (lm.DIM, lm.CLASSES), (lm.CLASSES,), (lm.ROWS, lm.DIM), (lm.ROWS,)]
+    w = lm.Weights(*((rng.standard_normal(s) * 0.3).astype(np.float32) for s in shapes))
+    rows, slots = rng.integers(0, 600, (2 * lm.HALF, n)), rng.integers(0, 600, (lm.HALF, n))
+
+    def plain(w):
+        x, out = w.emb[rows].transpose(0, 2, 1), []
+        k, v, q = (np.matmul(m.T, x) for m in (w.key, w.value, w.query))
+        for j in range(lm.HALF, 2 * lm.HALF):
+            s = (k[: j + 1] * q[j]).sum(1) / np.float32(lm.DIM**0.5) + w.near[j::-1][: j + 1, None]
+            s = np.exp(s - s.max(0))
+            z = w.out.T @ (x[j] + (s[:, None] * v[: j + 1]).sum(0) / s.sum(0)) + w.bias[:, None]
+            out.append(z - z.max(0) - np.log(np.exp(z - z.max(0)).sum(0)))
+        return np.stack(out)
+
+    assert np.allclose(lm.forward(w, rows)[0], plain(w), atol=1e-4)
+    far = w._replace(out=w.out * 300, query=w.query * 300)  # exponentials that leave their range
+    assert np.allclose(lm.forward(far, rows)[0], plain(far), rtol=1e-3, atol=1e-1)
+    assert least(lambda: lm.gradient(w, rows, slots)) < 3.2 * least(lambda: plain(w))
+
+
 def test_dedup_checks_bytes_of_colliding_digests(spark, tmp_path):
     rows = [(1, "aa"), (2, "ab"), (3, "aa"), (4, None), (5, ""), (6, "b"), (7, "ab"), (8, "ac")]
     for part in range(2):
