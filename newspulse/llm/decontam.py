@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -39,6 +40,7 @@ MIN_WORDS = 6  # items of fewer words have to stand in the text as they are
 SMALL, GATE_STEPS = 64, 16  # items up to SMALL words are sought together; so many of their sizes of text at a time
 RARE_HITS = 4  # words that a leak must have of an item's rarest ones
 ITEMS_AT_ONCE = 20_000  # passages searched in one pass over the documents
+ENTRIES_AT_ONCE = 2_000_000  # rare words of some texts, with the items that have them, that are counted together
 
 
 #: Letters and digits, A-Z lower-cased, bytes of other scripts as they are; all else is a gap.
@@ -50,9 +52,9 @@ def words_of(text: str | None) -> list[bytes]:
     return utf8(text).translate(_WORD).split()
 
 
-def features_of(words) -> np.ndarray:
-    """The feature of every word."""
-    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % FEATURES
+def features_of(words, size: int | None = None) -> np.ndarray:
+    """The feature of every word; ``size`` is their number where they have no length."""
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words) if size is None else size) % FEATURES
 
 
 def document_frequencies(docs: DataFrame) -> np.ndarray:
@@ -62,7 +64,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         seen = np.zeros(FEATURES + 1, dtype=np.int64)
         for frame in slices(frames, "text", 4_000_000):
             for text in frame["text"]:
-                seen[np.unique(features_of(set(words_of(text))))] += 1
+                seen[features_of(set(words_of(text)))] += 1  # one assignment, so a feature of two words counts once
                 seen[FEATURES] += 1
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"feature": at, "n": seen[at]})
@@ -185,11 +187,14 @@ class Item:
         for i, w in enumerate(words):
             self.masks[w] = self.masks.get(w, 0) | 1 << i
         self.counts = {w: mask.bit_count() for w, mask in self.masks.items()}
+        self.words = frozenset(self.masks)
 
     def common(self, region: list[bytes], least: float = 0) -> int:
         """Length of the longest common subsequence with ``region``; 0 if surely below ``least``."""
-        if least and sum(self.counts[w] for w in self.counts.keys() & set(region)) < least:
-            return 0
+        if least:
+            shared = self.words.intersection(region)
+            if self.size - len(self.words) + len(shared) < least or sum(map(self.counts.__getitem__, shared)) < least:
+                return 0
         held = [m for m in map(self.masks.get, region) if m]
         full = row = (1 << self.size) - 1
         for m in held:
@@ -267,6 +272,22 @@ def _possible(shared: np.ndarray, answer: np.ndarray, least: np.ndarray) -> np.n
     return (shared >= same) | ((shared >= paraphrase) & (answer >= whole))
 
 
+def _texts_of(gate: Gate, at: np.ndarray, first: np.ndarray) -> list[int]:
+    """Of texts whose words' rows are in ``at`` from ``first`` on, those with enough rare words of an item of the gate."""
+    filled = np.append(np.diff(gate.starts) > 0, False)  # the last one is that of words of no item
+    hits = np.flatnonzero(filled[at])
+    text, row = divmod(np.unique((np.searchsorted(first, hits, side="right") - 1) * len(filled) + at[hits]), len(filled))
+    begin = gate.starts[row]
+    n = gate.starts[row + 1] - begin
+    ends = np.cumsum(n)
+    if not len(ends) or ends[-1] > ENTRIES_AT_ONCE:
+        return np.unique(text).tolist()
+    entries = np.repeat(begin - ends + n, n) + np.arange(ends[-1])
+    pair, which = np.unique(np.repeat(text, n) * len(gate.first) + gate.items[entries], return_inverse=True)
+    text, item = divmod(pair, len(gate.first))
+    return np.unique(text[np.bincount(which, gate.counts[entries]) >= gate.first[item]]).tolist()
+
+
 def _by_words(at: np.ndarray, gate: Gate, checks: list[tuple]) -> Iterator[tuple[int, int]]:
     """(first word, item) of every longest window around which enough words of an item of the gate stand.
 
@@ -358,8 +379,8 @@ def _leaks(rows: DataFrame, items: DataFrame, rank: int = RANK, cosine: float =
 class Latent(NamedTuple):
     """Items that are sought by the cosine of their passages."""
 
-    space: np.ndarray  # rows of the latent space times idf, by place
-    wanted: np.ndarray  # (rank, passages): images over their squared length
+    space: np.ndarray  # rows of the latent space times idf, by place, then one of zeros for words of no passage
+    wanted: np.ndarray | None  # (rank, passages): images over their squared length; none if already in the space
     length: np.ndarray  # of the passages, before they were brought to length one
     owner: np.ndarray  # item of each passage
 
@@ -382,9 +403,11 @@ def routes_of(checks: list[tuple], idf, features, space) -> tuple[Latent, list[i
         owner += [k] * len(own)
     images = np.array(images, np.float32).reshape(-1, space.shape[1])
     size = np.linalg.norm(images, axis=1)
-    return Latent(
-        space * idf[features][:, None], (images / np.maximum(size, 1e-9)[:, None] ** 2).T.copy(), np.array(length),
-        np.array(owner, dtype=np.int64)), rest
+    wanted = (images / np.maximum(size, 1e-9)[:, None] ** 2).T.copy()
+    rows = np.concatenate([space * idf[features][:, None], np.zeros((1, space.shape[1]), np.float32)])
+    if len(images) <= space.shape[1]:  # a word's share in the cosine with every passage takes no more room
+        rows, wanted = rows @ wanted, None
+    return Latent(rows, wanted, np.array(length), np.array(owner, dtype=np.int64)), rest
 
 
 def _search(docs: DataFrame, items: DataFrame, idf, features, space, cosine: float, exact: bool) -> DataFrame:
@@ -404,11 +427,9 @@ def _search(docs: DataFrame, items: DataFrame, idf, features, space, cosine: flo
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames, "text", 500_000):
-            out = []
-            for at, text in zip(frame[key], frame["text"], strict=True):
-                words = words_of(text)
-                if words:
-                    out += [(at, *hit) for hit in of_document(words, *held.value, cosine)]
+            texts = [(at, words) for at, text in zip(frame[key], frame["text"], strict=True) if (words := words_of(text))]
+            hits = of_documents([words for _, words in texts], *held.value, cosine) if texts else []
+            out = [(texts[i][0], *hit) for i, hit in hits]
             found = pd.DataFrame(out, columns=[key, *(c.split()[0] for c in SCHEMA.split(", "))])
             if kind == "bigint":
                 found[key] = found[key].astype("Int64")
@@ -417,61 +438,71 @@ def _search(docs: DataFrame, items: DataFrame, idf, features, space, cosine: flo
     return docs.mapInPandas(search, f"{key} {kind}, {SCHEMA}")
 
 
-def of_document(words, latent: Latent, place, idf, checks, rest, gates, cosine: float) -> list[tuple]:
-    """The leaks of one text, by the order of the items."""
-    ids = features_of(words)
+def of_documents(texts, latent: Latent, place, idf, checks, rest, gates, cosine: float) -> list[tuple[int, tuple]]:
+    """The leaks of some texts with words, as (number of the text, leak), by the order of the items."""
+    sizes = np.array([len(words) for words in texts])
+    first = np.cumsum(sizes) - sizes
+    ids = features_of(chain.from_iterable(texts), int(sizes.sum()))
     at = place[ids]
-    best: dict[int, tuple] = {}
+    best: dict[int, dict[int, tuple]] = {}
     seen = set()
-    for start, scale, which, near in _by_images(at, idf[ids], latent, cosine):
+    for text, start, scale, which, near in _by_images(at, idf[ids], sizes, latent, cosine):
         # A window inside one that was checked has nothing more.
-        if not any((which, start - k) in seen for k in range(SCALES[-1] - scale + 1)):
+        if not any((text, which, start - k) in seen for k in range(SCALES[-1] - scale + 1)):
             if scale == SCALES[-1]:
-                seen.add((which, start))
-            _check(words, start * BLOCK, scale * BLOCK, which, near, checks, best)
+                seen.add((text, which, start))
+            _check(texts[text], start * BLOCK, scale * BLOCK, which, near, checks, best.setdefault(text, {}))
     known = [(None, checks[k][1]) for k in rest]
     for gate in gates:
-        for start, which in _by_words(at, gate, known):
-            _check(words, start, SCALES[-1] * BLOCK, rest[which], None, checks, best)
-    return [hit for _, hit in sorted(best.items())]
+        for text in _texts_of(gate, at, first):
+            for start, which in _by_words(at[first[text] : first[text] + sizes[text]], gate, known):
+                _check(texts[text], start, SCALES[-1] * BLOCK, rest[which], None, checks, best.setdefault(text, {}))
+    return [(text, hit) for text, own in sorted(best.items()) for _, hit in sorted(own.items())]
 
 
-def _by_images(at: np.ndarray, weight: np.ndarray, latent: Latent, cosine: float) -> Iterator[tuple[int, int, int, float]]:
-    """(first block, blocks, item, cosine) of every window near a passage, long windows first.
+def _by_images(at: np.ndarray, weight: np.ndarray, sizes: np.ndarray, latent: Latent, cosine: float) -> Iterator[tuple]:
+    """(text, first block, blocks, item, cosine) of every window near a passage, by text, long windows first.
 
+    ``at`` and ``weight`` have the rows and weights of the words of all texts.
     A window has the length of its words that stand in any passage, as others
     are no part of the space, but at least BARE of the passage's length.
     """
-    starts = -(-len(at) // BLOCK)
-    inside = np.flatnonzero(at >= 0)
-    if not len(inside) or not len(latent.owner):
+    passages = len(latent.owner)
+    if not passages or not (at >= 0).any():
         return
-    more = SCALES[-1] - 1  # empty blocks at the end, so that windows start in every block
-    sums, norms = np.zeros((starts + more, latent.space.shape[1]), np.float32), np.zeros(starts + more)
-    for a in range(0, len(inside), BLOCK * 1024):  # a long text in pieces
-        some = inside[a : a + BLOCK * 1024]
-        block = some // BLOCK
-        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        sums[block[first]] += np.add.reduceat(latent.space[at[some]], first, axis=0)
-        norms[block[first]] += np.add.reduceat(weight[some].astype(np.float64) ** 2, first)
+    more = SCALES[-1] - 1  # empty blocks after each text, so that windows start in every block and hold one text
+    own = -(-sizes // BLOCK)
+    lead = np.cumsum(own + more) - own - more
+    starts = int(lead[-1] + own[-1])
+    cells = np.arange(len(at)) + np.repeat(lead * BLOCK - np.cumsum(sizes) + sizes, sizes)
+    grid = np.full((starts + more, BLOCK), -1, np.int32)
+    grid.reshape(-1)[cells] = at
+    norms = np.bincount(cells // BLOCK, np.where(at >= 0, weight.astype(np.float64) ** 2, 0), starts + more)
+    opens = np.arange(starts) - np.repeat(lead, own + more)[:starts] < np.repeat(own, own + more)[:starts]
     shortest = BARE * latent.length.min()
-    rows = max(1, 4_000_000 // latent.wanted.shape[1])
+    rows, found = max(256, 120_000 // passages), []
     for a in range(0, starts, rows):
         n = min(rows, starts - a)
-        part = sums[a : a + n + more] @ latent.wanted
-        near, norm, found = part, norms[a : a + n + more], []
+        part = np.zeros((n + more, latent.space.shape[1]), np.float32)
+        words = np.empty_like(part)
+        for place in range(BLOCK):
+            part += np.take(latent.space, grid[a : a + n + more, place], axis=0, out=words, mode="wrap")
+        if latent.wanted is not None:
+            part = part @ latent.wanted
+        near, norm, open_ = part, norms[a : a + n + more], opens[a : a + n]
         for scale in range(1, SCALES[-1] + 1):
             if scale > 1:  # added, not differenced, to keep small values exact
                 near, norm = near[:-1] + part[scale - 1 :], norm[:-1] + norms[a + scale - 1 : a + n + more]
             if scale in SCALES:
-                least = np.maximum(np.sqrt(norm[:n]), shortest)
-                i, j = np.nonzero(near[:n] >= (cosine * least).astype(np.float32)[:, None])
+                least = np.where(open_, np.maximum(np.sqrt(norm[:n]), shortest), np.inf)
+                i, j = divmod(np.flatnonzero(near[:n] >= (cosine * least).astype(np.float32)[:, None]), passages)
                 value = near[i, j] / np.maximum(least[i], BARE * latent.length[j])
                 keep = value >= cosine
-                found.append((scale, i[keep] + a, latent.owner[j[keep]], value[keep]))
-        for scale, i, j, value in reversed(found):
-            for start, which, v in zip(i.tolist(), j.tolist(), value.tolist(), strict=True):
-                yield start, scale, which, min(1.0, v)
+                found.append((np.full(keep.sum(), scale), i[keep] + a, j[keep], value[keep]))
+    scale, block, j, value = map(np.concatenate, zip(*found, strict=True))
+    text = np.searchsorted(lead, block, side="right") - 1
+    order = np.lexsort((j, block, -scale, text))
+    yield from zip(*(x[order].tolist() for x in (text, block - lead[text], scale, latent.owner[j], np.minimum(1.0, value))), strict=True)
 
 
 def _check(words, start, span, which, near, checks, best) -> None:

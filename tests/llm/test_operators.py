@@ -318,6 +318,33 @@ def test_latent_search_alone_finds_edited_items(spark, changed):
     assert len({r.doc_id for r in got.collect() if r.doc_id == r.item_id}) >= 0.95 * len(bench)
 
 
+def test_texts_searched_together_keep_apart(monkeypatch):
+    """Each text has the leaks that it has alone, none across two texts, and a batch sums its words in few steps."""
+    words = [[f"b{i}x{k}".encode() for k in range(40)] for i in range(6)]
+    checks = [(i, decontam.Item(w, w[-5:]), w) for i, w in enumerate([*words, [b"t1", b"t2", b"t3", b"t4", b"t5", b"t6", b"t7"]])]
+    idf, place = np.ones(decontam.FEATURES, np.float32), np.full(decontam.FEATURES, -1, np.int32)
+    features = np.unique(np.concatenate([decontam.features_of(w) for *_, w in checks]))
+    place[features] = np.arange(len(features))
+    rows = np.zeros((len(checks), len(features)), np.float32)
+    for i, (*_, w) in enumerate(checks):
+        f, v = decontam.weigh([x.decode() for x in w], idf)
+        rows[i, np.searchsorted(features, f)] = v
+    texts = [[b"o%d" % n, b"p", *words[n % 6][: 40 - n % 25], *([b"q"] * (n % 20))] for n in range(120)]
+    texts += [words[0][:20], words[0][20:], [b"t1", b"t2", b"t3"], [b"t4", b"t5", b"t6", b"t7"], checks[6][2]]
+    for rank in (7, 5):  # all passages, and too few dimensions for them
+        space = np.ascontiguousarray(np.linalg.svd(rows, full_matrices=False)[2][:rank].T)
+        latent, rest = decontam.routes_of(checks, idf, features, space)
+        gates = decontam.gates_of([(k, checks[k][1]) for k in rest], place, len(features), idf)
+        rest_of = (latent, place, idf, [c[:2] for c in checks], rest, gates, decontam.COSINE)
+        alone = [(i, hit[0], *hit[2:]) for i, t in enumerate(texts) for _, hit in decontam.of_documents([t], *rest_of)]
+        steps, take = [], np.take
+        monkeypatch.setattr(np, "take", lambda *a, **k: steps.append(1) or take(*a, **k))
+        together = [(i, hit[0], *hit[2:]) for i, hit in decontam.of_documents(texts, *rest_of)]
+        monkeypatch.undo()
+        assert together == alone and len(steps) < len(texts)
+        assert {i for i, *_ in together} >= {0, 1, 2, 124} and not {i for i, *_ in together} & {120, 121, 122, 123}
+
+
 def test_large_benchmarks_take_both_ways(spark):
     """A space of rank 8 can't hold 60 unlike items; those it loses are found by their rarest words."""
     bench = [(i, " ".join(f"i{i}x{k}" for k in range(30))) for i in range(60)]
