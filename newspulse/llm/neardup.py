@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newspulse.llm.common import mix64, slices, utf8
+from newspulse.llm.common import mix64, rows_at_once, slices, utf8
 from newspulse.llm.hashing import Rolling
 from newspulse.session import settle
 
@@ -27,6 +27,7 @@ MISS = 5e-4  # chance that a pair at the threshold meets in no group of a collec
 SIGNATURE = 64  # minhashes kept to estimate a similarity
 SLACK = 14  # how far an estimate may fall below the threshold, in minhashes: over 4.5 deviations
 CHUNK = 1024  # nodes of an area compared with as many others in one task
+ROWS_AT_ONCE, TEXT_AT_ONCE = 1000, 300_000  # rows a task is handed at a time; characters it hashes at a time
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(9, 14)]] = True
@@ -88,7 +89,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n_shingles, node, sig) of every row; node names the set, null without one."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in slices(frames, "text", 1_000_000):
+        for frame in slices(frames, "text", TEXT_AT_ONCE):
             sets = shingle_sets(frame["text"].tolist(), k)
             yield pd.DataFrame({
                 "doc_id": frame["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets],
@@ -122,7 +123,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataF
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: tuple = (None, None)
-        for frame in slices(frames, "tb", 2_000_000):
+        for frame in slices(frames, "tb", TEXT_AT_ONCE):
             sets, good = shingle_sets(frame["tb"].tolist(), k), []
             for a, ta, s in zip(frame["a"], frame["ta"], sets, strict=True):
                 if a != last[0]:
@@ -271,6 +272,16 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     the smallest id and is kept only in a component without ids. Repeated
     rows each give a row, an empty table none. Other columns are not looked at.
     """
+    with rows_at_once(docs.sparkSession, ROWS_AT_ONCE):
+        own = _labelled(docs, k, percent)
+    least = own.where(F.col("label").isNotNull()).groupBy(F.col("label").alias("of")).agg(F.min("doc_id").alias("component_id"))
+    out = own.join(least, F.col("label") == F.col("of"), "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, label) of every row; rows of a component have the same label, null without shingles."""
     similarity = percent / 100
     base = settle(describe(docs, k), "shingle-sets")
     nodes = settle(base.where(F.col("node").isNotNull()).groupBy("node").agg(
@@ -298,18 +309,14 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sets = settle(_sets_of(texts.join(mixed.select("node"), "node", "left_semi"), k), "mixed-sets")
     labels = components(settle(residual_links(mixed.join(sets, "node"), percent), "residual-links"), labels)
     own = base.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    own = settle(own.select("doc_id", "n_shingles", "label"), "labelled")
-    least = own.where(F.col("label").isNotNull()).groupBy(F.col("label").alias("of")).agg(F.min("doc_id").alias("component_id"))
-    out = own.join(least, F.col("label") == F.col("of"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return settle(own.select("doc_id", "n_shingles", "label"), "labelled")
 
 
 def _texts_of(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     """(node, text) of the sets named in ``reps``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in slices(frames, "text", 1_000_000):
+        for frame in slices(frames, "text", TEXT_AT_ONCE):
             own = [set_key(s) for s in shingle_sets(frame["text"].tolist(), k)]
             yield frame.loc[[a == b for a, b in zip(own, frame["node"], strict=True)], ["node", "text"]]
 
@@ -323,7 +330,7 @@ def _sets_of(texts: DataFrame, k: int) -> DataFrame:
     """(node, shingles): the full set of every text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in slices(frames, "text", 1_000_000):
+        for frame in slices(frames, "text", TEXT_AT_ONCE):
             yield pd.DataFrame({"node": frame["node"], "shingles": [s.tobytes() for s in shingle_sets(frame["text"].tolist(), k)]})
 
     return texts.select("node", "text").mapInPandas(run, "node binary, shingles binary")

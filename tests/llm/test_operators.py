@@ -8,10 +8,11 @@ import timeit
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from newspulse.llm import bwt, decontam, exact_dedup, langid, licenses, lm, mixing, neardup, quality, queries, stages, substrings, urlfilter
+from newspulse.llm import bwt, common, decontam, exact_dedup, hashing, langid, licenses, lm, mixing, neardup, quality, queries, stages, substrings, urlfilter
 
 SF = "/root/testdata/sf0.001"
 LONG = "word " * 30_000
@@ -708,3 +709,21 @@ def test_dedup_query_equals_its_sql(spark):
     con = oracle_check.connect("/root/testdata/sf0.01")
     name = "op2_stateful_dedup"
     assert oracle_check.compare(queries.QUERIES[name](spark, "/root/testdata/sf0.01"), con, queries.ORACLES[name]) is None
+
+
+def test_near_copies_are_sought_in_small_batches(spark):
+    """Wide rows come few at a time while the step runs, and tables of powers are kept once."""
+    key, sizes = common.ARROW_ROWS, "rows long"
+    docs = spark.range(5000).repartition(1)
+
+    def seen(frames):
+        for f in frames:
+            yield pd.DataFrame({"rows": [len(f)]})
+
+    before = spark.conf.get(key)
+    with common.rows_at_once(spark, neardup.ROWS_AT_ONCE):
+        assert max(r.rows for r in docs.mapInPandas(seen, sizes).collect()) <= neardup.ROWS_AT_ONCE
+    assert spark.conf.get(key) == before
+    assert neardup.cluster(frame(spark, EDGES)).count() == len(EDGES) and spark.conf.get(key) == before
+    long, short = hashing._powers(1 << 14), hashing._powers(1 << 12)
+    assert np.shares_memory(long[0], short[0]) and np.shares_memory(long[1], short[1])
