@@ -727,3 +727,16 @@ def test_near_copies_are_sought_in_small_batches(spark):
     assert neardup.cluster(frame(spark, EDGES)).count() == len(EDGES) and spark.conf.get(key) == before
     long, short = hashing._powers(1 << 14), hashing._powers(1 << 12)
     assert np.shares_memory(long[0], short[0]) and np.shares_memory(long[1], short[1])
+
+
+def test_suffixes_that_are_told_apart_are_not_sorted_again(monkeypatch):
+    rng = np.random.default_rng(3)
+    copy = rng.integers(1, 250, 500)
+    text = np.concatenate([copy, rng.integers(1, 250, 9000), copy, [0]]).astype(np.uint16)
+    sorted_so_far, argsort = [], np.argsort
+    monkeypatch.setattr(bwt.np, "argsort", lambda a, **kw: (sorted_so_far.append(len(a)), argsort(a, **kw))[1])
+    order, shared = bwt.long_prefixes(text, 400)
+    raw = [text[k:].tolist() for k in range(len(text))]
+    assert order.tolist() == sorted(range(len(text)), key=raw.__getitem__)
+    assert sum(shared) == 101 and all(raw[order[k]][:400] == raw[order[k - 1]][:400] for k in np.flatnonzero(shared))
+    assert sum(sorted_so_far) < 4 * len(text)
