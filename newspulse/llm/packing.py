@@ -38,7 +38,7 @@ Group = tuple[tuple[tuple[int, int], ...], int]  # ((length, pieces in a row), .
 class WordIds:
     """Ids of texts, word by word: the tokenizer never joins what white space separates.
 
-    A word of letters is encoded together with others, as each of its last
+    A word of Latin or Cyrillic letters is encoded together with others, as each of its last
     ids ends a word; ASCII punctuation behind it is a token run of its own.
     Letters A-Z are lower-cased by the tokenizer, so words may come that way.
     """
@@ -54,25 +54,30 @@ class WordIds:
         self.last = np.zeros(tokenizer.get_vocab_size(), bool)
         self.last[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.again: set[bytes] = set()
 
     def learn(self, words: set[bytes]) -> None:
-        """Make lower-cased words known; those of earlier calls are forgotten when there are too many."""
+        """Make lower-cased words known; when there are too many, those that came in one call only are forgotten."""
         if len(self.known) > KNOWN_WORDS:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        new = [w for w in words if w not in self.known]
-        tails = {w: m.span(1)[1] for w in new if (m := _TAIL.fullmatch(w))}
+            if len(self.again) > KNOWN_WORDS // 2:
+                self.again.clear()
+            self.again.update(w for w in words if w in self.known)
+            self.known = {w: self.known[w] for w in self.again}
+        new = words.difference(self.known)
+        self.again.update(words - new)
+        tails = {w: m.end(1) for w in new if not w.isalpha() and (m := _TAIL.fullmatch(w))}
         parts = {w[:k] for w, k in tails.items()} | {w[k:] for w, k in tails.items()}
-        self._encode([w for w in {w for w in new if w not in tails} | parts if w not in self.known])
+        self._encode((new.difference(tails) | parts).difference(self.known))
         self.known.update((w, self.known[w[:k]] + self.known[w[k:]]) for w, k in tails.items())
 
-    def _encode(self, words: list[bytes]) -> None:
-        letters = [w for w in words if w.isalpha()]  # of bytes: ASCII letters only
+    def _encode(self, words: set[bytes]) -> None:
+        letters = [w for w in words if w.isalpha() or _LETTERS.fullmatch(w)]
         joined = [letters[k : k + 200] for k in range(0, len(letters), 200)]
         for part, e in zip(joined, self.encode([b" ".join(p).decode() for p in joined], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             self.known.update(zip(part, (raw[i:j] for i, j in zip([0, *ends], ends, strict=False)), strict=True))
-        others = [w for w in words if not w.isalpha()]
+        others = list(words.difference(letters))
         for k in range(0, len(others), 10_000):
             part = others[k : k + 10_000]
             found = self.encode([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
@@ -82,8 +87,15 @@ class WordIds:
         return b"".join(map(self.known.__getitem__, words)) + end
 
 
-#: ASCII letters, then ASCII punctuation.
-_TAIL = re.compile(rb"([a-z]+)[!-/:-@\[-`{-~]+")
+#: UTF-8 of a-z, U+00C0 to U+023F and U+0400 to U+047F without the two signs among them and the capital I with
+#: a dot: each is one letter, composed or not, also in lower case.
+_MORE = rb"(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8\xd0\xd1][\x80-\xbf])"
+_LETTER = rb"(?=[a-z\xc3-\xd1])[a-z]*(?:" + _MORE + rb"[a-z]*)*"
+_LETTERS = re.compile(_LETTER)
+#: Letters, then ASCII punctuation.
+_TAIL = re.compile(rb"(" + _LETTER + rb")[!-/:-@\[-`{-~]+")
+
+
 @lru_cache(maxsize=1)
 def word_ids(vocabulary: str) -> WordIds:
     """A worker keeps the words of its earlier tasks."""

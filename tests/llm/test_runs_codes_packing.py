@@ -277,3 +277,21 @@ def test_patterns_and_their_fit():
     x = {tuple(w): n for w, n in zip(ways.tolist(), packing.fit(hist, ways, 5000), strict=True)}
     assert all(abs(x[w] - n) < 0.01 for w, n in {(0, 0, 10): 2, (0, 2, 8): 4, (2, 3, 5): 3, (0, 5, 5): 3}.items())
     assert sum(m for _, m in packing.plan(hist, 10)) == 12
+
+
+def test_accented_words_are_encoded_together_and_frequent_ones_kept(monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 2000)
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        known = packing.WordIds(f.read())
+    letters = [c for c in map(chr, range(0xC0, 0x480)) if packing._LETTERS.fullmatch(c.encode())]
+    words = [x.encode() for c in letters for x in (c, "a" + c + "b", c + "'", c + c + "...")]
+    asked, encode = [], known.encode
+    known.encode = lambda texts, **kw: (asked.append(len(texts)), encode(texts, **kw))[1]
+    known.learn(set(words))
+    assert sum(asked) < 20
+    alone = encode([w.decode() for w in words], add_special_tokens=False)
+    assert all(known.known[w] == np.array(e.ids, "<u4").tobytes() for w, e in zip(words, alone, strict=True))
+    often = set(words[:100])
+    known.learn(often)
+    known.learn({b"x%d" % k for k in range(10)})
+    assert often <= known.known.keys() and len(known.known) < 200
