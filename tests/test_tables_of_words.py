@@ -1,6 +1,7 @@
 """Segmentation by a dictionary table and scores by a lexicon table."""
 
 import itertools
+import pathlib
 import random
 
 import pytest
@@ -193,3 +194,105 @@ def test_pieces_come_some_texts_at_a_time(spark):
     rows = [r for part in out for r in part.itertuples(index=False, name=None)]
     want = [(["ab", "b", "x", "ab"], ["NNG", "X", "UNK", "NNG"], [0, 0, 1, 1]), ([], [], []), (["b"], ["X"], [0])]
     assert rows == [want[i % 3] for i in range(2_000)]
+
+
+def letters(rng, n):
+    return "".join(rng.choices("abcdé", k=n))
+
+
+def written(spark):
+    """Sizes of the shuffles and settled tables on this machine, by path."""
+    own = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffles = [p for d in own for p in pathlib.Path(d).rglob("shuffle_*.data")]
+    tables = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).rglob("*.parquet")
+    return {p: p.stat().st_size for p in (*shuffles, *tables) if p.is_file()}
+
+
+def test_a_large_dictionary_takes_little_disk(spark, tmp_path):
+    """Texts and pieces went through shuffles several times, and the shuffles of settled tables stayed."""
+    rng = random.Random(7)
+    texts = [" ".join(letters(rng, rng.choice([3, 4, 4, 5, 5, 7])) for _ in range(400)) for _ in range(1_500)]
+    spark.createDataFrame(list(enumerate(texts)), "id long, body string").coalesce(2).write.parquet(f"{tmp_path}/texts")
+    entries = [(w, "NNG", 10 + len(w)) for w in sorted({letters(rng, rng.randint(1, 4)) for _ in range(300)})]
+    known, before = dictionary(spark, entries), written(spark)
+    out = segment.segment(spark.read.parquet(f"{tmp_path}/texts"), known, "body", r"\p{L}{2,}", max_bytes=0)
+    settled = {p: size for p, size in written(spark).items() if p not in before}
+    assert sum(size for p, size in settled.items() if p.suffix == ".data") < 10_000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2 and "Join" not in plan
+    got = {r.id: "".join(p.word for p in r.pieces) for r in out.collect()}
+    assert got == {k: t.replace(" ", "") for k, t in enumerate(texts)}
+    assert sum(size for p, size in written(spark).items() if p not in before) < 3 * sum(len(t.encode()) for t in texts)
+
+
+@pytest.mark.parametrize("bits", [6, segment.FILTER_BITS])
+def test_both_ways_cut_the_same(spark, monkeypatch, bits):
+    """Whatever the bits of the filter let through."""
+    monkeypatch.setattr(segment, "FILTER_BITS", bits)
+    rng = random.Random(bits)
+    texts = [" ".join(letters(rng, rng.randint(1, 12)) for _ in range(rng.randint(0, 30))) for _ in range(600)]
+    entries = [(letters(rng, rng.randint(1, 5)), rng.choice(["NNG", "JX", segment.UNKNOWN_TAG]), rng.randint(1, 40)) for _ in range(200)]
+    both = [
+        segment.segment(docs(spark, [*texts, None, "a", "a1b2"]), dictionary(spark, entries), "body", r"\p{L}{2,}", max_bytes=limit)
+        for limit in (segment.MAX_BYTES, 0)]
+    one, other = ({r.id: [tuple(p) for p in r.pieces] for r in out.collect()} for out in both)
+    assert one == other and len(one) == 603
+    assert both[0].columns == both[1].columns and both[0].schema["pieces"].dataType == both[1].schema["pieces"].dataType
+
+
+def test_columns_of_any_type_stay_as_they_are(spark):
+    rows = spark.sql("""SELECT id, IF(id % 2 = 0, CAST(9007199254740993 + id AS BIGINT), NULL) AS big, CAST(id AS DECIMAL(20, 3)) AS d,
+      DATE '0001-01-01' AS day, TIMESTAMP '2024-05-05 01:02:03.000004' AS at, MAP('a', STRUCT(id AS x, ARRAY(id) AS y)) AS deep,
+      IF(id = 3, DOUBLE('NaN'), NULL) AS f, X'00FF' AS raw, INTERVAL '3' MONTH AS months, IF(id = 1, NULL, 'ab cd') AS body FROM range(4)""")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Seoul")
+        out = segment.segment(rows, dictionary(spark, [("ab", "NNG", 3)]), "body", r"[a-z]+", max_bytes=0)
+        assert out.columns == [*rows.columns, "pieces"] and out.dtypes[:-1] == rows.dtypes
+        strings = [F.col(c).cast("string").alias(c) for c in rows.columns if c != "raw"]
+        assert sorted(map(str, out.select(*strings).collect())) == sorted(map(str, rows.select(*strings).collect()))
+        assert {(r.id, bytes(r.raw), len(r.pieces)) for r in out.select("id", "raw", "pieces").collect()} == {(k, b"\x00\xff", 0 if k == 1 else 2) for k in range(4)}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_no_dictionary_and_no_texts(spark):
+    nothing = dictionary(spark, [])
+    out = segment.segment(docs(spark, ["ab c", "", None]), nothing, "body", r"[a-z]+", max_bytes=-1)
+    assert {r.id: [tuple(p) for p in r.pieces] for r in out.collect()} == {0: [("ab", "UNK", 0), ("c", "UNK", 1)], 1: [], 2: []}
+    assert segment.segment(docs(spark, ["ab"]).limit(0), nothing, "body", r"[a-z]+", max_bytes=-1).collect() == []
+
+
+def test_a_block_that_two_tasks_read(monkeypatch):
+    """Its runs are asked for twice; texts are looked up some runs at a time."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(segment, "PLACES_AT_ONCE", 3)
+    texts = pa.table({"_block": pa.array([7] * 4), "_runs": pa.array([["ab", "b"], [], ["b", "ab", "ab"], ["c"] * 9])})
+    whole = texts.to_batches()[0]
+    asked = [list(segment._asker(2)(iter(part))) for part in ([whole.slice(0, 1), whole.slice(1, 2)], [whole.slice(2)])]
+    assert [len(part) for part in asked] == [1, 1]
+    asked = pa.Table.from_batches([b for part in asked for b in part])
+    words = pa.table({"word": ["a", "c"], "tag": ["N", "X"], "cost": [1, 2]})
+    answers = segment._solver(20)(asked, words)
+    want = {"ab": [("a", "N"), ("b", "UNK")], "b": [("b", "UNK")], "c": [("c", "X")]}
+    got = segment._put(texts, answers)
+    assert [len(t) for t in segment._slices(texts)] == [2, 1, 1]
+    for row, runs in zip(got["_pieces"].to_pylist(), texts["_runs"].to_pylist(), strict=True):
+        assert [(p["word"], p["tag"], p["run"]) for p in row] == [(w, t, k) for k, run in enumerate(runs) for w, t in want[run]]
+
+
+def test_stretches_that_may_be_words(spark, monkeypatch):
+    """All words in the runs are handed on, those of some letters at a time, and few other stretches."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(segment, "LETTERS_AT_ONCE", 4)
+    known = dictionary(spark, [(w, "N", 1) for w in ("ab", "é", "éa", "bab", "zz", "𐐷b")])
+    probe = segment._prober(segment._filter(known, 1 << 16), 3)
+    runs = ["abab", "éaé", "xyxy", "𐐷b𐐷", "zab", ""]
+    asked = pa.RecordBatch.from_pydict({"_bucket": pa.array([4], pa.int32()), "runs": [segment._packed(runs)]})
+    batches = list(probe(iter([asked])))
+    words = {w for b in batches for w in b["word"].to_pylist()}
+    assert {"ab", "bab", "é", "éa", "𐐷b"} <= words and len(words) <= 6 and len(batches) > 3
+    assert words <= {run[i:j] for run in runs for i in range(len(run)) for j in range(i + 1, len(run) + 1)}
+    assert {x for b in batches for x in b["_bucket"].to_pylist()} == {4}
